@@ -11,7 +11,6 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafgraph.llm.bpe import PATTERN, RankArrayBPE
 from leafgraph.operators.numbering import number_within

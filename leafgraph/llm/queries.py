@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafgraph.llm import bpe, fingerprints, packing, sharding
+from leafgraph.llm import ann, bpe, fingerprints, langid, ngram_join, packing, pii, sharding, urls, warc
 
 #: Vocabulary file of op2 and op8.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Key of the surrogates in op1; a real job takes a secret one.
+KEY = "public example key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -23,6 +30,22 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "odds")
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
@@ -31,5 +54,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), dict.fromkeys(range(8), 1.0), dict.fromkeys(range(9), 1.0))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_fingerprints, op8_packing, op9_sharding)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_fingerprints, op4_langid, op5_ann, op6_urls, op7_ngram_join, op8_packing, op9_sharding, op10_warc)}
 SQL: dict[str, str] = {}
