@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Salts per group in number_within; the table of counts that is broadcast has at most so many rows for each group.
+from leafgraph.session import cut, small_side
+
+#: Parts of a group in number_within; the table of counts has at most so many rows for each group.
 SALTS = 256
 
 
@@ -15,7 +17,8 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, s
     Rows are spread over `salts` parts of their group by a hash of the `order` columns; a part's offset is the running sum
     of the counts of the parts before it, and within its part a row is numbered by `order`. So a group of any size is
     numbered by many tasks. The numbering is fixed by the values; rows equal in keys and order get numbers in any order
-    among themselves. Null keys are a group. There should be few distinct keys (thousands): their counts are broadcast.
+    among themselves. Null keys are a group. The counts, a row for each key and part, are broadcast if they are few
+    and joined by a shuffle if not. df is read twice: cut it first if it is dear to make.
     """
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit("number"), *order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "__salt").agg(F.count("*").alias("__n"))
@@ -26,5 +29,5 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, s
     same: Column = numbered["__salt"] == offsets["__s"]
     for i, k in enumerate(keys):
         same = same & numbered[k].eqNullSafe(offsets[f"__k{i}"])
-    joined = numbered.join(F.broadcast(offsets), same)
+    joined = numbered.join(small_side(cut(offsets), 200_000), same)
     return joined.select(*[numbered[c] for c in df.columns], (F.col("__offset") + F.col("__row") - 1).alias(name))
