@@ -12,7 +12,7 @@ from leafgraph.llm.queries import KEY, VOCABULARY, table
 from leafgraph.session import BROADCAST_ROWS, cut, shared_dir
 
 #: Share of a document's letters, times the evidence, under which its language counts as unclear.
-CLEAR = 0.5
+CLEAR = 0.2
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
