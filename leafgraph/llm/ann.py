@@ -13,7 +13,7 @@ from leafgraph.session import cut
 
 #: Hash tables, and buckets that a query visits in each. Chosen for a recall of 0.95 among the 20 nearest of vectors
 #: that have no clusters (the hardest case); see tests.
-TABLES, PROBES = 4, 48
+TABLES, PROBES = 4, 64
 #: Parts that a table's buckets are dealt to, vectors in a block of a part, candidates kept from each block over k.
 PARTS, BLOCK, SPARE = 16, 8_192, 4
 
