@@ -31,3 +31,21 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, s
         same = same & numbered[k].eqNullSafe(offsets[f"__k{i}"])
     joined = numbered.join(small_side(cut(offsets), 200_000), same)
     return joined.select(*[numbered[c] for c in df.columns], (F.col("__offset") + F.col("__row") - 1).alias(name))
+
+
+def number_rows(df: DataFrame, order: list[str], name: str, start: Column | int = 1) -> DataFrame:
+    """df with a column `name`: start, start + 1, ... over the whole table in the order of the columns `order`.
+
+    Rows are dealt by ranges of the order, which are written once so that both passes see the same; to the driver come
+    the ranges' sizes only. The order should be total: rows that are equal in it are numbered in any order. Nulls first.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    offset, offsets = 0, []
+    for part in sorted(sizes):
+        offsets.append((part, offset))
+        offset += sizes[part]
+    before = df.sparkSession.createDataFrame(offsets, "__part int, __offset long")
+    first = F.lit(start) if isinstance(start, int) else start
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__row", local).join(F.broadcast(before), "__part").select(*df.columns, (first + F.col("__offset") + F.col("__row") - 1).cast("long").alias(name))
