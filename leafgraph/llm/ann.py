@@ -86,6 +86,8 @@ def _hashes(vectors: DataFrame, longest: float, query: bool, tables: int, count:
                     for p in range(PARTS):
                         inside = axes // wide == p
                         some = np.flatnonzero(inside.any(axis=1))
+                        if not len(some):
+                            continue
                         yield pd.DataFrame({"class_id": own["class_id"].to_numpy()[some], "vector": own["vector"].to_numpy()[some], "part": (size * tables + t) * PARTS + p, "axes": [axes[i][inside[i]] for i in some]})
 
     return vectors.select("class_id", "vector").mapInPandas(run, "class_id long, vector array<float>, part long, axes array<int>")
