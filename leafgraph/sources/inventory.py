@@ -13,7 +13,10 @@ def plain_path(uri):
 
 
 def scan_inventory(spark: SparkSession, root: str, kind: str = "md", recursive: bool = False) -> DataFrame:
-    """(path, length, modification_time) of the files of a kind in a directory; contents are not read."""
+    """(path, length, modification_time) of the files of a kind in a directory; contents are not read.
+
+    Spark's file sources leave out files of no bytes, so an empty document is found only once something is in it.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS[kind]).option("recursiveFileLookup", str(recursive).lower()).load(root)
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modification_time"))
 
