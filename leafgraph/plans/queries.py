@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ def register(sql: str | None = None, **more: str) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = oracle(sql, **more)
+            SQL[f.__name__] = sql if sql.startswith("WITH ") else oracle(sql, **more)
         return f
 
     return put
@@ -547,3 +548,106 @@ def fence_inventory(spark, sf_dir):
 @register("SELECT href, regexp_matches(href, '^(?i)https?:') AS external, count(*) AS n FROM (SELECT unnest(['docs/b.md', 'HTTPS://x.example.com/' || file_id]) AS href FROM fx_content WHERE file_id % 4 = 2) GROUP BY 1")
 def link_inventory(spark, sf_dir):
     return text_inventory.link_inventory(fx(spark, sf_dir, "content"))
+
+
+# --- More of state, validation and streams ---
+
+
+@register("SELECT f.id AS file_id FROM fx_files f WHERE f.id % 4 = 1 OR f.id IN (SELECT file_id FROM everyone)", **ALL_MEMBERS)
+def ensure_singletons(spark, sf_dir):
+    """Every fourth document gets a graph of its own, if it has none: the members afterwards."""
+    asked = fx(spark, sf_dir, "files").where("id % 4 = 1").select(F.col("id").alias("doc_id"))
+    return graphs.ensure_singletons(built(spark, sf_dir), asked).members.select("file_id")
+
+
+@register("SELECT graph_id, file_id FROM (SELECT DISTINCT component AS graph_id, f.id AS file_id FROM member m JOIN fx_files f ON f.id BETWEEN m.file_id AND m.file_id + 2) c WHERE NOT EXISTS (SELECT 1 FROM member x WHERE x.component = c.graph_id AND x.file_id = c.file_id)", **GRAPHS)
+def reconcile_companions(spark, sf_dir):
+    """Companions next to each member by id, without those that are members of the graph themselves."""
+    members = components(spark, sf_dir).withColumnRenamed("component", "graph_id")
+    near = members.select("graph_id", F.explode(F.sequence(F.col("file_id"), F.col("file_id") + 2)).alias("id")).join(fx(spark, sf_dir, "files"), "id")
+    return graphs.reconcile_companions(near.select("graph_id", F.col("id").alias("file_id")).distinct(), members)
+
+
+RANKED = {
+    "joint": "SELECT id AS file_id, min(r) AS whole FROM reach2 GROUP BY id",
+    "old": "SELECT e.component, j.whole, count(*) AS n, min(CASE WHEN e.file_id IN (SELECT file_id FROM member) THEN 0 WHEN e.file_id IN (SELECT a FROM apart UNION SELECT b FROM apart) THEN 1 ELSE 2 END) AS class FROM everyone e JOIN joint j ON j.file_id = e.file_id GROUP BY 1, 2",
+}
+
+
+@register("SELECT whole AS graph, arg_min(component, {'n': -n, 'c': class, 'k': component}) AS survivor FROM old GROUP BY whole", **(MERGED | RANKED))
+def merge_survivor(spark, sf_dir):
+    """Which of the graphs that a batch of links joins keeps its id, each named by its least member."""
+    before = built(spark, sf_dir)
+    after = graphs.merge_links(before, accepted(spark, sf_dir))
+    name = lambda m, c: m.groupBy("graph_id").agg(F.min("file_id").alias(c))
+    return name(after.members, "graph").join(name(before.members, "survivor"), "graph_id").select("graph", "survivor")
+
+
+@register("SELECT id, CASE WHEN (id - 1) % 7 = 6 THEN NULL WHEN (id - 1) % 7 = 5 THEN 0 ELSE 4 END AS n_files, CASE WHEN (id - 1) % 7 < 5 AND (id - 1) % 3 < 2 THEN ' Map ' || (id - 1) || ' ' END AS list_name FROM fx_color_maps")
+def color_map_list(spark, sf_dir):
+    return colormaps.color_map_list(fx(spark, sf_dir, "color_maps")).select("id", F.when(F.col("files").isNotNull(), F.size("files")).alias("n_files"), "list_name")
+
+
+NEW_NAMES = "SELECT id, CASE WHEN id % 13 = 0 THEN ' ' WHEN id % 13 = 1 THEN '/nowhere' ELSE regexp_replace(full_path, '/[^/]*$', '') END AS dir, CASE id % 13 WHEN 2 THEN 'a/b' WHEN 3 THEN 'x.txt' WHEN 4 THEN regexp_extract(upper(full_path), '[^/]*$') WHEN 5 THEN ' new ' || id ELSE 'new' || id || '.Md' END AS name FROM fx_files"
+
+
+@register(f"SELECT id, CASE WHEN id % 13 = 0 THEN 'blank' WHEN dir NOT IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM inv) THEN 'no_directory' WHEN id % 13 = 2 THEN 'invalid_name' WHEN id % 13 = 3 THEN 'extension' WHEN id % 13 = 4 THEN 'managed' WHEN full_path IN (SELECT path FROM inv) THEN 'exists' END AS reason FROM (SELECT *, dir || '/' || trim(name) || CASE WHEN contains(name, '.') THEN '' ELSE '.md' END AS full_path FROM asked)", inv=INV, asked=NEW_NAMES)
+def validate_new_files(spark, sf_dir):
+    files, inventory = fx(spark, sf_dir, "files", "inventory")
+    m = F.col("id") % 13
+    directory = F.when(m == 0, " ").when(m == 1, "/nowhere").otherwise(paths.parent_path(F.col("full_path")))
+    name = F.when(m == 2, "a/b").when(m == 3, "x.txt").when(m == 4, F.upper(paths.file_name(F.col("full_path")))).when(m == 5, F.concat(F.lit(" new "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("new"), F.col("id").cast("string"), F.lit(".Md")))
+    return ingest.validate_new_files(files.select("id", directory.alias("dir"), name.alias("name")), inventory, files).select("id", "reason")
+
+
+@register(f"SELECT a.id, CASE WHEN f.id IS NULL THEN 'unknown_document' WHEN a.kind = 'export' THEN 'unknown_kind' WHEN a.kind = 'upload' THEN CASE WHEN a.size_bytes % 5 = 0 THEN 'empty' END WHEN a.id % 4 = 0 THEN 'blank' WHEN i.path IS NULL THEN 'not_on_disk' WHEN f.id % 2 = 0 AND m.component IS NOT NULL AND f.id = m.component THEN 'attached' END AS reason FROM fx_attachments a LEFT JOIN fx_files f ON f.id = a.file_id LEFT JOIN member m ON m.file_id = f.id LEFT JOIN inv i ON i.path = f.full_path WHERE NOT (f.id IS NULL AND a.kind = 'export')", **(GRAPHS | {"inv": INV}))
+def validate_attachments(spark, sf_dir):
+    """Requests made from the old attachments; the least member's own file is attached already in each graph."""
+    old, files, inventory = fx(spark, sf_dir, "attachments", "files", "inventory")
+    members = components(spark, sf_dir).withColumnRenamed("component", "graph_id")
+    path = files.select(F.col("id").alias("file_id"), F.col("full_path").alias("p"))
+    there = members.where("file_id = graph_id").join(path, "file_id").select("graph_id", F.lit("reference").alias("kind"), F.col("p").alias("source_path"))
+    asked = old.join(path, "file_id", "left").select("id", F.col("file_id").alias("doc_id"), "kind", F.when((F.col("id") % 4 == 0) & (F.col("kind") == "reference"), " ").otherwise(F.col("p")).alias("path"), "file_name", F.when(F.col("size_bytes") % 5 == 0, 0).otherwise(F.col("size_bytes")).alias("size_bytes"))
+    asked = asked.join(files.select(F.col("id").alias("known")), F.col("doc_id") == F.col("known"), "left").where("not (known is null and kind = 'export')").drop("known")
+    return attachments.validate_attachments(asked, files, inventory, members, there).select("id", "reason")
+
+
+@register()
+def apply_folder_patches(spark, sf_dir):
+    """Moves that may make cycles together; held against golden cases."""
+    folders, moves = fx(spark, sf_dir, "folders", "moves")
+    asked = moves.select(F.col("id").alias("seq"), "id", F.concat(F.lit(" n"), F.col("id").cast("string")).alias("name"), F.col("new_parent").alias("parent_id"), F.lit(None).cast("boolean").alias("move_to_root"), F.lit(None).cast("int").alias("sort_order"))
+    return hierarchy.apply_folder_patches(folders, asked)[0]
+
+
+@register(SQL["last_touch"])
+def stream_last_touch(spark, sf_dir):
+    """last_touch as a stream over the events, run to the end of the table."""
+    from leafgraph.session import shared_dir
+    from leafgraph.streaming import jobs
+
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a file alone is no directory to watch
+    kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "purchase", "save")
+    touches = events.select("ts", F.col("user_id").alias("file_id"), kind.alias("kind")).where("kind is not null")
+    folder = f"{shared_dir(spark)}/touch-{uuid.uuid4().hex}"
+    put = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")
+    jobs.stream_last_touch(touches).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+LIVE = {"normal": NORMAL, "linked": LINKED, "sides": "SELECT from_id AS a, to_id AS b FROM linked WHERE kind <> 'companion' UNION SELECT to_id, from_id FROM linked WHERE kind <> 'companion'", "reach": REACH}
+
+
+@register("SELECT id AS file_id, min(r) AS graph_id FROM reach GROUP BY id", **LIVE)
+def stream_links(spark, sf_dir):
+    """All link requests as a stream of a few batches, from no graphs at all."""
+    from leafgraph.session import shared_dir
+    from leafgraph.streaming import jobs
+
+    links, files = fx(spark, sf_dir, "links", "files")
+    folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    links.repartition(2).write.parquet(f"{folder}/in")
+    held = {"state": graphs.empty_state(spark)}
+    stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_links(stream, files, lambda: held["state"], lambda s: held.update(state=s), f"{folder}/ck").awaitTermination()
+    return labelled(held["state"].members, held["state"].members).select("graph_id", "file_id")
