@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +29,6 @@ class State:
     attachments: DataFrame
     top_id: int = 0
 
-    @cached_property
-    def spark(self):
-        return self.members.sparkSession
-
 
 def empty_state(spark) -> State:
     return State(*[spark.createDataFrame([], s) for s in (GRAPHS, MEMBERS, EDGES, COMPANIONS, COLOR_MAPS, ATTACHMENTS)])

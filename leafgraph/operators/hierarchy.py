@@ -101,7 +101,7 @@ def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFr
             good = checked.where("not creates_cycle").drop("creates_cycle", "new_parent")
             # Try all that passed; whoever then stands on a cycle in the new tree had better wait, but the earliest of them.
             tried = cut(_patched(folders, good))
-            looped = cut(tried.select("id").join(folder_paths_or_dangling(tried), "id", "left_anti").join(folders.select("id").join(folder_paths_or_dangling(folders), "id", "left_anti"), "id", "left_anti"))
+            looped = cut(tried.select("id").join(settled(tried), "id", "left_anti").join(folders.select("id").join(settled(folders), "id", "left_anti"), "id", "left_anti"))
             waiting = good.join(looped, "id", "left_semi").where(F.col("parent_id").isNotNull())
             first = waiting.agg(F.min("seq")).first()[0]
             left = cut(waiting.where(F.col("seq") > first)) if first is not None else waiting.limit(0)
@@ -110,7 +110,7 @@ def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFr
     return folders.select(columns), rejected
 
 
-def folder_paths_or_dangling(folders: DataFrame) -> DataFrame:
+def settled(folders: DataFrame) -> DataFrame:
     """(id) of the folders that are on no cycle and below none: their walk up ends at the root or at a missing parent."""
     roots = folders.select("id", "parent_id").join(folders.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id")
     level = cut(roots.unionByName(folders.where("parent_id is null").select("id")).distinct())

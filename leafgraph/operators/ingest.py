@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgraph.functions.paths import canonical_path, file_name, fold_case, is_markdown, parent_path, path_ext, path_title
+from leafgraph.functions.paths import canonical_path, fold_case, is_markdown, of_kind, parent_path, path_ext, path_title
 from leafgraph.functions.texts import is_blank, trim_ws
 from leafgraph.operators.numbering import number_rows
 
@@ -99,8 +99,6 @@ def validate_new_files(requests: DataFrame, inventory: DataFrame, files: DataFra
 
 def list_directory(inventory: DataFrame, directory: str, kind: str = "md") -> DataFrame:
     """(name, path, is_dir, parent) of a directory's children: directories first, then by name whatever its case."""
-    from leafgraph.functions.paths import of_kind
-
     base = "/" if directory == "/" else directory.rstrip("/") + "/"
     below = on_disk(inventory).where(F.col("path").startswith(base)).select("path", F.substring("path", len(base) + 1, 1 << 20).alias("rest"))
     is_dir = F.col("rest").contains("/")
@@ -117,6 +115,3 @@ def search_titles(files: DataFrame, queries: DataFrame) -> DataFrame:
     hit = F.contains(F.lower("title"), F.lower("q")) & ~F.col("id").eqNullSafe(F.col("exclude_id"))
     return files.join(F.broadcast(queries), hit).orderBy("query_id", "sort_order", "title", "id").select("query_id", "id", "title")
 
-
-def name_of(path: str = "path"):
-    return file_name(F.col(path))

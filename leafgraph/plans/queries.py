@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from leafgraph.fixtures import fixture, oracle
 from leafgraph.functions import paths, texts
 from leafgraph.operators import attachments, colormaps, export, graphs, hierarchy, ingest, layout, patches, relations, text_inventory
-from leafgraph.session import cut
+from leafgraph.operators.numbering import number_rows
+from leafgraph.session import cut, shared_dir
+from leafgraph.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,8 +184,6 @@ def merge_links_edges(spark, sf_dir):
 def attach_companions(spark, sf_dir):
     """Live companion links whose owner is in a joined graph, against the legacy graphs without their own companions."""
     state = built(spark, sf_dir)
-    from dataclasses import replace
-
     owners = components(spark, sf_dir).select(F.col("file_id").alias("from_id"))
     wanted = accepted(spark, sf_dir).where("kind = 'companion'").join(owners, "from_id", "left_semi").select(F.col("from_id").alias("owner_id"), F.col("to_id").alias("other_id"))
     state = graphs.attach_companions(replace(state, companions=state.companions.limit(0)), wanted)
@@ -329,8 +330,6 @@ LEAF = "{'f': 1, 's': f.sort_order, 'n': f.title, 'i': f.id}"
 
 @register(f"SELECT row_number() OVER (ORDER BY k) AS line, is_file, id, name, depth FROM (SELECT 0 AS is_file, id, name, depth, k FROM nested UNION ALL SELECT 1, f.id, f.title, n.depth + 1, list_append(n.k, {LEAF}) FROM fx_files f JOIN nested n ON n.id = f.folder_id UNION ALL SELECT 1, f.id, f.title, 0, [{LEAF}] FROM fx_files f WHERE f.folder_id IS NULL)", nested=NESTED)
 def flatten_tree(spark, sf_dir):
-    from leafgraph.operators.numbering import number_rows
-
     folders, files = fx(spark, sf_dir, "folders", "files")
     return number_rows(hierarchy.flatten_tree(folders, files, keep_key=True), ["sort_key"], "line").drop("sort_key")
 
@@ -375,8 +374,6 @@ def create_folders(spark, sf_dir):
 
 @register("SELECT row_number() OVER (ORDER BY sort_order, title, id) AS line, id, title FROM fx_files")
 def tree_order(spark, sf_dir):
-    from leafgraph.operators.numbering import number_rows
-
     return number_rows(fx(spark, sf_dir, "files").select("sort_order", "title", "id"), ["sort_order", "title", "id"], "line").drop("sort_order")
 
 
@@ -424,7 +421,7 @@ def validate_color_maps(spark, sf_dir):
     return colormaps.validate_color_maps(fx(spark, sf_dir, "color_maps")).select("id", "reason", "list_name", F.when(F.col("files").isNotNull(), F.size("files")).alias("n_files"))
 
 
-@register("SELECT id, basename, arg_max(color, pos) AS color FROM colors GROUP BY id, basename", colors=COLORS.replace("e.pos, lower", "e.pos, lower"))
+@register("SELECT id, basename, arg_max(color, pos) AS color FROM colors GROUP BY id, basename", colors=COLORS)
 def color_by_basename(spark, sf_dir):
     read = colormaps.validate_color_maps(fx(spark, sf_dir, "color_maps")).where("reason is null")
     return colormaps.color_by_basename(read)
@@ -623,9 +620,6 @@ def apply_folder_patches(spark, sf_dir):
 @register(SQL["last_touch"])
 def stream_last_touch(spark, sf_dir):
     """last_touch as a stream over the events, run to the end of the table."""
-    from leafgraph.session import shared_dir
-    from leafgraph.streaming import jobs
-
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a file alone is no directory to watch
     kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "purchase", "save")
     touches = events.select("ts", F.col("user_id").alias("file_id"), kind.alias("kind")).where("kind is not null")
@@ -641,9 +635,6 @@ LIVE = {"normal": NORMAL, "linked": LINKED, "sides": "SELECT from_id AS a, to_id
 @register("SELECT id AS file_id, min(r) AS graph_id FROM reach GROUP BY id", **LIVE)
 def stream_links(spark, sf_dir):
     """All link requests as a stream of a few batches, from no graphs at all."""
-    from leafgraph.session import shared_dir
-    from leafgraph.streaming import jobs
-
     links, files = fx(spark, sf_dir, "links", "files")
     folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
     links.repartition(2).write.parquet(f"{folder}/in")

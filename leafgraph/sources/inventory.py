@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 GLOBS = {"md": "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}", "json": "*.[jJ][sS][oO][nN]", "any": "*"}
 
 
-def plain_path(uri):
-    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-
-
 def scan_inventory(spark: SparkSession, root: str, kind: str = "md", recursive: bool = False) -> DataFrame:
     """(path, length, modification_time) of the files of a kind in a directory; contents are not read.
 
