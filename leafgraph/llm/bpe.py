@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.llm.batches import id_and_text
+
 #: Bytes of a word up to which it is merged in an array; words kept per worker, after which the caches start anew.
 SHORT, CACHED = 96, 250_000
 NONE = 1 << 40
@@ -189,7 +191,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
@@ -222,5 +224,5 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
             )
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

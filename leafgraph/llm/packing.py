@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafgraph.llm.batches import id_and_text
 from leafgraph.llm.bpe import PATTERN, RankArrayBPE
 from leafgraph.operators.numbering import number_within
 from leafgraph.session import cut
@@ -104,7 +105,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, most: int = 2048,
             yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     schema = f"doc_id {source.schema[0].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return source.mapInArrow(run, schema)
 
@@ -118,7 +119,8 @@ def pack_pieces(pieces: DataFrame, most: int = 2048) -> DataFrame:
     slot for that rank is looked up in a table of at most `most` rows. Repeated rows get a slot each. No pieces give none.
     """
     spark = pieces.sparkSession
-    ranked = cut(number_within(pieces.drop("sequence_id", "offset"), ["length"], ["doc_id", "start"], "__rank"))
+    pieces = cut(pieces.drop("sequence_id", "offset"))
+    ranked = cut(number_within(pieces, ["length"], ["doc_id", "start"], "__rank", salts=64))
     histogram = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = slot_table(spark, histogram, most)
     run = F.element_at(F.filter("runs", lambda r: (F.col("__rank") >= r["first"]) & (F.col("__rank") < r["past"])), 1)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words kept per worker before the cache starts anew.
-CACHED = 500_000
+CACHED = 200_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
