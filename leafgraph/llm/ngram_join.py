@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.llm.batches import id_and_text
 from leafgraph.llm.shingles import ShingleHasher, mix
 from leafgraph.operators.components import connected_components
 from leafgraph.session import cut, small_side
@@ -26,9 +27,10 @@ def bands_for(similarity: float, recall: float, most_hashes: int = 256) -> tuple
     best = None
     for rows in range(1, most_hashes + 1):
         agree = similarity**rows
-        bands = 1 if agree >= recall else int(np.ceil(np.log1p(-recall) / np.log1p(-agree)))
-        if bands * rows <= most_hashes:
-            best = bands, rows
+        bands = 1 if agree >= recall else np.ceil(np.log1p(-recall) / np.log1p(-agree))
+        if bands * rows > most_hashes:
+            break  # more rows need more bands still
+        best = int(bands), rows
     if best is None:
         raise ValueError("more hashes are needed for this recall")
     return best
@@ -44,7 +46,13 @@ class Signer:
         self.offsets = rng.integers(0, 1 << 63, bands * rows, np.uint64)
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.array([(shingles * a + b >> np.uint64(20)).min() for a, b in zip(self.factors, self.offsets, strict=True)], np.uint64).reshape(self.bands, self.rows)
+        least = np.full(self.bands * self.rows, np.iinfo(np.uint64).max)
+        for low in range(0, len(shingles), 512):  # a slice of all hashes that stays in the processor's cache
+            some = self.factors[:, None] * shingles[None, low : low + 512]
+            some += self.offsets[:, None]
+            some >>= np.uint64(20)
+            np.minimum(least, some.min(axis=1), out=least)
+        least = least.reshape(self.bands, self.rows)
         out = np.arange(self.bands, dtype=np.uint64)
         for i in range(self.rows):
             out = mix(out ^ least[:, i])
@@ -138,7 +146,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     Expected recall: `recall` of the pairs at `similarity`, more above; chains make up for most of the rest in class_id.
     """
     bands, rows = bands_for(similarity, recall)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     signed = cut(signatures(source, words, bands, rows))
     nodes = cut(signed.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
 
@@ -151,7 +159,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     # Blocks: components of up to BLOCK nodes are one block; larger ones are dealt by size level, then by hash.
     members = nodes.select("sid", "first", "copies", "size").join(small_side(clusters.select(F.col("id").alias("sid"), F.col("component").alias("cluster"))), "sid")
     members = cut(members)
-    large = members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = small_side(cut(members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)))
     level = F.floor(F.ln("size") / F.lit(float(-np.log(similarity)))).cast("int")
     members = members.join(large, "cluster", "left").withColumn("level", F.when(F.col("n").isNull(), 0).otherwise(level)).drop("n")
     blocks = cut(members.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")))
