@@ -6,11 +6,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafgraph.llm.batches import id_and_text
 from leafgraph.llm.shingles import ShingleHasher
-from leafgraph.session import cut
 
 #: Bins of a fingerprint and bits kept of each; words of a shingle. BINS * BITS / 4 hex digits are stored.
 BINS, BITS, WORDS = 256, 4, 5
@@ -83,34 +84,54 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS, words: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make.of(t).hex() for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, fingerprint string")
 
 
+def range_of(ids: np.ndarray, missing: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each id, 0 for the largest ids; bounds ascend, and a missing id lies in the last range."""
+    return np.where(missing, len(bounds), len(bounds) - np.searchsorted(bounds, ids, "right"))
+
+
+def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+
+
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(doc_id, text, next_text) in descending order of doc_id; after the last row comes the first.
 
-    Rows are dealt by ranges of doc_id whose bounds come from approximate quantiles (at most `parts` numbers). Only the
-    first row of a range is dealt twice, to its own range and to the one before, so the texts are shuffled once and each
-    task orders its own range. Equal ids are ordered by text, null last; a null id comes after all others.
+    Texts come as UTF-8 under zstd, which halves what the shuffle writes; null counts as empty. Rows are dealt by ranges
+    of doc_id whose bounds are approximate quantiles (`parts` numbers at most, four for each shuffle partition if not
+    given). Only the first rows of a range are dealt twice, to their own range and to the one before, so the texts are
+    shuffled once and each task orders its own ranges. Equal ids are ordered by packed text; a null id comes after all
+    others.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []), reverse=True) if parts > 1 else []
-    part = F.lit(0)
-    if bounds:
-        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col("doc_id"))), F.lit(len(bounds)))
-        part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(part)
-    own = rows.withColumn("part", part.cast("int"))
-    heads = [tuple(r) for r in own.groupBy("part").agg(F.max("doc_id")).orderBy("part").collect()]
-    before = spark.createDataFrame([(at, heads[i - 1][0], head) for i, (at, head) in enumerate(heads)], "part int, before int, head long")
-    here = F.struct(F.col("part").alias("to"), F.lit(False).alias("guest"))
-    there = F.struct(F.col("before").alias("to"), F.lit(True).alias("guest"))
-    goes = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(here, there)).otherwise(F.array(here))
-    dealt = own.join(F.broadcast(before), "part").withColumn("go", F.explode(goes)).select("doc_id", "text", "go.to", "go.guest")
-    order = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last("doc_id"), F.asc_nulls_last("text"))
-    return dealt.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(order)).where("not guest").select("doc_id", "text", "next_text")
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # so that uneven hashes of ranges average out
+    source = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    ids = source.select("doc_id")
+    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    bounds = np.unique(np.array(found or [], np.int64))
+
+    def ranges(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range_of(*ids_of(batch.column(0)), bounds), pa.int32())], ["doc_id", "part"])
+
+    heads = ids.mapInArrow(ranges, "doc_id long, part int").groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
+    before = {h["head"]: heads[i - 1]["part"] for i, h in enumerate(heads)}
+
+    def deal(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            part = range_of(*ids_of(batch.column(0)), bounds)
+            guests = [(i, before[x]) for i, x in enumerate(batch.column(0).to_pylist()) if x in before]
+            row = np.array([*range(batch.num_rows), *(i for i, _ in guests)], np.int64)
+            text = pa.array([pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), text.take(pa.array(row)), pa.array([*part.tolist(), *(to for _, to in guests)], pa.int32()), pa.array(np.arange(len(row)) >= batch.num_rows)], ["doc_id", "text", "to", "guest"])
+
+    dealt = source.mapInArrow(deal, "doc_id long, text binary, to int, guest boolean")
+    order = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
+    return dealt.withColumn("next_text", F.lead("text").over(order)).where("not guest").select("doc_id", "text", "next_text")
 
 
 def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,9 +144,9 @@ def fingerprint_with_edits(docs: DataFrame, bins: int = BINS, bits: int = BITS,
     def run(batches):
         make = Fingerprinter(bins, bits, words)
         for batch in batches:
-            out = []
+            out, unpack = [], zstandard.ZstdDecompressor().decompress
             for text, after in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, after = text or "", after or ""
+                text, after = unpack(text).decode(), unpack(after).decode()
                 half = len(text) // 2
                 edited = text[: len(text) - half] + after[:half]
                 mine, other, following = make.of(text), make.of(edited), make.of(after)
