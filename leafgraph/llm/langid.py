@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafgraph.llm.batches import id_and_text, small_batches
 from leafgraph.llm.bpe import text_groups
+from leafgraph.session import cut, small_side
 
 #: Rows of each language that the model is fitted on at most (those with the least hashes of doc_id), n-grams that it keeps.
 SAMPLE_ROWS, NGRAMS = 2_000, 20_000
@@ -22,17 +24,18 @@ SCRIPTS = {
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)], "devanagari": [(0x900, 0x97F)], "thai": [(0xE00, 0xE7F)], "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)], "kana": [(0x3040, 0x30FF)], "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
 WORD = re.compile(r"[^\W\d_]+")
-CACHED = 300_000
+#: Words kept per worker; characters of the texts that go through Viterbi side by side.
+CACHED, GROUP = 150_000, 2_000_000
+#: Words that are scored at a time.
+CHUNK = 10_000
 
 
-def script_of(word: str) -> str:
-    c = ord(word[0])
-    return next((name for name, ranges in SCRIPTS.items() if any(a <= c <= b for a, b in ranges)), "other")
-
-
-def ngrams(word: str) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + n] for n in LENGTHS for i in range(len(w) - n + 1) if w[i : i + n] != " "]
+def _code(gram: str) -> int:
+    """An n-gram of at most three characters as one number."""
+    out = 0
+    for c in gram:
+        out = out << 21 | ord(c)
+    return out
 
 
 class Model:
@@ -50,25 +53,45 @@ class Model:
             total[len(gram)] += n
             kinds[len(gram)] += 1
         self.unseen = [np.log(0.5 / (total[n] + 0.5 * (kinds[n] + 1))) for n in range(len(total))]
-        self.row = {g: i for i, g in enumerate(table)}
-        self.log = np.array([np.log((n + 0.5) / (total[len(g)] + 0.5 * (kinds[len(g)] + 1))) for g, n in table.items()])
+        grams = sorted(table, key=_code)
+        self.keys = np.array([_code(g) for g in grams], np.int64)
+        self.log = np.array([np.log((table[g] + 0.5) / (total[len(g)] + 0.5 * (kinds[len(g)] + 1))) for g in grams]).reshape(len(grams), len(index))
         # A script's candidates: the languages that write at least a twentieth of their words in it.
-        self.of_script = {s: np.array([any(x[:2] == (lang, s) and x[2] >= 0.05 for x in scripts) for lang in self.languages]) for s in {x[1] for x in scripts}}
+        names = [*SCRIPTS, "other"]
+        self.able = np.array([[any(x[:2] == (lang, s) and x[2] >= 0.05 for x in scripts) for lang in self.languages] for s in names])
+        ranges = sorted((a, b, names.index(s)) for s, own in SCRIPTS.items() for a, b in own)
+        self.range_start, self.range_end, self.range_script = (np.array(x) for x in zip(*ranges, strict=True))
         self.switch = switch
         self.place: dict[str, int] = {}
         self.known = np.empty((0, len(self.languages)), np.float32)  # scores of the words in `place`
 
-    def score(self, word: str) -> np.ndarray:
-        """log P(word | language) for each language, up to a constant; languages of other scripts are far behind."""
-        able = self.of_script.get(script_of(word))
-        if able is None or not able.any():
-            return np.zeros(len(self.languages))  # no language is written like this: no evidence
-        grams = ngrams(word)
-        known = [self.row[g] for g in grams if g in self.row]
-        score = self.log[known].sum(axis=0) + sum(self.unseen[len(g)] for g in grams if g not in self.row)
-        score = score / len(LENGTHS)
-        score = score - score.max()
-        return np.where(able, np.maximum(score, -12.0), -40.0)
+    def score_new(self, words: list[str]) -> np.ndarray:
+        """log P(word | language) for each language less that of the best, for all words at once; languages of other scripts are far behind.
+
+        The n-grams of " word " are taken from all words side by side, a space between two of them: an n-gram with a
+        space inside belongs to no word. A word in a script that no language has is no evidence.
+        """
+        c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
+        space = c == 32
+        word = np.cumsum(space) - 1
+        out = np.zeros((len(words), len(self.languages)))
+        for n in LENGTHS:
+            code = c[: len(c) - n + 1].copy()
+            for i in range(1, n):
+                code = code << 21 | c[i : len(c) - n + 1 + i]
+            fits = ~space[: len(code)] if n == 1 else np.ones(len(code), bool) if n == 2 else ~space[1 : len(code) + 1]
+            code, own = code[fits], word[: len(fits)][fits]
+            at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
+            value = np.where((self.keys[at] == code)[:, None], self.log[at], self.unseen[n])
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(own, value[:, k], len(words) + 1)[: len(words)]
+        out = out / len(LENGTHS)
+        out = np.maximum(out - out.max(axis=1, keepdims=True), -12.0)
+        first = c[np.flatnonzero(space)[:-1] + 1]
+        at = np.searchsorted(self.range_start, first, "right") - 1
+        script = np.where((at >= 0) & (first <= self.range_end[at]), self.range_script[at], len(self.able) - 1)
+        able = self.able[script]
+        return np.where(able.any(axis=1, keepdims=True), np.where(able, out, -40.0), 0.0)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word."""
@@ -78,7 +101,8 @@ class Model:
         if new := [w for w in dict.fromkeys(words) if w not in place]:
             if n + len(new) > len(self.known):
                 self.known = np.concatenate([self.known[:n], np.empty((max(n, 2 * len(new)), len(self.languages)), np.float32)])
-            self.known[n : n + len(new)] = [self.score(w) for w in new]
+            for low in range(0, len(new), CHUNK):  # some ten MB of arrays at a time
+                self.known[n + low : n + min(low + CHUNK, len(new))] = self.score_new(new[low : low + CHUNK])
             place.update(zip(new, range(n, n + len(new)), strict=True))
         return self.known[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
@@ -125,10 +149,15 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, grams: int = NGRAMS, switch: f
     `grams` most frequent n-grams of each language and a row for each language and script.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = source.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("id", "lang")
-    sample = source.join(F.broadcast(chosen.dropDuplicates()), ["id", "lang"])
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # A hash of the id orders the rows of a language; those beyond three times the share that is wanted are left out before they are ordered.
+    drawn = source.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("draw"))
+    sizes = small_side(cut(drawn.groupBy("lang").agg(F.count("*").alias("n"))))
+    near = drawn.join(sizes, "lang").where(F.col("draw") * F.col("n") <= F.lit(3.0 * rows * (1 << 30)))
+    order = Window.partitionBy("lang").orderBy("draw", "id")
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("id", "lang")
+    sample = source.join(small_side(cut(chosen.dropDuplicates())), ["id", "lang"])
+    found = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    words = cut(found.groupBy("lang", "word").agg(F.count("*").alias("n")))
     # Each word counts by the root of how often it occurs, so that a few texts that repeat one word don't rule the counts.
     padded = words.withColumn("w", F.concat(F.lit(" "), "word", F.lit(" "))).withColumn("n", F.ceil(F.sqrt("n")))
     cut_up = [_grams(F.col("w"), size) for size in LENGTHS]
@@ -165,7 +194,7 @@ def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             rows = []
-            for group in text_groups(batch.column(1).to_pylist()):
+            for group in text_groups(batch.column(1).to_pylist(), GROUP):
                 found = [[(m.start(), m.end()) for m in WORD.finditer(t)] for t in group] if spans else None
                 words = [WORD.findall(t.lower()) for t in group] if not spans else [[t[a:b].lower() for a, b in own] for t, own in zip(group, found, strict=True)]
                 for i, (own, (path, scores)) in enumerate(zip(words, model.label(words), strict=True)):
@@ -184,7 +213,7 @@ def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     kinds = [pa.string(), pa.float64(), pa.int64(), *[pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))] * spans]
     names = ["doc_id", "lang_pred", "score", "words", *["spans"] * spans]
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     schema = f"doc_id {source.schema[0].dataType.simpleString()}, lang_pred string, score double, words long" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
     return source.mapInArrow(run, schema)
 
@@ -197,11 +226,12 @@ def keep_clear(docs: DataFrame, model: Model, least: float, text_col: str = "tex
     def run(batches):
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            found = [x for group in text_groups(texts) for x in main_languages([WORD.findall(t.lower()) for t in group], model)]
+            found = [x for group in text_groups(texts, GROUP) for x in main_languages([WORD.findall(t.lower()) for t in group], model)]
             keep = pa.array([score >= least and lang != "und" for lang, score in found], pa.bool_())
             columns = [pa.array([lang for lang, _ in found], pa.string()) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, docs_names).filter(keep)
 
+    small_batches(docs.sparkSession)
     docs_names = docs.columns
     text_at, lang_at = docs_names.index(text_col), docs_names.index(lang_col)
     return docs.mapInArrow(run, docs.schema)
