@@ -11,7 +11,7 @@ from leafgraph.llm import langid, ngram_join, packing, pii
 from leafgraph.llm.queries import KEY, VOCABULARY, table
 from leafgraph.session import BROADCAST_ROWS, cut, shared_dir
 
-#: Share of a document's letters, times the evidence, under which its language counts as unclear.
+#: How far the score of a document's language must lie from chance (0: 1 in K languages) to certainty (1); under it the language counts as unclear.
 CLEAR = 0.2
 
 
@@ -22,7 +22,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear, with lang set to it; texts that are null or have no letter go."""
+    """Documents whose language is clear, with lang set to it; texts that are null, have no letter or are mostly of words that no learned language supports go."""
     model = langid.fit(docs)
     found = langid.keep_clear(docs, model, CLEAR)
     return found.select(*[F.col(c) for c in docs.columns])

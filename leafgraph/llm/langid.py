@@ -64,12 +64,14 @@ class Model:
         self.switch = switch
         self.place: dict[str, int] = {}
         self.known = np.empty((0, len(self.languages)), np.float32)  # scores of the words in `place`
+        self.supported = np.empty(0, bool)  # which of them some language supports
 
-    def score_new(self, words: list[str]) -> np.ndarray:
+    def score_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """log P(word | language) for each language less that of the best, for all words at once; languages of other scripts are far behind.
 
         The n-grams of " word " are taken from all words side by side, a space between two of them: an n-gram with a
-        space inside belongs to no word. A word in a script that no language has is no evidence.
+        space inside belongs to no word. A word is no evidence if no language supports it, which comes second: its script
+        is that of no language, or it is that of all and most of the word's pairs of characters occur in none.
         """
         c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
         space = c == 32
@@ -82,7 +84,10 @@ class Model:
             fits = ~space[: len(code)] if n == 1 else np.ones(len(code), bool) if n == 2 else ~space[1 : len(code) + 1]
             code, own = code[fits], word[: len(fits)][fits]
             at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-            value = np.where((self.keys[at] == code)[:, None], self.log[at], self.unseen[n])
+            met = self.keys[at] == code
+            if n == 2:
+                seen, pairs = np.bincount(own, met, len(words) + 1)[: len(words)], np.bincount(own, minlength=len(words) + 1)[: len(words)]
+            value = np.where(met[:, None], self.log[at], self.unseen[n])
             for k in range(out.shape[1]):
                 out[:, k] += np.bincount(own, value[:, k], len(words) + 1)[: len(words)]
         out = out / len(LENGTHS)
@@ -91,7 +96,8 @@ class Model:
         at = np.searchsorted(self.range_start, first, "right") - 1
         script = np.where((at >= 0) & (first <= self.range_end[at]), self.range_script[at], len(self.able) - 1)
         able = self.able[script]
-        return np.where(able.any(axis=1, keepdims=True), np.where(able, out, -40.0), 0.0)
+        supported = able.any(axis=1) & (~able.all(axis=1) | (2 * seen >= pairs))
+        return np.where(supported[:, None], np.where(able, out, -40.0), 0.0), supported
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word."""
@@ -100,12 +106,19 @@ class Model:
         place, n = self.place, len(self.place)
         if new := [w for w in dict.fromkeys(words) if w not in place]:
             if n + len(new) > len(self.known):
-                self.known = np.concatenate([self.known[:n], np.empty((max(n, 2 * len(new)), len(self.languages)), np.float32)])
+                more = max(n, 2 * len(new))
+                self.known = np.concatenate([self.known[:n], np.empty((more, len(self.languages)), np.float32)])
+                self.supported = np.concatenate([self.supported[:n], np.empty(more, bool)])
             for low in range(0, len(new), CHUNK):  # some ten MB of arrays at a time
-                self.known[n + low : n + min(low + CHUNK, len(new))] = self.score_new(new[low : low + CHUNK])
+                some = slice(n + low, n + min(low + CHUNK, len(new)))
+                self.known[some], self.supported[some] = self.score_new(new[low : low + CHUNK])
             place.update(zip(new, range(n, n + len(new)), strict=True))
         return self.known[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
+    def supports(self, words: list[str]) -> np.ndarray:
+        """Whether some language supports each word; for words that were just scored."""
+        return self.supported[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+
     def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The best language and the scores of every word of every text: Viterbi over all texts side by side, the longest first."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -219,15 +232,15 @@ def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_clear(docs: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is found with a score of at least `least`, lang_col set to it; all other columns stay.
+    """The rows of docs whose language is found with a clearness of at least `least`, lang_col set to it; all other columns stay.
 
-    Rows with a null text or without a letter go. No shuffle.
+    See `clearness`. Rows with a null text or without a letter go. No shuffle.
     """
     def run(batches):
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             found = [x for group in text_groups(texts, GROUP) for x in main_languages([WORD.findall(t.lower()) for t in group], model)]
-            keep = pa.array([score >= least and lang != "und" for lang, score in found], pa.bool_())
+            keep = pa.array([clear >= least and lang != "und" for lang, clear in found], pa.bool_())
             columns = [pa.array([lang for lang, _ in found], pa.string()) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, docs_names).filter(keep)
 
@@ -238,13 +251,28 @@ def keep_clear(docs: DataFrame, model: Model, least: float, text_col: str = "tex
 
 
 def main_languages(words: list[list[str]], model: Model) -> list[tuple[str, float]]:
-    """(language, score) of each text, given by its words."""
+    """(language, clearness) of each text, given by its words."""
     out = []
     for own, (path, scores) in zip(words, model.label(words), strict=True):
-        out.append(("und", 0.0) if not own else main_of(own, path, scores, model))
+        out.append(("und", 0.0) if not own else clearness(own, path, scores, model))
     return out
 
 
+def clearness(words: list[str], path: np.ndarray, scores: np.ndarray, model: Model) -> tuple[str, float]:
+    """The main language of the words that some language supports, and how far its score lies from 1 in K languages (0) to certainty (1).
+
+    The least score that a best language can have is 1 in K, so this says the same for any K. It is 0 where words that no
+    language supports have most of the letters.
+    """
+    supported = model.supports(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    if 2 * size[supported].sum() < size.sum():
+        return main_of(words, path, scores, model)[0], 0.0
+    lang, score = main_of([w for w, good in zip(words, supported, strict=True) if good], path[supported], scores[supported], model)
+    chance = 1 / len(model.languages)
+    return lang, score if chance == 1 else max(0.0, (score - chance) / (1 - chance))
+
+
 def main_of(words: list[str], path: np.ndarray, scores: np.ndarray, model: Model) -> tuple[str, float]:
     letters = np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(model.languages))
     main = int(letters.argmax())

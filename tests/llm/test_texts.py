@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from leafgraph.llm import bpe, fingerprints, langid, packing, pii, sharding
 from leafgraph.llm.queries import QUERIES, VOCABULARY
 
@@ -228,3 +229,19 @@ def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
     first = [r["text"].split()[1] for r in rows if "again" in r["text"]]
     assert len({*first}) == 40 and all(r["text"].count(r["text"].split()[1]) == 2 for r in rows if "again" in r["text"])
     assert len({r["text"].split()[-1] for r in rows if "again" in r["text"]}) == 1 and not {*first} & {r["text"] for r in rows} and "240.0.0.1" not in str(rows)
+
+
+def test_unclear_languages_are_rejected(spark):
+    clean = {"en": "the cat sat on the mat and ran home with the others", "de": "der Hund und die Katze lagen nicht auf dem Bett", "fr": "le chat est dans la maison avec les enfants", "es": "el perro está en la casa con los niños"}
+    sample = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate([*clean.items()] * 5)], "doc_id long, text string, lang string")
+    model = langid.fit(sample)
+    chinese, strange = "语言识别 需要 很多 文本", "ŵŷžx qŵŷž žŷqŵ xžŵq"
+    docs = [(1, chinese), (2, "кот сидел на окне и спал"), (3, " ".join(" ".join([t] * 6)[: 6 * 40] for t in clean.values())), (4, strange), (5, f"the cat {chinese} {chinese}")]
+    good = [(10 + i, t, lang) for i, (lang, t) in enumerate(clean.items())] + [(20, f"{clean['en']} on the mat {chinese}", "en")]
+    rows = spark.createDataFrame([(i, t, None) for i, t in docs] + [(i, t, None) for i, t, _ in good], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_clear(rows, model, corpus_pipeline.CLEAR).collect()}
+    assert kept == {i: lang for i, _, lang in good}
+    for n in (1, 2, 8):  # the threshold means the same for any number of languages
+        few = spark.createDataFrame([(i, clean["en"], f"l{i % n}") for i in range(8)], "doc_id long, text string, lang string")
+        kept = langid.keep_clear(few, langid.fit(few), corpus_pipeline.CLEAR)
+        assert kept.count() == (8 if n == 1 else 0)
