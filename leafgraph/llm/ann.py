@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgraph.session import cut
+from leafgraph.session import cut, small_side
 
 #: Hash tables, and buckets that a query visits in each. Chosen for a recall of 0.95 among the 20 nearest of vectors
 #: that have no clusters (the hardest case); see tests.
@@ -55,12 +55,12 @@ def nearest_axes(x: np.ndarray, table: int, count: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(signed, top, 1), axis=1, kind="stable"), 1)
 
 
-def on_sphere(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Unit vectors with one more component, whose angles order the rows of x as inner products with a query do."""
+def on_sphere(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
+    """Unit vectors with one more component, whose angles order rows of one `longest` as inner products with a query (None) do."""
     norms = np.linalg.norm(x, axis=1)
-    if query:
+    if longest is None:
         return np.hstack([x / norms[:, None], np.zeros((len(x), 1))])
-    return np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))[:, None]])
+    return np.hstack([x / longest[:, None], np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))[:, None]])
 
 
 def usable(vector: Column) -> Column:
@@ -74,12 +74,12 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _hashes(vectors: DataFrame, longest: float, query: bool, tables: int, count: int) -> DataFrame:
-    """(class_id, vector, part, axes): a row for each vector, table and part of its buckets that the vector's axes lie in."""
+def _hashes(vectors: DataFrame, query: bool, tables: int, count: int) -> DataFrame:
+    """(class_id, vector, band, part, axes): a row for each vector, table and part of its buckets that the vector's axes lie in."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for size, own in pdf.groupby(pdf["vector"].map(len)):
-                x = on_sphere(np.stack(own["vector"].to_numpy()).astype(np.float64), longest, query)
+                x = on_sphere(np.stack(own["vector"].to_numpy()).astype(np.float64), None if query else own["longest"].to_numpy())
                 for t in range(tables):
                     axes = np.sort(nearest_axes(x, t, count), axis=1)
                     wide = -(-2 * (1 << max(1, x.shape[1] - 1).bit_length()) // PARTS)
@@ -88,17 +88,18 @@ def _hashes(vectors: DataFrame, longest: float, query: bool, tables: int, count:
                         some = np.flatnonzero(inside.any(axis=1))
                         if not len(some):
                             continue
-                        yield pd.DataFrame({"class_id": own["class_id"].to_numpy()[some], "vector": own["vector"].to_numpy()[some], "part": (size * tables + t) * PARTS + p, "axes": [axes[i][inside[i]] for i in some]})
+                        yield pd.DataFrame({"class_id": own["class_id"].to_numpy()[some], "vector": own["vector"].to_numpy()[some], "band": own["band"].to_numpy()[some], "part": (size * tables + t) * PARTS + p, "axes": [axes[i][inside[i]] for i in some]})
 
-    return vectors.select("class_id", "vector").mapInPandas(run, "class_id long, vector array<float>, part long, axes array<int>")
+    return vectors.select("class_id", "vector", "band", "longest").mapInPandas(run, "class_id long, vector array<float>, band int, part long, axes array<int>")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds its k nearest others found, by inner product.
 
     Every usable row is indexed and a query's own row is left out; see `usable` for rows that take no part, and rows of
-    another length than the query's aren't compared. Ties go to the smaller vec_id; with fewer candidates than k all found
-    come. Equal vectors are one class and are searched once: a class enters with its k + 1 smallest ids, which is all that
+    another length than the query's aren't compared. Ties go to the smaller vec_id; with fewer candidates than k all
+    come. Vectors are hashed by bands of norms that differ by a factor of two at most, each scaled by its own longest, and
+    a query probes all bands. A query that so meets fewer than k others is searched exactly, block by block. Equal vectors are one class and are searched once: a class enters with its k + 1 smallest ids, which is all that
     any result can hold. A table's buckets are dealt to PARTS parts and a part is split by hashes of class ids into
     blocks of about BLOCK vectors, each met by the queries that probe some bucket of the part, so that no bucket is
     gathered whole; a query meets the vectors of the buckets that it probes, and each block gives it its best only. Scores are computed again from the original vectors. Ids should be unique: rows that repeat
@@ -106,16 +107,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    classes = cut(rows.groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.max("query").alias("query")))
-    longest = classes.agg(F.max(F.sqrt(inner_product(F.col("vector"), F.col("vector"))))).first()[0] or 1.0
+    classes = rows.groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.max("query").alias("query"), F.least(F.count("*"), F.lit(k + 1)).alias("copies"))
+    classes = classes.withColumn("norm", F.sqrt(inner_product(F.col("vector"), F.col("vector")))).withColumn("size", F.size("vector"))
+    classes = cut(classes.withColumn("band", F.round(F.log2("norm")).cast("int")))
+    longest = classes.groupBy("size", "band").agg(F.max("norm").alias("longest"))  # at most some 280 bands of a size
+    banded = classes.join(small_side(cut(longest)), ["size", "band"])
     order = Window.partitionBy("vector").orderBy("vec_id")
     members = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).join(classes.select("vector", "class_id"), "vector").select("class_id", "vec_id")
 
-    index = _hashes(classes, longest, False, tables, 1)
-    queries = _hashes(classes.where("query"), longest, True, tables, probes)
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    index = index.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).drop("blocks")
-    queries = queries.join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -136,9 +135,24 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables
             out.append(best[best["score"] > -np.inf])
         return pd.concat(out)
 
-    found = queries.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInPandas(search, "query long, class_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
-    found = found.groupBy("query", "class_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1 + SPARE).select("query", "class_id")
+    def search_blocks(queries: DataFrame, index: DataFrame) -> DataFrame:
+        """(query, class_id): the best of each query of all blocks of the parts that it goes to."""
+        sizes = small_side(cut(index.groupBy("part", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))))
+        index = index.join(sizes, ["part", "band"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).drop("blocks")
+        queries = queries.drop("band").join(sizes, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may come from the same frames
+        keys = ["part", "band", "block"]
+        found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(search, "query long, class_id long, score double")
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
+        return found.groupBy("query", "class_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1 + SPARE).select("query", "class_id")
+
+    own = classes.where("query").select(F.col("class_id").alias("query"), "class_id")
+    found = cut(search_blocks(_hashes(banded.where("query"), True, tables, probes), _hashes(banded, False, tables, 1)).union(own).distinct())
+    met = found.join(classes.select("class_id", "copies"), "class_id").groupBy("query").agg(F.sum("copies").alias("met")).where(F.col("met") <= k)
+    few = cut(met.select(F.col("query").alias("class_id")))
+    if not few.isEmpty():
+        whole = classes.select("class_id", "vector", F.lit(0).alias("band"), F.col("size").cast("long").alias("part"), F.array(F.lit(0)).alias("axes"))
+        found = found.union(search_blocks(whole.join(small_side(few), "class_id", "left_semi"), whole)).distinct()
     theirs, mine = classes.select("class_id", F.col("vector").alias("theirs")), classes.select(F.col("class_id").alias("query"), F.col("vector").alias("mine"))
     exact = found.join(theirs, "class_id").join(mine, "query").select("query", "class_id", inner_product(F.col("mine"), F.col("theirs")).alias("score"))
     per_class = exact.join(members, "class_id").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)

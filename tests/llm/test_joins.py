@@ -120,6 +120,28 @@ def test_long_vectors_rule_the_inner_product(spark):
     assert len({(r["query_id"], r["vec_id"]) for r in got} & true) >= 0.9 * len(true)
 
 
+def recall(spark, x, ask=20, k=20):
+    """(share of the true nearest that are found, rows) at production parameters."""
+    rows = [(i, v.astype(np.float32).tolist(), i < ask) for i, v in enumerate(x)]
+    got = ann.nearest_neighbours(spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<float>"), F.col("vec_id") < ask).collect()
+    true = {(q, i) for q, _, i, _ in nearest(rows, k)}
+    return len({(r["query_id"], r["vec_id"]) for r in got} & true) / len(true), len(got)
+
+
+def test_one_long_vector_hides_no_other(spark):
+    x = np.random.default_rng(6).normal(size=(2_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[-1] *= 100
+    share, rows = recall(spark, x)
+    assert share >= 0.9 and rows == 20 * 20
+
+
+def test_few_vectors_are_all_found(spark):
+    for n in (15, 21):
+        share, rows = recall(spark, np.random.default_rng(n).normal(size=(n, 64)), ask=n)
+        assert share == 1 and rows == n * min(20, n - 1)
+
+
 URLS = [
     (1, "https://a.org/en/1"), (2, "http://example.org/es/x"), (3, "http://m.EXAMPLE.org/en/12?q=/"), (4, "http://x.com/fr/"), (5, "http://x.com/de/#y"), (6, "http://notorg/"), (7, "http://a.org"), (8, None), (9, "no scheme"), (10, "ftp://a.net?x"), (11, "http://ÄB.net/Ü"), (12, "://h/p"),
     (13, "http://freecasinowin.net/x"), (13, "http://freecasinowin.net/x"), (None, "http://casino-win.example.net/en/5"), (14, ""), (15, "http://" + "a" * 3000 + ".net/" + "b" * 5000),
