@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.llm.batches import id_and_text
-from leafgraph.llm.bpe import PATTERN, RankArrayBPE
+from leafgraph.llm.bpe import PATTERN, RankArrayBPE, load
 from leafgraph.operators.numbering import number_within
 from leafgraph.session import cut
 
@@ -30,6 +30,17 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _loaded[path]
 
 
+def encode(path: str, text: str) -> bytes:
+    """A text's ids as little-endian 32-bit numbers. The compiled encoder refuses very long runs of white space; such a text goes to op2's."""
+    try:
+        return encoding(path).encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+    except ValueError:
+        slow = load(path)
+        out = slow.encode_many([text])[0]
+        slow.words, slow.spaced = {}, {}  # words of millions of characters aren't kept
+        return out
+
+
 def shortest_pack_first(histogram: dict[int, int], most: int) -> list[tuple[list[int], int]]:
     """Packing patterns with their counts: (lengths, how many sequences look like this).
 
@@ -91,8 +102,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, most: int = 2048,
 
     def run(batches):
         for batch in batches:
-            encode = encoding(path).encode_to_numpy
-            rows = [encode(t or "", allowed_special="all").astype("<u4").tobytes() + end for t in batch.column(1).to_pylist()]
+            rows = [encode(path, t or "") + end for t in batch.column(1).to_pylist()]
             step = 4 * most
             cuts = [(i, at, row[at : at + step]) for i, row in enumerate(rows) for at in range(0, len(row), step)]
             index = pa.array([i for i, _, _ in cuts], pa.int64())

@@ -76,6 +76,17 @@ def test_packing(spark, odd, nothing, library):
     assert packing.pack_documents(nothing, VOCABULARY).isEmpty()
 
 
+def test_very_long_white_space_is_packed(spark):
+    texts = {1: "a" + " " * 2_000_000 + "b", 2: "a \n" * 10 + "\n" * 2_000_000 + "<|endoftext|> c", 3: "plain text"}
+    rows = packing.token_pieces(spark.createDataFrame([*texts.items()], "doc_id long, text string"), VOCABULARY, with_ids=True).collect()
+    own = bpe.RankArrayBPE(VOCABULARY)
+    for doc_id, text in texts.items():
+        ids = [i for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == doc_id for i in r["ids"]]
+        assert ids[-1] == 1 and own.decode(np.array(ids[:-1])) == text
+    for short in ("a" + " " * 5_000 + "b", "a \n" * 10 + "\n" * 5_000 + "<|endoftext|> c"):
+        assert own.encode_many([short])[0] == packing.encode(VOCABULARY, short)
+
+
 def test_shortest_pack_first_places_every_length():
     rng = np.random.default_rng(1)
     for _ in range(30):
