@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from leafgraph.llm import langid, ngram_join, packing, pii
 from leafgraph.llm.queries import KEY, VOCABULARY, table
-from leafgraph.session import BROADCAST_ROWS, cut, shared_dir
+from leafgraph.session import cut, shared_dir, small_side
 
 #: How far the score of a document's language must lie from chance (0: 1 in K languages) to certainty (1); under it the language counts as unclear.
 CLEAR = 0.2
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without those whose doc_id is in `gone`, which is broadcast if it has few rows; a null doc_id stays."""
-    gone = cut(gone.select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
+#: Name of the key that tells rows apart whose doc_id is null or repeated.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, written once to the shared folder so that every pass sees the same."""
+    folder = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +34,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id."""
-    classes = ngram_join.jaccard_join(docs)
-    return without(docs, classes.where("doc_id <> class_id"))
+    """Of each group of near copies one row: that with the least doc_id, null last; among rows that share it, one of them."""
+    rows = keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
+    classes = ngram_join.jaccard_join(rows.select(order.alias("key"), "text"), id_col="key")
+    gone = small_side(cut(classes.where("doc_id <> class_id").select(F.col(f"doc_id.{ROW}").alias(ROW))))
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,15 +64,15 @@ def set_id(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, sid, size, bands) of each row of (doc_id, text): the id of its shingle set, the set's size, its band hashes."""
+    """(doc_id, key, sid, size, bands) of each row of (doc_id, text, key): the id of its shingle set, the set's size, its band hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, signer = ShingleHasher(words), Signer(bands, rows)
         for batch in batches:
             sets = [np.unique(hasher.hashes(t)) for t in batch.column(1).to_pylist()]
             signed = pa.array([signer.of(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), signed], ["doc_id", "sid", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), signed], ["doc_id", "key", "sid", "size", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, sid binary, size int, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, key long, sid binary, size int, bands array<long>")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -146,9 +146,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     Expected recall: `recall` of the pairs at `similarity`, more above; chains make up for most of the rest in class_id.
     """
     bands, rows = bands_for(similarity, recall)
-    source = id_and_text(docs, id_col, text_col)
+    source = id_and_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     signed = cut(signatures(source, words, bands, rows))
-    nodes = cut(signed.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = cut(signed.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("holder"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
 
     # Candidates: each node of a band bucket with the bucket's least node.
     banded = nodes.select("sid", F.explode("bands").alias("band"))
@@ -157,7 +157,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     clusters = cut(connected_components(stars, "sid", "root"))
 
     # Blocks: components of up to BLOCK nodes are one block; larger ones are dealt by size level, then by hash.
-    members = nodes.select("sid", "first", "copies", "size").join(small_side(clusters.select(F.col("id").alias("sid"), F.col("component").alias("cluster"))), "sid")
+    members = nodes.select("sid", "holder", "copies", "size").join(small_side(clusters.select(F.col("id").alias("sid"), F.col("component").alias("cluster"))), "sid")
     members = cut(members)
     large = small_side(cut(members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)))
     level = F.floor(F.ln("size") / F.lit(float(-np.log(similarity)))).cast("int")
@@ -178,9 +178,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     down = F.when(F.col("k_below").isNotNull(), F.transform(every(F.col("k_below")), lambda j: route(lv - 1, j, lv, bl, 1, F.lit(True))))
     none = F.filter(own, lambda x: F.lit(False))
     routes = members.withColumn("to", F.concat(own, F.coalesce(up, none), F.coalesce(down, none)))
-    routed = cut(routes.select("sid", "first", "cluster", "copies", "to"))
+    routed = cut(routes.select("sid", "holder", "cluster", "copies", "to"))
 
-    # The sets of the candidates only, made again from the text of one document each.
+    # The sets of the candidates only, made again from the text of one document each, found by its id, null or not, and a hash of the text.
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(words)
         for batch in batches:
@@ -189,8 +189,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
                 made = [np.unique(hasher.hashes(t)) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in made], pa.binary()), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["sid", "shingles"])
 
-    wanted = routed.select(F.col("first").alias("doc_id")).distinct()
-    texts = source.join(small_side(wanted), "doc_id", "left_semi").select("text")
+    wanted = small_side(routed.select(F.col("holder.doc_id").alias("held_id"), F.col("holder.key").alias("held_key")).distinct())
+    texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["held_id"]) & (source["key"] == wanted["held_key"]), "left_semi").select("text").distinct()
     made = texts.mapInArrow(sets, "sid binary, shingles array<long>").dropDuplicates(["sid"])
     work = made.join(routed, "sid").withColumn("to", F.explode("to")).select("sid", "cluster", "copies", "shingles", "to.*")
     keys = ["cluster", "level_a", "block_a", "level_b", "block_b"]

@@ -69,6 +69,24 @@ def test_large_components_go_by_blocks(spark, monkeypatch):
     assert joined(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def long_text(word, changed=()):
+    return " ".join(f"{word}{i}" if i not in changed else f"new{i}" for i in range(100))
+
+
+def test_rows_with_null_and_shared_ids_are_linked(spark):
+    docs = [(None, long_text("a")), (None, long_text("a", {99})), (1, long_text("b")), (1, long_text("c")), (2, long_text("b", {0})), (2, long_text("c", {50})), (None, long_text("d")), (None, long_text("d"))]
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_one_row_of_each_class_stays(spark):
+    near = [(None, long_text("a")), (None, long_text("a", {99})), (None, long_text("a")), (1, long_text("b")), (1, long_text("b")), (2, long_text("c")), (2, long_text("b", {0})), (3, long_text("d")), (3, long_text("d", {5})), (None, long_text("d")), (None, "alone and without an id here"), (None, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.ngram_jaccard(spark, docs, SF)
+    rows = [(r["doc_id"], (r["text"] or "")[:1]) for r in left.collect()]
+    assert left.columns == docs.columns
+    assert sorted(rows, key=repr) == sorted([(None, "a"), (1, "b"), (2, "c"), (3, "d"), (7, ""), (None, "a")], key=repr)
+
+
 def test_bands_reach_the_recall():
     for similarity, recall in [(0.8, 0.995), (0.5, 0.9), (0.95, 0.999)]:
         bands, rows = ngram_join.bands_for(similarity, recall)
