@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.session import cut
+from leafgraph.session import cut, release
 
+#: Edges of one node from which on a join with its minimum must be one that AQE can split.
+HUB = 1_000_000
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether all edges (u, v) are stars already, v their centres, and how many edges the busiest node has."""
+    up = edges.groupBy("u").agg(F.count("*").alias("nu")).withColumnRenamed("u", "id")
+    down = edges.groupBy("v").agg(F.count("*").alias("nv")).withColumnRenamed("v", "id")
+    ends = up.join(down, "id", "full").select(F.coalesce("nu", F.lit(0)).alias("nu"), F.coalesce("nv", F.lit(0)).alias("nv"))
+    tangled, most = ends.agg(F.max((F.col("nu") > 1) | ((F.col("nu") > 0) & (F.col("nv") > 0))), F.max(F.col("nu") + F.col("nv"))).first()
+    return not tangled, most or 0
 
 
 def connected_components(edges: DataFrame, src: str = "from_id", dst: str = "to_id", max_rounds: int = 100) -> DataFrame:
@@ -17,25 +25,28 @@ def connected_components(edges: DataFrame, src: str = "from_id", dst: str = "to_
 
     Direction, repeated edges and extra columns don't matter; a self-loop makes a component of one node; an edge with a
     null end is skipped. Ids may be of any type that Spark orders. Alternating large-star and small-star rounds, O(log^2 n)
-    of them; each round's edges go to the shared folder. The minimum of each node is written before it is joined, so
-    that both sides of the join are plain exchanges, which AQE splits where a hub's edges are skewed.
+    of them; each round's edges go to the shared folder, those of the round before are deleted. Where a node has very many
+    edges, the minimum of each node is written before it is joined, so that both sides of the join are plain exchanges,
+    which AQE splits where they are skewed.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    ends = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = ends.where("u = v").select("u")
-    now = cut(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    now = first = cut(ends.where("u <> v"))
     for _ in range(max_rounds):
-        if (mark := _fingerprint(now)) == before:
+        settled, busiest = _shape(now)
+        if settled:
             break
-        before = mark
+        fixed = cut if busiest >= HUB else lambda df: df
         # Large-star: every larger neighbour of u is linked to the least of u's neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least_large = fixed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = cut(both.join(least_large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small-star: u and its smaller neighbours are linked to the least of them.
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = fixed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(large, least_large, least, before if before is not first else None)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = now.select(F.col("v").alias("id")).unionByName(nodes.select(F.col("u").alias("id"))).distinct()

@@ -23,13 +23,13 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, s
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit("number"), *order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__salt").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = cut(counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__salt").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")))
     local = Window.partitionBy(*keys, "__salt").orderBy(*order)
     numbered = salted.withColumn("__row", F.row_number().over(local))
     same: Column = numbered["__salt"] == offsets["__s"]
     for i, k in enumerate(keys):
         same = same & numbered[k].eqNullSafe(offsets[f"__k{i}"])
-    joined = numbered.join(small_side(cut(offsets), 200_000), same)
+    joined = numbered.join(small_side(offsets), same)
     return joined.select(*[numbered[c] for c in df.columns], (F.col("__offset") + F.col("__row") - 1).alias(name))
 
 
