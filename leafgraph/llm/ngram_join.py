@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +17,10 @@ from leafgraph.session import cut, small_side
 
 #: Words of a shingle, least similarity, share of the pairs at just this similarity that banding must propose.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
-#: Distinct texts in a block; pairs are verified block against block. Shingle hashes of a matrix slice.
-BLOCK, COLUMNS = 256, 8_192
+#: Distinct texts and shingles of a block at most; pairs are verified block against block. Shingle hashes of a matrix slice.
+BLOCK, SHINGLES, COLUMNS = 128, 2_000_000, 8_192
+#: Candidates to a task when they are verified.
+TASK = 2_000
 
 
 def bands_for(similarity: float, recall: float, most_hashes: int = 256) -> tuple[int, int]:
@@ -95,39 +96,39 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify_block(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """(sid, peer, links) from one pair of blocks: how many rows of the table each set links to, and edges that join what is linked."""
-    sides = [pdf[pdf["side"] == s] for s in (0, 1)]
-    a = sides[0]
-    b = sides[1] if len(sides[1]) else a
-    within = not len(sides[1])
-    if not len(a) or (pdf["pair"].iloc[0] and within):
-        return pd.DataFrame({"sid": [], "peer": [], "links": []})
-    sets_a, sets_b = [[np.asarray(s) for s in x["shingles"]] for x in (a, b)]
+def linked_groups(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a matrix of links the least number (rows first, then columns) that a chain of links leads to."""
+    rows, columns = linked.shape
+    a, b, none = np.arange(rows), np.arange(columns) + rows, rows + columns
+    while True:
+        new_b = np.minimum(b, np.where(linked, a[:, None], none).min(axis=0, initial=none))
+        new_a = np.minimum(a, np.where(linked, new_b[None, :], none).min(axis=1, initial=none))
+        if (new_a == a).all() and (new_b == b).all():
+            return a, b
+        a, b = new_a, new_b
+
+
+def verify(a: list[tuple], b: list[tuple] | None, similarity: float) -> list[tuple[bytes, bytes, int]]:
+    """(sid, peer, links) from the sets (sid, copies, shingles) of two blocks, or of one (b is None).
+
+    links: how many rows of the table a set is linked to; sid and peer: edges that join what is linked. Sets without links
+    are left out.
+    """
+    within, b = b is None, a if b is None else b
+    sets_a, sets_b = [x[2] for x in a], [x[2] for x in b]
     shared = shared_counts(sets_a, sets_b)
     sizes_a, sizes_b = np.array([*map(len, sets_a)]), np.array([*map(len, sets_b)])
     linked = shared >= similarity * (sizes_a[:, None] + sizes_b[None, :] - shared) - 1e-9 * sizes_a[:, None]
     if within:
         np.fill_diagonal(linked, False)
-    # One edge from each set to the first that it links to, and one from each other partner to its own first: these join all that is linked.
-    links_a, links_b = linked @ b["copies"].to_numpy(), linked.T @ a["copies"].to_numpy()
-    ids_a, ids_b = a["sid"].to_numpy(), b["sid"].to_numpy()
-    root = np.arange(len(a) + (0 if within else len(b)))
-    shift = 0 if within else len(a)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in np.argwhere(linked):
-        x, y = find(i), find(j + shift)
-        root[max(x, y)] = min(x, y)
-    every = ids_a if within else np.concatenate([ids_a, ids_b])
-    links = links_a if within else np.concatenate([links_a, links_b])
-    some = np.flatnonzero(links)
-    return pd.DataFrame({"sid": every[some], "peer": [every[find(i)] for i in some], "links": links[some].astype(np.int64)})
+    links = [linked @ np.array([x[1] for x in b])]
+    group = [linked_groups(linked | np.eye(*linked.shape, dtype=bool))[0]] if within else []
+    if not within:
+        links.append(linked.T @ np.array([x[1] for x in a]))
+        group = [*linked_groups(linked)]
+    ids = [x[0] for x in (a if within else [*a, *b])]
+    links, group = np.concatenate(links), np.concatenate(group)
+    return [(ids[i], ids[group[i]], int(links[i])) for i in np.flatnonzero(links)]
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,10 +140,11 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     itself too; n_links counts the other rows that this one is linked to. Null and empty texts count as copies of each
     other. Rows with a null doc_id belong to their class but don't name it, unless all do. Other columns aren't read.
 
-    Rows with equal sets become one node first. Nodes that share a band hash are candidates; the components of the
-    candidate graph bound what has to be compared. A component is split into blocks by hash, and, where it has more than
-    BLOCK nodes, first by size: only sets whose sizes allow the similarity meet. Each pair of blocks is verified in a task
-    of its own on the full sets, which gives counts and edges of a spanning forest, never pairs. No candidate is dropped.
+    Rows with equal sets become one node first. Nodes that share a band hash are candidates. Each node has a home, the
+    fullest of its buckets, and a home's nodes are dealt to blocks of about BLOCK nodes and at most SHINGLES shingles, by
+    size first: only sets whose sizes allow the similarity meet. Two blocks are compared if some bucket has nodes of both,
+    so what is compared grows with the candidates and not with what a chain of them joins. A pair of blocks is verified on
+    the full sets and gives counts and edges of a spanning forest, never pairs of rows. No candidate is dropped.
     Expected recall: `recall` of the pairs at `similarity`, more above; chains make up for most of the rest in class_id.
     """
     bands, rows = bands_for(similarity, recall)
@@ -150,35 +152,24 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     signed = cut(signatures(source, words, bands, rows))
     nodes = cut(signed.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("holder"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
 
-    # Candidates: each node of a band bucket with the bucket's least node.
-    banded = nodes.select("sid", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.min("sid").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    stars = banded.join(small_side(shared), "band").where("sid <> root").select("sid", "root").distinct()
-    clusters = cut(connected_components(stars, "sid", "root"))
-
-    # Blocks: components of up to BLOCK nodes are one block; larger ones are dealt by size level, then by hash.
-    members = nodes.select("sid", "holder", "copies", "size").join(small_side(clusters.select(F.col("id").alias("sid"), F.col("component").alias("cluster"))), "sid")
-    members = cut(members)
-    large = small_side(cut(members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)))
+    # Candidates with the buckets that they share, the fullest of which is their home.
+    banded = nodes.select("sid", "size", F.explode("bands").alias("band"))
+    buckets = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    met = banded.join(small_side(buckets), "band").groupBy("sid", "size").agg(F.max(F.struct("n", "band"))["band"].alias("home"), F.collect_set("band").alias("buckets"))
     level = F.floor(F.ln("size") / F.lit(float(-np.log(similarity)))).cast("int")
-    members = members.join(large, "cluster", "left").withColumn("level", F.when(F.col("n").isNull(), 0).otherwise(level)).drop("n")
-    blocks = cut(members.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")))
-    above = blocks.select("cluster", (F.col("level") - 1).alias("level"), F.col("k").alias("k_above"))
-    below = blocks.select("cluster", (F.col("level") + 1).alias("level"), F.col("k").alias("k_below"))
-    shape = cut(blocks.join(above, ["cluster", "level"], "left").join(below, ["cluster", "level"], "left"))
-    members = members.join(small_side(shape), ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
-
-    def route(level_a, block_a, level_b, block_b, side, pair):
-        return F.struct(level_a.alias("level_a"), block_a.alias("block_a"), level_b.alias("level_b"), block_b.alias("block_b"), F.lit(side).alias("side"), pair.alias("pair"))
-
-    lv, bl = F.col("level"), F.col("block")
-    every = lambda k: F.sequence(F.lit(0), F.coalesce(k, F.lit(1)) - 1)
-    own = F.transform(every(F.col("k")), lambda j: F.when(j < bl, route(lv, j, lv, bl, 1, F.lit(True))).otherwise(route(lv, bl, lv, j, 0, j != bl)))
-    up = F.when(F.col("k_above").isNotNull(), F.transform(every(F.col("k_above")), lambda j: route(lv, bl, lv + 1, j, 0, F.lit(True))))
-    down = F.when(F.col("k_below").isNotNull(), F.transform(every(F.col("k_below")), lambda j: route(lv - 1, j, lv, bl, 1, F.lit(True))))
-    none = F.filter(own, lambda x: F.lit(False))
-    routes = members.withColumn("to", F.concat(own, F.coalesce(up, none), F.coalesce(down, none)))
-    routed = cut(routes.select("sid", "holder", "cluster", "copies", "to"))
+    met = cut(met.withColumn("level", level))
+
+    # Blocks of homes, and the pairs of blocks that share a bucket, each with a number that deals them to tasks evenly.
+    homes = cut(met.groupBy("home", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES)).alias("k")))
+    blocked = met.join(small_side(homes), ["home", "level"]).select("sid", "level", "buckets", F.xxhash64("home", "level", F.pmod(F.xxhash64("sid"), F.col("k"))).alias("block"))
+    blocked = cut(blocked)
+    places = cut(blocked.select("block", "level", F.explode("buckets").alias("band")).groupBy("band", "block", "level").agg(F.count("*").alias("n")))
+    other = places.select("band", F.col("block").alias("with"), F.col("level").alias("level_b"))
+    apart = places.join(other, "band").where((F.col("block") < F.col("with")) & (F.abs(F.col("level") - F.col("level_b")) <= 1)).select("block", "with")
+    pairs = apart.unionByName(places.where("n > 1").select("block", F.col("block").alias("with"))).distinct()
+    number = F.monotonically_increasing_id()
+    pairs = cut(pairs.withColumn("number", number.bitwiseAND((1 << 33) - 1) + F.shiftright(number, 33)))
+    to = cut(pairs.select("block", "with", "number", F.lit(0).alias("side"), F.col("block").alias("own")).unionByName(pairs.where("block <> with").select("block", "with", "number", F.lit(1).alias("side"), F.col("with").alias("own"))))
 
     # The sets of the candidates only, made again from the text of one document each, found by its id, null or not, and a hash of the text.
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,18 +180,44 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
                 made = [np.unique(hasher.hashes(t)) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in made], pa.binary()), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["sid", "shingles"])
 
-    wanted = small_side(routed.select(F.col("holder.doc_id").alias("held_id"), F.col("holder.key").alias("held_key")).distinct())
+    candidates = cut(nodes.select("sid", "holder", "copies").join(small_side(blocked.select("sid", "block")), "sid"))
+    wanted = small_side(candidates.select(F.col("holder.doc_id").alias("held_id"), F.col("holder.key").alias("held_key")).distinct())
     texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["held_id"]) & (source["key"] == wanted["held_key"]), "left_semi").select("text").distinct()
-    made = texts.mapInArrow(sets, "sid binary, shingles array<long>").dropDuplicates(["sid"])
-    work = made.join(routed, "sid").withColumn("to", F.explode("to")).select("sid", "cluster", "copies", "shingles", "to.*")
-    keys = ["cluster", "level_a", "block_a", "level_b", "block_b"]
-    verified = cut(work.groupBy(*keys).applyInPandas(lambda pdf: verify_block(pdf, similarity), "sid binary, peer binary, links long"))
+    made = texts.mapInArrow(sets, "sid binary, shingles array<long>")
+    work = candidates.select("sid", "copies", F.col("block").alias("own")).join(small_side(to), "own").join(made, "sid")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // TASK))
+    work = work.select("block", "with", "side", "sid", "copies", "shingles", "number").repartitionById(parts, F.pmod("number", F.lit(parts)).cast("int")).sortWithinPartitions("block", "with", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in in_pairs(batches):
+            found = verify(pair[0], pair[1] or None, similarity) if pair[0] else []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["sid", "peer", "links"])
+
+    verified = cut(work.drop("number").mapInArrow(compare, "sid binary, peer binary, links long"))
 
+    # Classes: chains of links, each named by its least id.
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
     joined = cut(connected_components(verified.where("sid <> peer"), "sid", "peer"))
-    grouped = nodes.select("sid", "first", "copies").join(small_side(joined.withColumnRenamed("id", "sid")), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    linked = cut(grouped.where("component <> sid").select("component").distinct())
-    names = grouped.join(small_side(linked), "component", "left_semi").groupBy("component").agg(F.min("first").alias("class_id"))
-    named = grouped.join(small_side(cut(names)), "component", "left").join(small_side(cut(links)), "sid", "left")
-    classes = named.select("sid", F.coalesce("class_id", "first").alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "sid").join(cut(classes), "sid").select("doc_id", "class_id", "copies", "n_links")
+    linked = nodes.select(F.col("sid").alias("id"), "first").join(small_side(joined), "id")
+    names = linked.groupBy("component").agg(F.min("first").alias("class_id"))
+    named = cut(joined.join(names, "component").select(F.col("id").alias("sid"), "class_id").join(links, "sid"))
+    classes = nodes.select("sid", "first", "copies").join(small_side(named), "sid", "left")
+    classes = cut(classes.select("sid", F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return signed.select("doc_id", "sid").join(small_side(classes), "sid").select("doc_id", "class_id", "copies", "n_links")
+
+
+def in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """The two sides of each pair of blocks, as lists of (sid, copies, shingles), from rows sorted by pair."""
+    now, sides = None, ([], [])
+    for batch in batches:
+        a, b, side, sid, copies = (batch.column(i).to_pylist() for i in range(5))
+        offsets = batch.column(5).offsets.to_numpy()
+        flat = batch.column(5).values.to_numpy()
+        for i in range(batch.num_rows):
+            if (a[i], b[i]) != now:
+                if now:
+                    yield sides
+                now, sides = (a[i], b[i]), ([], [])
+            sides[side[i]].append((sid[i], copies[i], flat[offsets[i] : offsets[i + 1]].copy()))
+    if now:
+        yield sides
