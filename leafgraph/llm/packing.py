@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -44,30 +45,36 @@ def encode(path: str, text: str) -> bytes:
 def shortest_pack_first(histogram: dict[int, int], most: int) -> list[tuple[list[int], int]]:
     """Packing patterns with their counts: (lengths, how many sequences look like this).
 
-    Lengths are placed longest first; a length goes to the open pattern with the least room that it fits (the shortest
-    pack by what is left), as often as both last, and the grown pattern takes its place among the open ones. The work
-    depends on `most` and the number of distinct lengths, not on the number of documents.
+    Lengths are placed longest first, each into the shortest pack that it fits, which is the open pattern with the most
+    room; where none has room, a new one is opened and takes the next of this length too, being the shortest now. What is
+    done at once for all packs of a pattern is what would be done for one after the other. The work depends on `most` and
+    the number of distinct lengths, not on the number of documents.
     """
     by_room: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
+    widest: list[int] = []  # rooms of open patterns, negative, as a heap; a room may stand there more than once
+
+    def put(room: int, pattern: list[int], count: int) -> None:
+        if count:
+            by_room[room].append((pattern, count))
+            heapq.heappush(widest, -room)
+
     for length in sorted(histogram, reverse=True):
         todo = histogram[length]
-        room = length
         while todo > 0:
-            while room <= most and not by_room.get(room):
-                room += 1
-            if room > most:
-                # No open pattern has room: new sequences, each with as many of this length as the rest asks for, one at a time.
-                per = min(most // length, todo)
-                by_room[most - per * length].append(([length] * per, todo // per))
-                if todo % per:
-                    by_room[most - (todo % per) * length].append(([length] * (todo % per), 1))
+            while widest and not by_room.get(-widest[0]):
+                heapq.heappop(widest)
+            room = -widest[0] if widest else 0
+            if room < length:
+                # New packs: each is the shortest until it has no room for this length any more.
+                per = most // length
+                put(most - per * length, [length] * per, todo // per)
+                put(most - todo % per * length, [length] * (todo % per), 1 if todo % per else 0)
                 todo = 0
             else:
                 pattern, count = by_room[room].pop()
                 took = min(count, todo)
-                if took < count:
-                    by_room[room].append((pattern, count - took))
-                by_room[room - length].append(([*pattern, length], took))
+                put(room, pattern, count - took)
+                put(room - length, [*pattern, length], took)
                 todo -= took
     patterns: Counter = Counter()
     for group in by_room.values():
