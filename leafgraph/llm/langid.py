@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from leafgraph.llm.batches import id_and_text, small_batches
 from leafgraph.llm.bpe import text_groups
 from leafgraph.session import cut, small_side
 
-#: Rows of each language that the model is fitted on at most (those with the least hashes of doc_id), n-grams that it keeps.
-SAMPLE_ROWS, NGRAMS = 2_000, 20_000
+#: Rows of each language that the model is fitted on at most (those with the least hashes of doc_id).
+SAMPLE_ROWS = 2_000
 #: What a change of language between two words costs, in nats; characters of an n-gram.
 SWITCH, LENGTHS = 6.0, (1, 2, 3)
 #: First and last code points of the scripts that narrow a word's candidates (fixed values; what is in none is `other`).
@@ -23,13 +24,24 @@ SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)], "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)], "cyrillic": [(0x400, 0x52F)], "hebrew": [(0x590, 0x5FF)],
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)], "devanagari": [(0x900, 0x97F)], "thai": [(0xE00, 0xE7F)], "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)], "kana": [(0x3040, 0x30FF)], "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: the first also takes numerals that aren't digits, which are rare, for letters, and is faster.
+QUICK, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 #: Words kept per worker; characters of the texts that go through Viterbi side by side.
 CACHED, GROUP = 150_000, 2_000_000
 #: Words that are scored at a time.
 CHUNK = 10_000
 
 
+def word_pattern(text: str) -> re.Pattern | regex.Pattern:
+    """The pattern whose matches in a text are its runs of letters (Unicode category L), the quick one where it has no numeral."""
+    return QUICK if all(map(str.isalpha, QUICK.findall(text))) else LETTERS
+
+
+def words_of(text: str) -> list[str]:
+    words = QUICK.findall(text)
+    return words if all(map(str.isalpha, words)) else LETTERS.findall(text)
+
+
 def _code(gram: str) -> int:
     """An n-gram of at most three characters as one number."""
     out = 0
@@ -120,7 +132,9 @@ class Model:
         return self.supported[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
     def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The best language and the scores of every word of every text: Viterbi over all texts side by side, the longest first."""
+        """The best language and the scores of every word of every text: Viterbi over all texts side by side, the longest first; nothing if no language is known."""
+        if not self.languages:
+            return [(np.empty(0, np.int8), np.empty((0, 0), np.float32))] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order])
         steps, k = int(lengths[0]) if len(lengths) else 0, len(self.languages)
@@ -155,11 +169,12 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, grams: int = NGRAMS, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from labelled documents, at most `rows` whole texts of each language, chosen by a hash of the id.
 
-    Rows with a null text or language are skipped. Words are counted in Spark; to the driver come the counts of the
-    `grams` most frequent n-grams of each language and a row for each language and script.
+    Rows with a null text or language are skipped; without any usable row the model knows no language. Words are counted
+    in Spark; to the driver come the counts of the n-grams of each language, which the sample bounds, and a row for each
+    language and script.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     # A hash of the id orders the rows of a language; those beyond three times the share that is wanted are left out before they are ordered.
@@ -175,8 +190,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, grams: int = NGRAMS, switch: f
     padded = words.withColumn("w", F.concat(F.lit(" "), "word", F.lit(" "))).withColumn("n", F.ceil(F.sqrt("n")))
     cut_up = [_grams(F.col("w"), size) for size in LENGTHS]
     counted = padded.select("lang", "n", F.explode(F.concat(*cut_up)).alias("gram")).where("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams)
-    counts = [(r["lang"], r["gram"], int(r["n"])) for r in top.collect()]
+    counts = [(r["lang"], r["gram"], int(r["n"])) for r in counted.collect()]
     scripts = words.groupBy("lang", _script_column(F.col("word")).alias("script")).agg(F.sum("n").alias("n")).collect()
     total: dict[str, int] = defaultdict(int)
     for r in scripts:
@@ -201,18 +215,19 @@ def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     Words are runs of letters, lower-cased. lang_pred has the most letters of all languages that the words are labelled
     with (ties: the first by name), score is its share of the letters times the chance that the summed evidence gives
-    it. A null text or one without a letter is `und` with score 0 and no spans. spans: from the first to past the last
+    it. A null text or one without a letter is `und` with score 0 and no spans, and so is every text under a model that
+    knows no language. spans: from the first to past the last
     letter, in code points, of each run of words of one language. Rows stay as they are; no shuffle.
     """
     def run(batches):
         for batch in batches:
             rows = []
             for group in text_groups(batch.column(1).to_pylist(), GROUP):
-                found = [[(m.start(), m.end()) for m in WORD.finditer(t)] for t in group] if spans else None
-                words = [WORD.findall(t.lower()) for t in group] if not spans else [[t[a:b].lower() for a, b in own] for t, own in zip(group, found, strict=True)]
+                found = [[(m.start(), m.end()) for m in word_pattern(t).finditer(t)] for t in group] if spans else None
+                words = [words_of(t.lower()) for t in group] if not spans else [[t[a:b].lower() for a, b in own] for t, own in zip(group, found, strict=True)]
                 for i, (own, (path, scores)) in enumerate(zip(words, model.label(words), strict=True)):
-                    if not own:
-                        rows.append(("und", 0.0, 0, []))
+                    if not own or not model.languages:
+                        rows.append(("und", 0.0, len(own), []))
                         continue
                     lang, score = main_of(own, path, scores, model)
                     pieces = []
@@ -234,12 +249,12 @@ def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def keep_clear(docs: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language is found with a clearness of at least `least`, lang_col set to it; all other columns stay.
 
-    See `clearness`. Rows with a null text or without a letter go. No shuffle.
+    See `clearness`. Rows with a null text or without a letter go, and all rows if the model knows no language. No shuffle.
     """
     def run(batches):
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            found = [x for group in text_groups(texts, GROUP) for x in main_languages([WORD.findall(t.lower()) for t in group], model)]
+            found = [x for group in text_groups(texts, GROUP) for x in main_languages([words_of(t.lower()) for t in group], model)]
             keep = pa.array([clear >= least and lang != "und" for lang, clear in found], pa.bool_())
             columns = [pa.array([lang for lang, _ in found], pa.string()) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, docs_names).filter(keep)
@@ -254,7 +269,7 @@ def main_languages(words: list[list[str]], model: Model) -> list[tuple[str, floa
     """(language, clearness) of each text, given by its words."""
     out = []
     for own, (path, scores) in zip(words, model.label(words), strict=True):
-        out.append(("und", 0.0) if not own else clearness(own, path, scores, model))
+        out.append(("und", 0.0) if not own or not model.languages else clearness(own, path, scores, model))
     return out
 
 
@@ -287,7 +302,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): fitted on the labelled documents that aren't held out, applied to all."""
+    """(doc_id, held_out, lang_pred, score): fitted on the labelled documents that aren't held out, applied to all.
+
+    See label_spans for nulls and texts without letters. Without a label every text is `und`; an empty table gives none.
+    """
     model = fit(docs.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, lang_col=lang_col)
     labelled = label_spans(docs, model, id_col, text_col, spans=False)
     return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
