@@ -19,10 +19,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.session import cut, shared_dir, small_side
+from leafgraph.session import cut, delete, scratch, small_side
 
 #: Bytes of compressed records after which an archive is closed, and bytes of neighbouring records that are read at once.
 ARCHIVE_BYTES, READ_BYTES = 16_000_000, 2_000_000
+#: Bytes of archives for each task that reads them.
+TASK_BYTES = 64_000_000
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -184,8 +186,12 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """(page_id, record_type, digest, refers_to, payload) of every record in the archives (path, size) of folder's file system.
 
     First each archive's directory and index member are read, which gives ranges of neighbouring records; then the
-    ranges are dealt to tasks, which read just these bytes. A record whose length or digest is wrong raises ValueError.
+    ranges are dealt to tasks, which read just these bytes. Rows that name archives are short and stand for much data, so
+    both are dealt to a number of tasks that is counted from the archives' bytes. A record whose length or digest is wrong
+    raises ValueError.
     """
+    count, total = archives.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     def ranges(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -218,8 +224,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
     kinds = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    found = archives.select("path", "size").repartition("path").mapInArrow(ranges, "path string, start long, length long")
-    return found.repartition("path", "start").mapInArrow(read, "page_id long, record_type string, digest string, refers_to long, payload binary")
+    found = archives.select("path", "size").repartition(max(1, min(tasks, count))).mapInArrow(ranges, "path string, start long, length long")
+    return found.repartition(max(1, min(tasks, count + total // READ_BYTES))).mapInArrow(read, "page_id long, record_type string, digest string, refers_to long, payload binary")
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
@@ -228,11 +234,12 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) ->
     See page_records for ties, nulls and repeats. A revisit's payload_bytes come from the response with its digest.
     No pages give no archives and no rows.
     """
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     target, path = fs.FileSystem.from_uri(folder)
     target.create_dir(path, recursive=True)
     archives = cut(write_archives(page_records(pages, least), folder))
     rows = cut(read_archives(archives, folder).select("page_id", "record_type", "digest", "refers_to", F.length("payload").cast("long").alias("bytes")))
+    delete(spark, folder)
     revisits = rows.where("record_type = 'revisit'")
     sizes = rows.where("record_type = 'response'").select("digest", F.col("bytes").alias("full")).dropDuplicates(["digest"])
     needed = cut(sizes.join(revisits.select("digest").distinct(), "digest", "left_semi"))
