@@ -14,7 +14,7 @@ from leafgraph.session import cut, small_side
 #: Hash tables, and buckets that a query visits in each. Chosen for a recall of 0.95 among the 20 nearest of vectors
 #: that have no clusters (the hardest case); see tests.
 TABLES, PROBES = 4, 64
-#: Parts that a table's buckets are dealt to, vectors in a block of a part, candidates kept from each block over k.
+#: Parts that a table's buckets are dealt to, vectors in a block of a part and queries in a group, candidates kept from each block over k.
 PARTS, BLOCK, SPARE = 16, 8_192, 4
 
 
@@ -57,10 +57,11 @@ def nearest_axes(x: np.ndarray, table: int, count: int) -> np.ndarray:
 
 def on_sphere(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
     """Unit vectors with one more component, whose angles order rows of one `longest` as inner products with a query (None) do."""
-    norms = np.linalg.norm(x, axis=1)
     if longest is None:
-        return np.hstack([x / norms[:, None], np.zeros((len(x), 1))])
-    return np.hstack([x / longest[:, None], np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))[:, None]])
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
+        return np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
+    x = x / longest[:, None]
+    return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]])
 
 
 def usable(vector: Column) -> Column:
@@ -74,6 +75,13 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(vector: Column) -> Column:
+    """The length of a vector, taken over its longest component, so that no square overflows or vanishes."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    squares = F.aggregate(F.transform(vector, lambda x: x.cast("double") / most), F.lit(0.0), lambda s, x: s + x * x)
+    return F.least(most * F.sqrt(squares), F.lit(1.7e308))
+
+
 def _hashes(vectors: DataFrame, query: bool, tables: int, count: int) -> DataFrame:
     """(class_id, vector, band, part, axes): a row for each vector, table and part of its buckets that the vector's axes lie in."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +98,7 @@ def _hashes(vectors: DataFrame, query: bool, tables: int, count: int) -> DataFra
                             continue
                         yield pd.DataFrame({"class_id": own["class_id"].to_numpy()[some], "vector": own["vector"].to_numpy()[some], "band": own["band"].to_numpy()[some], "part": (size * tables + t) * PARTS + p, "axes": [axes[i][inside[i]] for i in some]})
 
-    return vectors.select("class_id", "vector", "band", "longest").mapInPandas(run, "class_id long, vector array<float>, band int, part long, axes array<int>")
+    return vectors.select("class_id", "vector", "band", "longest").mapInPandas(run, f"class_id long, vector {vectors.schema['vector'].dataType.simpleString()}, band int, part long, axes array<int>")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -98,17 +106,23 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables
 
     Every usable row is indexed and a query's own row is left out; see `usable` for rows that take no part, and rows of
     another length than the query's aren't compared. Ties go to the smaller vec_id; with fewer candidates than k all
-    come. Vectors are hashed by bands of norms that differ by a factor of two at most, each scaled by its own longest, and
-    a query probes all bands. A query that so meets fewer than k others is searched exactly, block by block. Equal vectors are one class and are searched once: a class enters with its k + 1 smallest ids, which is all that
-    any result can hold. A table's buckets are dealt to PARTS parts and a part is split by hashes of class ids into
-    blocks of about BLOCK vectors, each met by the queries that probe some bucket of the part, so that no bucket is
-    gathered whole; a query meets the vectors of the buckets that it probes, and each block gives it its best only. Scores are computed again from the original vectors. Ids should be unique: rows that repeat
-    an id are taken as vectors of their own and each is left out of the queries with that id. A null id takes no part.
+    come. Components of float vectors are kept as they are, all others are taken in double precision. Vectors are hashed
+    by bands of norms that differ by a factor of two at most, each scaled by its own longest, and a query probes all
+    bands. A query that so meets fewer than k others is searched exactly. Equal vectors are one class and are searched
+    once: a class enters with its k + 1 smallest ids, which is all that any result can hold.
+
+    A table's buckets are dealt to PARTS parts. A part's vectors are split by hashes of class ids into blocks of about
+    BLOCK, and the queries that probe some bucket of the part into groups of about as many; each block meets each group in
+    a task of its own, so that neither side is gathered whole. A query meets the vectors of the buckets that it probes,
+    and each block gives it its best only. Scores are computed again from the original vectors. Ids should be unique: rows
+    that repeat an id are taken as vectors of their own and each is left out of the queries with that id. A null id takes
+    no part.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    kind = "float" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     classes = rows.groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.max("query").alias("query"), F.least(F.count("*"), F.lit(k + 1)).alias("copies"))
-    classes = classes.withColumn("norm", F.sqrt(inner_product(F.col("vector"), F.col("vector")))).withColumn("size", F.size("vector"))
+    classes = classes.withColumn("norm", norm(F.col("vector"))).withColumn("size", F.size("vector"))
     classes = cut(classes.withColumn("band", F.round(F.log2("norm")).cast("int")))
     longest = classes.groupBy("size", "band").agg(F.max("norm").alias("longest"))  # at most some 280 bands of a size
     banded = classes.join(small_side(cut(longest)), ["size", "band"])
@@ -137,11 +151,15 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables
 
     def search_blocks(queries: DataFrame, index: DataFrame) -> DataFrame:
         """(query, class_id): the best of each query of all blocks of the parts that it goes to."""
-        sizes = small_side(cut(index.groupBy("part", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))))
-        index = index.join(sizes, ["part", "band"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).drop("blocks")
-        queries = queries.drop("band").join(sizes, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
+        sizes = index.groupBy("part", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        asked = queries.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+        shape = small_side(cut(sizes.join(asked, "part")))
+        index = index.join(shape, ["part", "band"]).withColumn("block", dealt("blocks")).withColumn("group", every("groups")).drop("blocks", "groups")
+        queries = queries.drop("band").join(shape, "part").withColumn("group", dealt("groups")).withColumn("block", every("blocks")).drop("blocks", "groups")
         queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may come from the same frames
-        keys = ["part", "band", "block"]
+        keys = ["part", "band", "block", "group"]
         found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(search, "query long, class_id long, score double")
         best = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
         return found.groupBy("query", "class_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1 + SPARE).select("query", "class_id")
