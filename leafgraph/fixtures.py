@@ -30,33 +30,28 @@ SELECT c_custkey AS id, c_name AS name,
  UNION ALL SELECT 2000000 + c_custkey, concat('dangling', CAST(c_custkey AS STRING)), CAST(3000000 AS BIGINT), 1 FROM customer WHERE c_custkey < 3
 """,
     "fx_relations": """
-SELECT l_partkey AS from_id,
- (l_partkey*31 + l_suppkey*17 + l_linenumber) % (SELECT count(*) + 20 FROM part) AS to_id,
- CASE l_linenumber % 4 WHEN 0 THEN 'sibling' WHEN 1 THEN 'companion' ELSE 'reference' END AS kind
- FROM lineitem WHERE l_orderkey % 97 = 0
- UNION ALL SELECT l_partkey, (l_partkey*31 + l_suppkey*17 + l_linenumber) % (SELECT count(*) + 20 FROM part),
- CASE l_linenumber % 4 WHEN 0 THEN 'sibling' WHEN 1 THEN 'companion' ELSE 'reference' END
- FROM lineitem WHERE l_orderkey % 194 = 0
- UNION ALL SELECT (l_partkey*31 + l_suppkey*17 + l_linenumber) % (SELECT count(*) + 20 FROM part), l_partkey,
- CASE l_linenumber % 4 WHEN 0 THEN 'sibling' ELSE 'companion' END
- FROM lineitem WHERE l_orderkey % 291 = 0
- UNION ALL SELECT p_partkey, p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'companion' ELSE 'reference' END FROM part WHERE p_partkey % 50 IN (8, 9)
- UNION ALL SELECT p_partkey, p_partkey + 1, 'see' FROM part WHERE p_partkey % 100 = 5
+SELECT CASE WHEN turned = 1 AND far = 0 THEN near ELSE p END AS from_id, CASE WHEN far = 1 THEN away WHEN turned = 1 THEN p ELSE near END AS to_id, kind
+ FROM (SELECT p, turned, kind, CASE kind WHEN 'companion' THEN 1 ELSE 0 END AS far, h % (SELECT count(*) + 20 FROM part) AS away,
+  p - p % 50 + (p % 50) - (p % 50) % w + h % w AS near
+  FROM (SELECT l_partkey AS p, 1 + CAST(FLOOR(l_partkey / 50) AS BIGINT) * 7 % 50 AS w, l_partkey*31 + l_suppkey*17 + l_linenumber AS h, l_linenumber % 2 AS turned,
+   CASE WHEN l_partkey % 200 >= 150 THEN 'companion' WHEN l_linenumber = 7 THEN 'see' WHEN l_linenumber % 4 = 0 THEN 'sibling' WHEN l_linenumber % 4 = 1 THEN 'companion' ELSE 'reference' END AS kind
+   FROM lineitem) rows) ends
+ UNION ALL SELECT p_partkey, p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'companion' ELSE 'reference' END FROM part
 """,
     "fx_dag": """
 SELECT DISTINCT least(from_id,to_id) AS from_id, greatest(from_id,to_id) AS to_id FROM fx_relations WHERE kind='reference' AND from_id<>to_id
 """,
     "fx_links": """
 SELECT l_orderkey*8 + l_linenumber AS seq, l_partkey AS doc_id,
- CASE WHEN l_quantity < 4 THEN l_partkey ELSE (l_partkey*13 + l_suppkey*7) % (SELECT count(*) + 20 FROM part) END AS other_id,
+ CASE WHEN l_quantity < 4 THEN l_partkey WHEN l_linenumber % 6 = 3 THEN (l_partkey*13 + l_suppkey*7) % (SELECT count(*) + 20 FROM part) ELSE l_partkey - l_partkey % 100 + (l_partkey*13 + l_suppkey*7) % 100 END AS other_id,
  CASE l_linenumber % 6 WHEN 0 THEN 'parent' WHEN 1 THEN 'child' WHEN 2 THEN 'sibling' WHEN 3 THEN 'companion' WHEN 4 THEN 'reference' ELSE 'cousin' END AS ui_kind
- FROM lineitem WHERE l_orderkey % 89 = 1
+ FROM lineitem
 """,
     "fx_attachments": """
-SELECT o_orderkey AS id, o_custkey * 2 AS file_id, concat('f', CAST(o_orderkey AS STRING), '.zip') AS file_name,
+SELECT o_orderkey AS id, o_custkey * 2 AS file_id, concat('f', CAST(o_orderkey AS STRING), CASE o_orderkey % 6 WHEN 0 THEN '.zip' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.md' WHEN 3 THEN '.svg' WHEN 4 THEN '.unheard' ELSE '' END) AS file_name,
  CASE o_orderkey % 3 WHEN 0 THEN 'export' WHEN 1 THEN 'upload' ELSE 'reference' END AS kind,
  CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE concat('s', CAST(o_orderkey AS STRING)) END AS stored_name,
- CAST(floor(o_totalprice*100) AS BIGINT) AS size_bytes, o_orderdate AS created_utc FROM orders WHERE o_orderkey % 7 = 0
+ CAST(floor(o_totalprice*100) AS BIGINT) AS size_bytes, o_orderdate AS created_utc FROM orders
 """,
     "fx_touch": """
 SELECT event_id AS seq, ts, user_id AS file_id, CASE event_type WHEN 'view' THEN 'open' WHEN 'purchase' THEN 'save' END AS kind FROM events WHERE event_type IN ('view','purchase')
@@ -67,14 +62,14 @@ SELECT event_id AS seq, user_id AS id, CASE WHEN event_type='click' THEN concat(
  CASE WHEN event_type='view' THEN CAST(event_id % 100 AS INT) END AS sort_order FROM events
 """,
     "fx_moves": """
-SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN c_custkey * 8 + 3 WHEN 1 THEN (c_custkey*5 + 3) % (SELECT count(*) FROM customer) ELSE c_custkey END AS new_parent FROM customer WHERE c_custkey % 7 = 4 AND c_custkey > 0
+SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN c_custkey * 8 + 3 WHEN 1 THEN (c_custkey*5 + 3) % (SELECT count(*) FROM customer) ELSE c_custkey END AS new_parent FROM customer
 """,
     "fx_content": """
 SELECT doc_id AS file_id, CASE doc_id % 4
- WHEN 0 THEN concat(repeat(chr(96),3), 'mermaid', chr(10), substring(text,1,40), chr(10), repeat(chr(96),3), chr(10))
- WHEN 1 THEN concat(repeat(chr(96),3), 'sql', chr(10), substring(text,1,40), chr(10), repeat(chr(96),3), chr(10))
- WHEN 2 THEN concat('see [a](docs/b.md) and [c](HTTPS://x.example.com/', CAST(doc_id AS STRING), ')', chr(10))
- ELSE substring(text,1,200) END AS text FROM documents
+ WHEN 0 THEN concat(repeat(chr(96),3), 'mermaid', chr(10), text, chr(10), repeat(chr(96),3), chr(10), text, chr(10), '~~~', chr(10), 'x', chr(10), '~~~')
+ WHEN 1 THEN concat(text, chr(10), repeat(chr(96),3), 'sql', chr(10), text, chr(10), repeat(chr(96),3), chr(10), repeat(chr(96),3), 'sql', chr(10), repeat(chr(96),3), chr(10))
+ WHEN 2 THEN concat(text, ' [a](docs/b.md) and [c](HTTPS://x.example.com/', CAST(doc_id AS STRING), ')', chr(10), text, ' http://bare.example.com/', CAST(doc_id % 9 AS STRING), chr(10))
+ ELSE text END AS text FROM documents
 """,
     "fx_color_maps": """
 SELECT CAST(s_suppkey + 1 AS BIGINT) AS id, f.id AS owner_file_id, concat('/maps/m', CAST(s_suppkey AS STRING), '.json') AS file_path,

@@ -9,11 +9,24 @@ from leafgraph.functions.paths import canonical_path, file_name, path_ext
 from leafgraph.functions.texts import is_blank, trim_ws
 from leafgraph.operators.ingest import on_disk
 
-#: Extension to MIME type (fixed values); anything else is application/octet-stream.
+#: Extension to MIME type (fixed values): the usual web, office, picture, sound, film, font and archive types; anything else is application/octet-stream.
 MIME = {
-    ".bmp": "image/bmp", ".css": "text/css", ".csv": "text/csv", ".doc": "application/msword", ".gif": "image/gif", ".gz": "application/x-gzip", ".htm": "text/html", ".html": "text/html", ".jpeg": "image/jpeg", ".jpg": "image/jpeg",
-    ".js": "text/javascript", ".json": "application/json", ".md": "text/markdown", ".mp3": "audio/mpeg", ".mp4": "video/mp4", ".pdf": "application/pdf", ".png": "image/png", ".svg": "image/svg+xml", ".tar": "application/x-tar",
-    ".txt": "text/plain", ".wav": "audio/wav", ".webp": "image/webp", ".xml": "text/xml", ".zip": "application/x-zip-compressed",
+    ".7z": "application/x-7z-compressed", ".aac": "audio/aac", ".ai": "application/postscript", ".aif": "audio/x-aiff", ".aiff": "audio/aiff", ".apk": "application/vnd.android.package-archive",
+    ".avi": "video/x-msvideo", ".avif": "image/avif", ".bin": "application/octet-stream", ".bmp": "image/bmp", ".c": "text/plain", ".cab": "application/vnd.ms-cab-compressed", ".css": "text/css", ".csv": "text/csv",
+    ".dll": "application/x-msdownload", ".doc": "application/msword", ".docm": "application/vnd.ms-word.document.macroEnabled.12", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".dot": "application/msword", ".dotx": "application/vnd.openxmlformats-officedocument.wordprocessingml.template", ".eot": "application/vnd.ms-fontobject", ".eps": "application/postscript",
+    ".epub": "application/epub+zip", ".flv": "video/x-flv", ".gif": "image/gif", ".gz": "application/x-gzip", ".h": "text/plain", ".htm": "text/html", ".html": "text/html", ".ico": "image/x-icon",
+    ".ics": "text/calendar", ".jar": "application/java-archive", ".jpe": "image/jpeg", ".jpeg": "image/jpeg", ".jpg": "image/jpeg", ".js": "text/javascript", ".json": "application/json", ".jsx": "text/jscript",
+    ".m3u": "audio/x-mpegurl", ".m4a": "audio/mp4", ".m4v": "video/mp4", ".map": "text/plain", ".markdown": "text/markdown", ".md": "text/markdown", ".mid": "audio/mid", ".midi": "audio/mid",
+    ".mjs": "text/javascript", ".mov": "video/quicktime", ".mp3": "audio/mpeg", ".mp4": "video/mp4", ".mpeg": "video/mpeg", ".mpg": "video/mpeg", ".mpp": "application/vnd.ms-project",
+    ".odp": "application/vnd.oasis.opendocument.presentation", ".ods": "application/vnd.oasis.opendocument.spreadsheet", ".odt": "application/vnd.oasis.opendocument.text", ".oga": "audio/ogg", ".ogg": "video/ogg",
+    ".ogv": "video/ogg", ".otf": "font/otf", ".pdf": "application/pdf", ".png": "image/png", ".pps": "application/vnd.ms-powerpoint", ".ppt": "application/vnd.ms-powerpoint",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".ps": "application/postscript", ".qt": "video/quicktime", ".rar": "application/octet-stream", ".rtf": "application/rtf",
+    ".rtx": "text/richtext", ".sh": "application/x-sh", ".svg": "image/svg+xml", ".svgz": "image/svg+xml", ".swf": "application/x-shockwave-flash", ".tar": "application/x-tar", ".tex": "application/x-tex",
+    ".tgz": "application/x-compressed", ".tif": "image/tiff", ".tiff": "image/tiff", ".tsv": "text/tab-separated-values", ".ttf": "application/x-font-ttf", ".txt": "text/plain", ".vcf": "text/x-vcard",
+    ".vsd": "application/vnd.visio", ".wasm": "application/wasm", ".wav": "audio/wav", ".webm": "video/webm", ".webp": "image/webp", ".wma": "audio/x-ms-wma", ".wmv": "video/x-ms-wmv",
+    ".woff": "application/font-woff", ".woff2": "font/woff2", ".xhtml": "application/xhtml+xml", ".xls": "application/vnd.ms-excel", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".xml": "text/xml", ".xsd": "text/xml", ".xsl": "text/xml", ".xslt": "text/xml", ".z": "application/x-compress", ".zip": "application/x-zip-compressed",
 }
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph.functions.texts import is_blank, trim_ws
 from leafgraph.operators.numbering import number_rows
-from leafgraph.session import cut
+from leafgraph.operators.patches import fold_patches
+from leafgraph.session import cut, release
 
-#: Steps up the tree after which a walk answers that there is no cycle.
-WALK = 1_000
+#: Steps up the tree after which a walk answers that there is no cycle; moves that one task decides.
+WALK, MOVES = 1_000, 100_000
 
 
 def tree_order(folders: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,64 +85,103 @@ def creates_cycle(folders: DataFrame, moves: DataFrame) -> DataFrame:
 def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(folders, rejected patches) after patches (seq, id, name, parent_id, move_to_root, sort_order), in order of seq.
 
-    A patch that would make a cycle is rejected whole. Patches are taken in rounds: in each the next patch of every
-    folder is checked against the tree as it is; of patches that pass but together would make a cycle the earliest is
-    applied and the others are checked again. So the number of rounds is that of one folder's patches, not of all.
+    A patch that would make a cycle in the tree as it then is, is rejected whole; one of an unknown folder does nothing. A
+    null field means unchanged, names are trimmed, and a patch that names a parent and the root means the root. seq should
+    be unique: patches that share it are taken in order of id. Only moves depend on each other. They are taken MOVES at a
+    time: the tree is contracted to the folders that these move, by joins, and one task decides them in order; names and
+    sort orders are then folded as those of files are.
     """
-    rejected = patches.limit(0)
-    columns = folders.columns
-    todo = cut(patches.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("seq"))))
-    step = 1
-    while not todo.where(F.col("__n") >= step).isEmpty():
-        batch = cut(todo.where(F.col("__n") == step))
-        left = batch
-        while not left.isEmpty():
-            checked = cut(creates_cycle(folders, left.withColumn("new_parent", F.when(~F.coalesce("move_to_root", F.lit(False)), F.col("parent_id")))))
-            bad = checked.where("creates_cycle").select(patches.columns)
-            rejected = cut(rejected.unionByName(bad))
-            good = checked.where("not creates_cycle").drop("creates_cycle", "new_parent")
-            # Try all that passed; whoever then stands on a cycle in the new tree had better wait, but the earliest of them.
-            tried = cut(_patched(folders, good))
-            looped = cut(tried.select("id").join(settled(tried), "id", "left_anti").join(folders.select("id").join(settled(folders), "id", "left_anti"), "id", "left_anti"))
-            waiting = good.join(looped, "id", "left_semi").where(F.col("parent_id").isNotNull())
-            first = waiting.agg(F.min("seq")).first()[0]
-            left = cut(waiting.where(F.col("seq") > first)) if first is not None else waiting.limit(0)
-            folders = cut(_patched(folders, good.join(left.select("seq"), "seq", "left_anti")))
-        step += 1
-    return folders.select(columns), rejected
-
-
-def settled(folders: DataFrame) -> DataFrame:
-    """(id) of the folders that are on no cycle and below none: their walk up ends at the root or at a missing parent."""
-    roots = folders.select("id", "parent_id").join(folders.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id")
-    level = cut(roots.unionByName(folders.where("parent_id is null").select("id")).distinct())
-    found = level
-    while not level.isEmpty():
-        level = cut(folders.join(level.select(F.col("id").alias("__p")), F.col("parent_id") == F.col("__p")).select("id"))
-        found = found.unionByName(level)
-    return found
+    known = folders.select("id", "parent_id").where("id is not null")
+    root = F.coalesce("move_to_root", F.lit(False))
+    wanted = patches.where(root | F.col("parent_id").isNotNull()).join(known.select("id"), "id", "left_semi")
+    moves = number_rows(wanted.select("seq", "id", F.when(~root, F.col("parent_id")).alias("target")), ["seq", "id"], "n", 0)
+    moves = cut(moves)
+    refused = moves.limit(0).select("seq", "id")
+    tree, low, count = known, 0, moves.count()
+    while low < count:
+        decided = cut(_decide(tree, moves.where((F.col("n") >= low) & (F.col("n") < low + MOVES))))
+        refused = refused.unionByName(decided.where("refused").select("seq", "id"))
+        last = decided.where("not refused").groupBy("id").agg(F.max_by(F.struct("target"), "n").alias("last"))
+        low += MOVES
+        if low < count:
+            tree = cut(tree.join(last, "id", "left").select("id", F.when(F.col("last").isNotNull(), F.col("last.target")).otherwise(F.col("parent_id")).alias("parent_id")))
+    refused = cut(refused)
+    kept = patches.join(refused, ["seq", "id"], "left_anti").select("seq", "id", F.col("name").alias("title"), F.col("parent_id").alias("folder_id"), "move_to_root", "sort_order")
+    return _patched(folders, fold_patches(kept)), patches.join(refused, ["seq", "id"], "left_semi").select(patches.columns)
+
+
+def _decide(tree: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves (n, seq, id, target) with `refused`: the walk up from the target meets the folder within WALK steps, as the tree is after the moves before it."""
+    moved = moves.select("id").distinct().withColumn("moves", F.lit(True))
+    # (id, at, steps, open): the nearest folder at or above id that some move moves, null if there is none; open: still on the way.
+    up = tree.join(moved, "id", "left")
+    above = moved.select(F.col("id").alias("parent_id"), F.lit(True).alias("above_moves"))
+    known = tree.select(F.col("id").alias("parent_id"), F.lit(True).alias("there"))
+    up = up.join(known, "parent_id", "left").join(above, "parent_id", "left")
+    on_way = F.col("moves").isNull() & F.col("there") & F.col("above_moves").isNull()
+    up = up.select("id", F.when(F.col("moves"), F.col("id")).when(F.col("there"), F.col("parent_id")).alias("at"), F.when(F.col("moves"), 0).otherwise(1).alias("steps"), F.coalesce(on_way, F.lit(False)).alias("open"), "parent_id")
+    up = cut(up)
+    for _ in range(WALK.bit_length()):
+        if up.where("open").isEmpty():
+            break
+        on = up.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("open").alias("further"))
+        before, up = up, cut(up.where("open").join(on, "at").select("id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("further").alias("open"), "parent_id").unionByName(up.where("not open")))
+        release(before)
+    near = up.select(F.col("id").alias("from"), F.when(~F.col("open"), F.col("at")).alias("at"), "steps")
+    asked = moves.select("n", "seq", "id", "target", F.col("target").alias("from")).join(near, "from", "left").drop("from")
+    first = up.join(moved.select("id"), "id", "left_semi").select("id", F.col("parent_id").alias("from")).join(near, "from", "left")
+    first = first.select(F.lit(-1).cast("long").alias("n"), F.lit(None).cast(moves.schema["seq"].dataType).alias("seq"), "id", F.lit(None).cast("long").alias("target"), "at", "steps")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        at = [None if pd.isna(x) else int(x) for x in pdf["at"]]
+        parent: dict[int, tuple[int | None, int]] = {}  # the next moved folder above each, and how many steps up from its parent
+        out = []
+        for n, own, to, steps in zip(pdf["n"].tolist(), pdf["id"].tolist(), at, pdf["steps"].fillna(0).astype(int).tolist(), strict=True):
+            bad, walk, done = False, to, steps
+            while n >= 0 and walk is not None and done < WALK:
+                if walk == own:
+                    bad = True
+                    break
+                walk, more = parent.get(walk, (None, 0))
+                done += 1 + more
+            if not bad:
+                parent[own] = to, steps
+            out.append(bad)
+        pdf = pdf.assign(refused=out)
+        return pdf.loc[pdf["n"] >= 0, ["n", "refused"]]
+
+    verdicts = asked.select(first.columns).unionByName(first).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "n long, refused boolean")
+    return moves.join(verdicts, "n")
 
 
 def _patched(folders: DataFrame, patches: DataFrame) -> DataFrame:
-    p = patches.select(F.col("id").alias("__id"), F.col("name").alias("__name"), F.col("parent_id").alias("__parent"), F.coalesce("move_to_root", F.lit(False)).alias("__root"), F.col("sort_order").alias("__sort"))
+    p = patches.withColumnsRenamed({"id": "__id", "title": "__name", "place": "__place", "sort_order": "__sort"})
     j = folders.join(p, F.col("id") == F.col("__id"), "left")
-    parent = F.when(F.col("__root"), None).otherwise(F.coalesce("__parent", "parent_id"))
-    new = {"name": F.coalesce(trim_ws(F.col("__name")), "name"), "parent_id": parent, "sort_order": F.coalesce("__sort", "sort_order")}
+    parent = F.when(F.col("__place").isNotNull(), F.col("__place.folder_id")).otherwise(F.col("parent_id"))
+    new = {"name": F.coalesce("__name", "name"), "parent_id": parent, "sort_order": F.coalesce("__sort", "sort_order")}
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in folders.columns])
 
 
 def delete_folders(folders: DataFrame, files: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(folders, files) without the folders ids (id): what was in one moves up to its nearest ancestor that stays, or the root."""
+    """(folders, files) without the folders ids (id): what was in one moves up to its nearest ancestor that stays, or the root.
+
+    What was below a cycle of folders all of which go, has no such ancestor and moves to the root. Each round doubles the
+    steps that are done, so there are about as many as the logarithm of the number of folders that go.
+    """
     gone = ids.select("id").distinct()
     up = cut(folders.join(gone, "id", "left_semi").select("id", F.col("parent_id").alias("target")))
-    for _ in range(WALK):
+    rounds = up.count().bit_length() + 1
+    for _ in range(rounds):
         again = up.select(F.col("id").alias("target"), F.col("target").alias("__next"), F.lit(True).alias("__gone"))
         step = cut(up.join(again, "target", "left").select("id", F.when(F.col("__gone"), F.col("__next")).otherwise(F.col("target")).alias("target"), F.coalesce("__gone", F.lit(False)).alias("moved")))
-        done = step.where("moved and (target is null or target <> id)").isEmpty()
+        done = step.where("moved").isEmpty()
         up = step.drop("moved")
         if done:
             break
-    up = up.withColumnsRenamed({"id": "__id", "target": "__target"}).withColumn("__hit", F.lit(True))
+    circles = up.select(F.col("id").alias("target"), F.lit(True).alias("__circle"))  # who still stands at a folder that goes, goes around
+    up = up.join(circles, "target", "left").select(F.col("id").alias("__id"), F.when(F.col("__circle").isNull(), F.col("target")).alias("__target"), F.lit(True).alias("__hit"))
+    up = cut(up)
 
     def moved(df: DataFrame, column: str) -> DataFrame:
         j = df.join(up, F.col(column) == F.col("__id"), "left")
@@ -155,4 +196,3 @@ def create_folders(folders: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     top = folders.agg(F.coalesce(F.max("id"), F.lit(0)).alias("i"), F.coalesce(F.max("sort_order"), F.lit(0)).alias("s")).first()
     made = number_rows(requests.where(ok), ["seq"], "n")
     return made.select((F.col("n") + top["i"]).alias("id"), trim_ws(F.col("name")).alias("name"), "parent_id", (F.col("n") + top["s"]).cast("int").alias("sort_order")), requests.where(~ok)
-

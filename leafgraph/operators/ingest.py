@@ -110,8 +110,19 @@ def list_directory(inventory: DataFrame, directory: str, kind: str = "md") -> Da
 def search_titles(files: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, title) for queries (query_id, q, exclude_id): titles that contain q whatever its case, in tree order.
 
-    An empty q matches all. The queries of a batch are few and are broadcast.
+    An empty q matches all, a null one nothing. Each distinct q is looked up by the rarest of its runs of three
+    characters (by itself if it is shorter) in an index of the titles' runs, and what is found is compared in full. So
+    neither side is broadcast, and texts meet only if they share that run.
     """
-    hit = F.contains(F.lower("title"), F.lower("q")) & ~F.col("id").eqNullSafe(F.col("exclude_id"))
-    return files.join(F.broadcast(queries), hit).orderBy("query_id", "sort_order", "title", "id").select("query_id", "id", "title")
-
+    text = F.lower("title")
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    asked = queries.select("query_id", F.lower("q").alias("q"), "exclude_id")
+    distinct = asked.where("q is not null").select("q").distinct()
+    titles = files.where("title is not null")
+    index = titles.select("id", F.explode(F.array_distinct(F.concat(runs(text, 1), runs(text, 2), runs(text, 3), F.array(F.lit(""))))).alias("run"))
+    own = distinct.select("q", F.explode(F.when(F.length("q") >= 3, F.array_distinct(runs(F.col("q"), 3))).otherwise(F.array("q"))).alias("run"))
+    index = index.join(own.select("run").distinct(), "run", "left_semi")
+    rarest = own.join(index.groupBy("run").agg(F.count("*").alias("n")), "run").groupBy("q").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    met = rarest.join(index, "run").select("q", "id").join(titles.select("id", "title", "sort_order"), "id").where(F.contains(text, F.col("q")))
+    found = asked.join(met, "q").where(~F.col("id").eqNullSafe(F.col("exclude_id")))
+    return found.orderBy("query_id", "sort_order", "title", "id").select("query_id", "id", "title")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -14,8 +16,8 @@ from leafgraph.session import cut
 
 #: Gaps of the grid, height of a node, dip of a sibling's curve, height of a layer and gap of a ring (fixed values).
 COLUMN_GAP, ROW_GAP, NODE_HEIGHT, DIP, LAYER, RING_GAP, RING_LEAST = 170, 110, 38, 38, 95, 62, 90
-#: Sweeps over the rows; nodes of a graph above which rows keep the order of ids and the graph is flagged.
-SWEEPS, LARGEST = 4, 20_000
+#: Sweeps over the rows; passes that are held while a period is looked for.
+SWEEPS, KEPT = 4, 512
 
 
 def reference_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,66 +42,132 @@ def reference_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError("a cycle of references")
 
 
+def waves(reads: np.ndarray, writes: np.ndarray, count: int) -> list[np.ndarray]:
+    """Steps in stored order, dealt to waves that may each be taken at once: step i reads the nodes reads[i] and raises the nodes writes[i].
+
+    A step comes after those that raised what it reads or raises, and not before those that read what it raises.
+    """
+    raised, read = [0] * count, [0] * count  # the first wave that sees a node's last value, the last wave that read it
+    at = []
+    for r, w in zip(reads.tolist(), writes.tolist(), strict=True):
+        wave = max(*(raised[i] for i in r), *(max(raised[i], read[i]) for i in w))
+        for i in r:
+            read[i] = max(read[i], wave)
+        for i in w:
+            raised[i] = wave + 1
+        at.append(wave)
+    order = np.argsort(np.array(at, np.int64), kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(np.array(at, np.int64)[order])) + 1) if len(order) else []
+
+
+class Sweep:
+    """One pass over all edges in stored order, a wave at a time; what a pass raises counts in the same pass already."""
+
+    def __init__(self, count: int, refs: np.ndarray, siblings: np.ndarray) -> None:
+        self.refs, self.siblings = refs, siblings
+        self.down = [(refs[w, 0], refs[w, 1]) for w in waves(refs[:, :1], refs[:, 1:], count)]
+        self.level_out = [(siblings[w, 0], siblings[w, 1]) for w in waves(siblings[:, :0], siblings, count)]
+
+    def push(self, level: np.ndarray) -> None:
+        for a, b in self.down:
+            level[b] = np.maximum(level[b], level[a] + 1)
+
+    def share(self, level: np.ndarray) -> None:
+        for a, b in self.level_out:
+            level[a] = level[b] = np.maximum(level[a], level[b])
+
+    def never_slows(self, rise: np.ndarray, siblings: bool) -> bool:
+        """Whether no edge leads from a node that rises faster to one that rises slower."""
+        down = (rise[self.refs[:, 1]] >= rise[self.refs[:, 0]]).all()
+        return bool(down and (not siblings or (rise[self.siblings[:, 0]] == rise[self.siblings[:, 1]]).all()))
+
+
+def repeat(step: Callable[[np.ndarray], None], level: np.ndarray, most: int, lasts: Callable[[np.ndarray], bool]) -> np.ndarray:
+    """level after `most` steps, or fewer if a step changes nothing.
+
+    Steps take maxima of sums, so that what they add comes to repeat with some period, on cycles of references. Once two
+    periods in a row have added the same, pass by pass, and no edge leads to a node that rises slower (`lasts`), each
+    later period adds the same too: a node's level then comes from one that rises as fast as it does, for if one that
+    rises slower had decided it, the second period would have added less. So the rest is multiplied, not walked through.
+    """
+    seen: dict[bytes, list[int]] = {}
+    added: list[bytes] = []
+    kept = [level.copy()]
+    for done in range(1, most + 1):
+        step(level)
+        rise = level - kept[-1]
+        if not rise.any():
+            return level
+        kept.append(level.copy())
+        digest = blake2b(rise.tobytes(), digest_size=16).digest()
+        added.append(digest)
+        for before in reversed(seen.get(digest, [])[-8:]):
+            period = done - before
+            if 2 * period <= done and added[-period:] == added[-2 * period : -period]:
+                whole = level - kept[-1 - period]
+                if lasts(whole):
+                    level += (most - done) // period * whole
+                    for _ in range((most - done) % period):
+                        step(level)
+                    return level
+        seen.setdefault(digest, []).append(done)
+        if len(kept) > KEPT:  # periods are short; only the newest passes are held
+            kept = kept[-KEPT // 2 :]
+            added = added[-KEPT // 2 :]
+            seen = {d: [i for i in at if i > done - KEPT // 2] for d, at in seen.items() if at[-1] > done - KEPT // 2}
+    return level
+
+
 def bounded_levels(ids: np.ndarray, refs: np.ndarray, siblings: np.ndarray) -> np.ndarray:
     """Levels of one graph, exactly, cycles and siblings too: edges are pairs of positions in ids, in stored order.
 
     What a pass raises counts in the same pass already; passes are bounded by the number of nodes plus two, so the levels
-    of a cycle depend on that bound and on the order of the edges.
+    of a cycle depend on that bound and on the order of the edges. First references alone are passed over, then siblings
+    and references.
     """
-    level, most = [0] * len(ids), len(ids) + 2
-
-    def push() -> bool:
-        moved = False
-        for a, b in refs:
-            if level[b] <= level[a]:
-                level[b], moved = level[a] + 1, True
-        return moved
-
-    rounds = 0
-    while rounds < most and push():
-        rounds += 1
-    for _ in range(most):
-        moved = False
-        for a, b in siblings:
-            if level[a] != level[b]:
-                level[a] = level[b] = max(level[a], level[b])
-                moved = True
-        if not push() and not moved:
-            break
-    return np.array(level, np.int64)
+    most = len(ids) + 2
+    sweep = Sweep(len(ids), refs, siblings)
+    level = repeat(sweep.push, np.zeros(len(ids), np.int64), most, lambda rise: sweep.never_slows(rise, False))
+
+    def both(level: np.ndarray) -> None:
+        sweep.share(level)
+        sweep.push(level)
+
+    return repeat(both, level, most, lambda rise: sweep.never_slows(rise, True))
 
 
 def row_order(ids: np.ndarray, level: np.ndarray, refs: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Each node's place in its row: by id at first, then by the mean place of its reference neighbours, row by row."""
-    near: list[list[int]] = [[] for _ in ids]
-    for a, b in refs:
-        near[b].append(a)
-    for a, b in refs:
-        near[a].append(b)
+    """Each node's place in its row: by id at first, then by the mean place of its reference neighbours, row by row. ids ascend."""
+    ends = np.concatenate([refs, refs[:, ::-1]])
+    ends = ends[np.argsort(ends[:, 0], kind="stable")]
+    degree = np.bincount(ends[:, 0], minlength=len(ids))
+    first = np.concatenate([[0], np.cumsum(degree)])
+    order = np.argsort(level, kind="stable")
+    rows = np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if len(order) else []
     place = np.zeros(len(ids), np.int64)
-    rows = [np.flatnonzero(level == value) for value in np.unique(level)]
-    rows = [row[np.argsort(ids[row], kind="stable")] for row in rows]
     for row in rows:
         place[row] = np.arange(len(row))
+    near = [np.concatenate([ends[first[i] : first[i + 1], 1] for i in row]) for row in rows]
     for _ in range(sweeps):
-        for k, row in enumerate(rows):
-            means = [place[near[i]].mean() if near[i] else place[i] for i in row]
-            rows[k] = row = row[np.lexsort((ids[row], means))]
-            place[row] = np.arange(len(row))
+        for row, others in zip(rows, near, strict=True):
+            means = place[row].astype(np.float64)
+            some = degree[row] > 0
+            if some.any():
+                starts = np.cumsum(degree[row][some]) - degree[row][some]
+                means[some] = np.add.reduceat(place[others], starts) / degree[row][some]
+            place[row[np.lexsort((row, means))]] = np.arange(len(row))
     return place
 
 
-def graph_layout(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """(graph_id, file_id, level, row_index, x, y, capped) of nodes (graph_id, file_id) and edges (graph_id, from_id, to_id, kind).
+def graph_layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, file_id, level, row_index, x, y) of nodes (graph_id, file_id) and edges (graph_id, from_id, to_id, kind).
 
     Edges with an end outside the graph's nodes are ignored; the rest are taken by from, to, kind (or by a column seq).
-    Levels and rows of a graph are found in one task, since each step of them depends on the one before; graphs are spread
-    over tasks. A graph of more than `largest` nodes doesn't go through it: its levels come from reference_levels, its rows
-    keep the order of ids, and `capped` is true.
+    Levels and rows of a graph of any size are found in one task, since each step of them depends on the one before:
+    it needs some 200 bytes for each node and edge. Graphs are spread over tasks. Where levels of references alone are
+    wanted and there is no cycle, reference_levels does it by joins.
     """
     nodes = nodes.select("graph_id", "file_id").distinct()
-    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    huge = cut(sizes.where(F.col("n") > largest).select("graph_id"))
     order = F.col("seq") if "seq" in edges.columns else F.lit(0)
     rows = nodes.select("graph_id", F.col("file_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit("node").alias("kind"), F.lit(0).cast("long").alias("seq"))
     rows = rows.unionByName(edges.select("graph_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"), "kind", order.cast("long").alias("seq")))
@@ -110,16 +178,10 @@ def graph_layout(nodes: DataFrame, edges: DataFrame, largest: int = LARGEST) ->
         pairs = pairs[pairs["a"].isin(ids) & pairs["b"].isin(ids)]
         at = lambda kind: np.searchsorted(ids, pairs.loc[pairs["kind"] == kind, ["a", "b"]].to_numpy(np.int64)).reshape(-1, 2)
         refs = at("reference")
-        level = bounded_levels(ids, refs.tolist(), at("sibling").tolist())
-        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "file_id": ids, "level": level, "row_index": row_order(ids, level, refs.tolist())})
+        level = bounded_levels(ids, refs, at("sibling"))
+        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "file_id": ids, "level": level, "row_index": row_order(ids, level, refs)})
 
-    usual = rows.join(huge, "graph_id", "left_anti")
-    placed = usual.groupBy("graph_id").applyInPandas(solve, "graph_id long, file_id long, level long, row_index long").withColumn("capped", F.lit(False))
-    if not huge.isEmpty():
-        level = reference_levels(nodes.join(huge, "graph_id", "left_semi"), edges.join(huge, "graph_id", "left_semi"))
-        index = F.row_number().over(Window.partitionBy("graph_id", "level").orderBy("file_id")) - 1
-        placed = placed.unionByName(level.select("graph_id", "file_id", F.col("level").cast("long"), index.cast("long").alias("row_index"), F.lit(True).alias("capped")))
-    return grid_position(placed)
+    return grid_position(rows.groupBy("graph_id").applyInPandas(solve, "graph_id long, file_id long, level long, row_index long"))
 
 
 def row_positions(levels: DataFrame) -> DataFrame:
@@ -132,7 +194,7 @@ def grid_position(rows: DataFrame, column_gap: int = COLUMN_GAP, row_gap: int =
     """rows (graph_id, level, row_index, ...) with x and y: each row centred on 0, levels one below the other."""
     length = F.count("*").over(Window.partitionBy("graph_id", "level"))
     x = F.col("row_index") * F.lit(float(column_gap)) - (length - 1) * F.lit(column_gap / 2)
-    return rows.select("graph_id", "file_id", "level", "row_index", x.alias("x"), (F.col("level") * F.lit(float(row_gap))).alias("y"), *[c for c in rows.columns if c == "capped"])
+    return rows.select("graph_id", "file_id", "level", "row_index", x.alias("x"), (F.col("level") * F.lit(float(row_gap))).alias("y"))
 
 
 def layout_bounds(layout: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ from leafgraph.fixtures import fixture, oracle
 from leafgraph.functions import paths, texts
 from leafgraph.operators import attachments, colormaps, export, graphs, hierarchy, ingest, layout, patches, relations, text_inventory
 from leafgraph.operators.numbering import number_rows
-from leafgraph.session import cut, shared_dir
+from leafgraph.session import cut, scratch
+from leafgraph.sources import bundles, catalog, inventory
 from leafgraph.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,17 +220,38 @@ def gc_graphs(spark, sf_dir):
     return graphs.remove_members(state, state.members.where("file_id % 3 = 1"))[1]
 
 
-@register("SELECT id FROM fx_files WHERE id % 3 <> 1")
+@register("SELECT * FROM fx_files WHERE id % 3 <> 1")
 def remove_files(spark, sf_dir):
     state, files = built(spark, sf_dir), fx(spark, sf_dir, "files")
-    return graphs.remove_files(state, files, files.where("id % 3 = 1").select(F.col("id").alias("file_id")))[1].select("id")
+    return graphs.remove_files(state, files, files.where("id % 3 = 1").select(F.col("id").alias("file_id")))[1].select(files.columns)
 
 
-@register("SELECT component AS graph_id, count(*) AS nodes, min(f.title) AS first_title FROM everyone JOIN fx_files f ON f.id = file_id GROUP BY 1", **ALL_MEMBERS)
+LEFT_COMPANIONS = "SELECT graph_id, file_id FROM comp WHERE NOT EXISTS (SELECT 1 FROM everyone e WHERE e.file_id = comp.file_id AND e.component = comp.graph_id)"
+
+
+@register(f"SELECT graph_id, file_id FROM ({LEFT_COMPANIONS}) WHERE file_id % 3 <> 1 AND graph_id IN (SELECT component FROM everyone WHERE file_id % 3 <> 1)", **ALL_MEMBERS)
+def remove_files_companions(spark, sf_dir):
+    """Companions that stay when every third document is removed in any role; a graph keeps its first label."""
+    before, files = built(spark, sf_dir), fx(spark, sf_dir, "files")
+    after = graphs.remove_files(before, files, files.where("id % 3 = 1").select(F.col("id").alias("file_id")))[0]
+    return labelled(after.companions, before.members).select("graph_id", "file_id")
+
+
+@register(f"SELECT graph_id, file_id FROM ({LEFT_COMPANIONS}) c WHERE NOT EXISTS (SELECT 1 FROM valid v JOIN everyone o ON o.file_id = v.from_id WHERE v.kind = 'companion' AND v.from_id % 7 = 3 AND v.to_id = c.file_id AND o.component = c.graph_id)", **ALL_MEMBERS)
+def remove_relations_companions(spark, sf_dir):
+    """Companions after the removal of the companion links of every seventh document."""
+    state, (files, links) = built(spark, sf_dir), fx(spark, sf_dir, "files", "relations")
+    gone = relations.valid_endpoints(links, files).where("kind = 'companion' and from_id % 7 = 3").select("from_id", "to_id", "kind")
+    return labelled(relations.remove_relations(state.edges, state.companions, state.members, gone)[1], state.members).select("graph_id", "file_id")
+
+
+@register("SELECT component AS graph_id, string_agg(f.id || ':' || f.title || ':' || f.full_path || ':' || (i.path IS NULL), ' ' ORDER BY f.id) AS nodes, any_value(e.edges) AS edges, any_value(c.companions) AS companions FROM everyone m JOIN fx_files f ON f.id = m.file_id LEFT JOIN inv i ON i.path = f.full_path LEFT JOIN (SELECT a.component AS g, string_agg(from_id || kind || to_id, ' ' ORDER BY from_id, to_id, kind) AS edges FROM joins JOIN member a ON a.file_id = from_id JOIN member b ON b.file_id = to_id WHERE a.component = b.component GROUP BY 1) e ON e.g = m.component LEFT JOIN (SELECT graph_id AS g, string_agg(file_id || '', ' ' ORDER BY file_id) AS companions FROM left_companions WHERE file_id IN (SELECT id FROM fx_files) GROUP BY 1) c ON c.g = m.component GROUP BY 1", **(ALL_MEMBERS | {"inv": INV, "left_companions": LEFT_COMPANIONS}))
 def graph_view(spark, sf_dir):
+    """Every graph with its nodes, edges and companions, each list written out as text."""
     state, (files, inventory) = built(spark, sf_dir), fx(spark, sf_dir, "files", "inventory")
-    view = graphs.graph_view(state, ingest.with_missing(files, inventory))
-    return labelled(view, state.members).select("graph_id", F.size("nodes").alias("nodes"), F.array_min(F.transform("nodes", lambda n: n["title"])).alias("first_title"))
+    view = labelled(graphs.graph_view(state, ingest.with_missing(files, inventory)), state.members)
+    text = lambda c, f: F.array_join(F.transform(c, f), " ").alias(c)
+    return view.select("graph_id", text("nodes", lambda n: F.concat_ws(":", n["id"], n["title"], n["path"], n["missing"])), text("edges", lambda e: F.concat(e["from_id"], e["kind"], e["to_id"])), text("companions", lambda n: n["id"].cast("string")))
 
 
 # --- Catalog ---
@@ -274,7 +296,7 @@ def ingest_summary(spark, sf_dir):
 
 @register("SELECT max(sort_order) AS top FROM fx_files")
 def max_sort_order(spark, sf_dir):
-    return fx(spark, sf_dir, "files").agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("top"))
+    return spark.createDataFrame([(ingest.max_sort_order(fx(spark, sf_dir, "files")),)], "top int")
 
 
 @register(f"SELECT r.path, {CANON.format('r.path')} AS canonical, CASE WHEN NOT {IS_MD.format('r.path')} THEN 'extension' WHEN f.id IS NOT NULL THEN 'managed' END AS reason, CASE WHEN {IS_MD.format('r.path')} THEN f.id END AS existing_id FROM fx_inventory r LEFT JOIN fx_files f ON upper(f.full_path) = upper({CANON.format('r.path')})")
@@ -288,11 +310,12 @@ def list_directory(spark, sf_dir):
     return ingest.list_directory(fx(spark, sf_dir, "inventory"), "/lib")
 
 
-@register("SELECT q.id AS query_id, f.id, f.title FROM (SELECT id, substr(title, 1, 4) AS q FROM fx_files WHERE id % 500 = 1) q JOIN fx_files f ON contains(lower(f.title), lower(q.q)) AND f.id <> q.id")
+@register("SELECT q.id AS query_id, f.id, f.title FROM (SELECT id, CASE id % 700 WHEN 0 THEN '' WHEN 100 THEN upper(substr(title, 2, 2)) ELSE substr(title, 3, 6) END AS q FROM fx_files WHERE id % 100 = 0) q JOIN fx_files f ON contains(lower(f.title), lower(q.q)) AND f.id <> q.id")
 def search_titles(spark, sf_dir):
-    files = fx(spark, sf_dir, "files")
-    asked = files.where("id % 500 = 1").select(F.col("id").alias("query_id"), F.substring("title", 1, 4).alias("q"), F.col("id").alias("exclude_id"))
-    return ingest.search_titles(files, asked)
+    """Parts of the titles of all files whose id is divisible by 100, searched in all titles."""
+    files, m = fx(spark, sf_dir, "files"), F.col("id") % 700
+    part = F.when(m == 0, "").when(m == 100, F.upper(F.substring("title", 2, 2))).otherwise(F.substring("title", 3, 6))
+    return ingest.search_titles(files, files.where("id % 100 = 0").select(F.col("id").alias("query_id"), part.alias("q"), F.col("id").alias("exclude_id")))
 
 
 @register("SELECT id, full_path, CASE WHEN hit_t THEN t ELSE title END AS title, CASE WHEN place IS NULL THEN folder_id WHEN place = -1 THEN NULL ELSE place END AS folder_id, coalesce(s, sort_order) AS sort_order FROM (SELECT f.*, p.t IS NOT NULL AS hit_t, p.t, p.place, p.s FROM fx_files f LEFT JOIN (SELECT id, arg_max(trim(title), seq) FILTER (WHERE title IS NOT NULL) AS t, arg_max(CASE WHEN move_to_root THEN -1 ELSE folder_id END, seq) FILTER (WHERE move_to_root OR folder_id IS NOT NULL) AS place, arg_max(sort_order, seq) FILTER (WHERE sort_order IS NOT NULL) AS s FROM fx_patches GROUP BY id) p ON p.id = f.id)")
@@ -334,11 +357,10 @@ def flatten_tree(spark, sf_dir):
     return number_rows(hierarchy.flatten_tree(folders, files, keep_key=True), ["sort_key"], "line").drop("sort_key")
 
 
-@register("SELECT coalesce(a.parent, b.parent) AS parent, coalesce(nf, 0) AS n_folders, first_folder, coalesce(nd, 0) AS n_files, first_file FROM (SELECT coalesce(parent_id, 0) AS parent, count(*) AS nf, arg_min(id, {'s': sort_order, 'n': name, 'i': id}) AS first_folder FROM fx_folders GROUP BY 1) a FULL JOIN (SELECT coalesce(folder_id, 0) AS parent, count(*) AS nd, arg_min(id, {'s': sort_order, 'n': title, 'i': id}) AS first_file FROM fx_files GROUP BY 1) b ON a.parent = b.parent")
+@register("SELECT coalesce(a.parent, b.parent) AS parent, folders, files FROM (SELECT coalesce(parent_id, 0) AS parent, string_agg(id || '', ' ' ORDER BY sort_order, name, id) AS folders FROM fx_folders GROUP BY 1) a FULL JOIN (SELECT coalesce(folder_id, 0) AS parent, string_agg(id || '', ' ' ORDER BY sort_order, title, id) AS files FROM fx_files GROUP BY 1) b ON a.parent = b.parent")
 def children_of(spark, sf_dir):
     found = hierarchy.children_of(*fx(spark, sf_dir, "folders", "files"))
-    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
-    return found.select("parent", size("folders").alias("n_folders"), F.col("folders")[0].alias("first_folder"), size("files").alias("n_files"), F.col("files")[0].alias("first_file"))
+    return found.select("parent", F.array_join("folders", " ").alias("folders"), F.array_join("files", " ").alias("files"))
 
 
 UPWARD = "SELECT id, new_parent, new_parent AS at, 0 AS steps FROM fx_moves UNION SELECT u.id, u.new_parent, f.parent_id, u.steps + 1 FROM upward u JOIN fx_folders f ON f.id = u.at WHERE f.parent_id IS NOT NULL AND u.at <> u.id AND u.steps < 1000"
@@ -394,7 +416,7 @@ def stored_files_to_delete(spark, sf_dir):
     return graphs.stored_files_to_delete(by_graph(spark, sf_dir))
 
 
-@register("SELECT id, file_name, 'application/x-zip-compressed' AS content_type FROM fx_attachments")
+@register("SELECT id, file_name, CASE id % 6 WHEN 0 THEN 'application/x-zip-compressed' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 2 THEN 'text/markdown' WHEN 3 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS content_type FROM fx_attachments")
 def content_type(spark, sf_dir):
     return attachments.content_type(by_graph(spark, sf_dir)).select("id", "file_name", "content_type")
 
@@ -481,10 +503,12 @@ def layout_bounds(spark, sf_dir):
     return layout.layout_bounds(by_id(spark, sf_dir)).select("min_x", "max_x", "min_y", "max_y")
 
 
-@register("SELECT file_id, round(cos(2 * pi() * i / n) * CASE WHEN n = 1 THEN 80 ELSE greatest(90, n * 62 / (2 * pi())) END, 4) + 0.0 AS x, CAST(-95 * level AS DOUBLE) AS y, round(sin(2 * pi() * i / n) * CASE WHEN n = 1 THEN 80 ELSE greatest(90, n * 62 / (2 * pi())) END, 4) + 0.0 AS z FROM grid", **GRID)
+@register("SELECT file_id, round(cos(2 * pi() * i / n) * r, 4) + 0.0 AS x, CAST(95 * (focus - level) AS DOUBLE) AS y, round(sin(2 * pi() * i / n) * r, 4) + 0.0 AS z FROM (SELECT *, CASE WHEN centre THEN 0 WHEN n = 1 THEN 80 ELSE greatest(90, n * 62 / (2 * pi())) END AS r FROM (SELECT file_id, level, file_id = active AS centre, focus, row_number() OVER (PARTITION BY level, file_id = active ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY level, file_id = active) AS n FROM grid, (SELECT file_id AS active, level AS focus FROM grid ORDER BY level DESC, file_id LIMIT 1)))", **GRID)
 def ring_position(spark, sf_dir):
-    active = spark.createDataFrame([(1, -1)], "graph_id long, active_id long")
-    return layout.ring_position(by_id(spark, sf_dir), active).select("file_id", (F.round("x", 4) + 0.0).alias("x"), "y", (F.round("z", 4) + 0.0).alias("z"))
+    """Around the first document of the lowest row."""
+    placed = by_id(spark, sf_dir)
+    active = placed.groupBy("graph_id").agg(F.min_by("file_id", F.struct(-F.col("level"), "file_id")).alias("active_id"))
+    return layout.ring_position(placed, active).select("file_id", (F.round("x", 4) + 0.0).alias("x"), "y", (F.round("z", 4) + 0.0).alias("z"))
 
 
 NUM = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST(CAST({0} AS DECIMAL(18, 1)) AS VARCHAR) END"
@@ -495,30 +519,52 @@ def edge_geometry(spark, sf_dir):
     return layout.edge_geometry(dag(spark, sf_dir)[1], by_id(spark, sf_dir)).select("from_id", "to_id", "path")
 
 
+@register(f"SELECT from_id, to_id, 'M ' || {NUM.format('a.x')} || ' ' || {NUM.format('(a.y + 19)')} || ' Q ' || {NUM.format('((a.x + b.x) / 2)')} || ' ' || {NUM.format('(a.y + 57)')} || ' ' || {NUM.format('b.x')} || ' ' || {NUM.format('(b.y + 19)')} AS path FROM fx_dag JOIN grid a ON a.file_id = from_id JOIN grid b ON b.file_id = to_id", **GRID)
+def sibling_geometry(spark, sf_dir):
+    """The same edges drawn as siblings."""
+    return layout.edge_geometry(dag(spark, sf_dir)[1].withColumn("kind", F.lit("sibling")), by_id(spark, sf_dir)).select("from_id", "to_id", "path")
+
+
 @register()
 def graph_layout(spark, sf_dir):
-    """Levels with siblings and cycles, barycentre rows: beyond SQL; held against golden cases."""
+    """Levels with siblings and cycles, barycentre rows: beyond SQL; held against a plain version in tests."""
     state = built(spark, sf_dir)
     return layout.graph_layout(state.members, state.edges)
 
 
-@register()
+@register("SELECT file_id, level, CAST(level * 110.0 AS DOUBLE) AS y FROM levels", **DAG)
+def graph_layout_levels(spark, sf_dir):
+    """The levels that graph_layout gives where no reference goes around."""
+    return layout.graph_layout(*dag(spark, sf_dir)).select("file_id", "level", "y")
+
+
+@register("SELECT level, 85.0 - n * 85.0 AS min_x, n * 85.0 - 85.0 AS max_x, n, n * (n - 1) // 2 AS indexes FROM (SELECT level, count(*) AS n FROM levels GROUP BY level)", **DAG)
+def graph_layout_rows(spark, sf_dir):
+    """Each row's places: a permutation of 0 to n - 1, centred on 0."""
+    placed = layout.graph_layout(*dag(spark, sf_dir))
+    return placed.groupBy("level").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.count("*").alias("n"), F.sum("row_index").alias("indexes"))
+
+
+@register("SELECT component AS graph_id, count(*) AS listed, count(*) FILTER (WHERE i.path IS NULL) AS missing, count(*) FILTER (WHERE i.path IS NOT NULL) AS linked, any_value(e.n) AS lines FROM everyone m JOIN fx_files f ON f.id = m.file_id LEFT JOIN inv i ON i.path = f.full_path LEFT JOIN (SELECT a.component AS g, count(*) AS n FROM joins JOIN member a ON a.file_id = from_id JOIN member b ON b.file_id = to_id WHERE a.component = b.component GROUP BY 1) e ON e.g = m.component GROUP BY 1", **(ALL_MEMBERS | {"inv": INV}))
 def export_index(spark, sf_dir):
-    """HTML of every graph; held against parts of the page in tests."""
+    """What the index page of every graph holds: documents listed, missing and linked, and lines drawn; whole pages are held against golden ones in tests."""
     state, (files, inventory) = built(spark, sf_dir), fx(spark, sf_dir, "files", "inventory")
     placed = cut(layout.graph_layout(state.members, state.edges))
-    return export.export_index(graphs.member_files(state.members, ingest.with_missing(files, inventory)), state.edges, placed)
+    pages = export.export_index(graphs.member_files(state.members, ingest.with_missing(files, inventory)), state.edges, placed)
+    times = lambda text: F.size(F.split("html", text)) - 1
+    counted = pages.select("graph_id", times("<li>").cast("long").alias("listed"), times('<li><span class="missing">').cast("long").alias("missing"), times('<li><a href="').cast("long").alias("linked"), F.nullif(times('<path d="M [^0l]|<path d="M 0 [-0-9]').cast("long"), F.lit(0)).alias("lines"))
+    return labelled(counted, state.members).select("graph_id", "listed", "missing", "linked", "lines")
 
 
 SLUG = "CASE WHEN s = '' THEN 'doc' ELSE s END"
 SLUGS = "SELECT *, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM fx_files"
 
 
-@register(f"SELECT m.component AS graph_id, count(*) AS node_count, min(f.id || '-' || {SLUG} || '.md') AS first_name, sum(i.length) AS total_bytes FROM member m JOIN slugs f ON f.id = m.file_id JOIN inv i ON i.path = f.full_path GROUP BY 1", **(GRAPHS | {"slugs": SLUGS, "inv": INV}))
+@register(f"SELECT m.component AS graph_id, count(*) AS node_count, string_agg(f.id || '-' || {SLUG} || '.md', ' ' ORDER BY f.id || '-' || {SLUG} || '.md') AS names, CAST(sum(i.length) AS BIGINT) AS total_bytes FROM member m JOIN slugs f ON f.id = m.file_id JOIN inv i ON i.path = f.full_path GROUP BY 1", **(GRAPHS | {"slugs": SLUGS, "inv": INV}))
 def export_manifest(spark, sf_dir):
     files, inventory = fx(spark, sf_dir, "files", "inventory")
     made = export.export_manifest(components(spark, sf_dir).withColumnRenamed("component", "graph_id"), files, inventory)
-    return made.select("graph_id", "node_count", F.col("names")[0].alias("first_name"), F.col("total_bytes").cast("long").alias("total_bytes"))
+    return made.select("graph_id", "node_count", F.array_join("names", " ").alias("names"), F.col("total_bytes").cast("long").alias("total_bytes"))
 
 
 @register(f"SELECT id, regexp_extract(full_path, '\\.[^.]+$') AS ext, {TITLE.format('full_path')} AS title, lower(regexp_extract(full_path, '[^/]*$')) AS base, {SLUG} AS slug, CASE WHEN length(title) > 18 THEN substr(title, 1, 17) || '…' ELSE title END AS label, replace(replace(title, '&', '&amp;'), '<', '&lt;') AS html, CASE WHEN id * 37 < 1024 THEN (id * 37) || ' B' WHEN id * 37 < 1048576 THEN CAST(CAST(id * 37 / 1024.0 AS DECIMAL(18, 1)) AS VARCHAR) || ' KB' ELSE CAST(CAST(id * 37 / 1048576.0 AS DECIMAL(18, 1)) AS VARCHAR) || ' MB' END AS size FROM slugs", slugs=SLUGS)
@@ -537,12 +583,13 @@ def canonical_path(spark, sf_dir):
     return fx(spark, sf_dir, "inventory").select("path", paths.canonical_path(F.col("path")).alias("canonical"))
 
 
-@register("SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'mermaid' ELSE 'sql' END AS lang, CASE file_id % 4 WHEN 0 THEN 'diagram' ELSE 'code' END AS kind, 1 AS n FROM fx_content WHERE file_id % 4 < 2")
+@register("SELECT file_id, lang, CASE lang WHEN 'mermaid' THEN 'diagram' WHEN '' THEN 'plain' ELSE 'code' END AS kind, count(*) AS n FROM (SELECT file_id, unnest(list_concat([x FOR x IN regexp_extract_all(text, '(?m)^(?:```|~~~)([^`~\\s]*)$', 1) IF x <> ''], list_resize([''], len(regexp_extract_all(text, '(?m)^~~~$')) // 2, ''))) AS lang FROM fx_content) GROUP BY ALL")
 def fence_inventory(spark, sf_dir):
+    """Over whole texts; the SQL takes every fence with a language for a block, and every two bare ~~~ for one."""
     return text_inventory.fence_inventory(fx(spark, sf_dir, "content"))
 
 
-@register("SELECT href, regexp_matches(href, '^(?i)https?:') AS external, count(*) AS n FROM (SELECT unnest(['docs/b.md', 'HTTPS://x.example.com/' || file_id]) AS href FROM fx_content WHERE file_id % 4 = 2) GROUP BY 1")
+@register("SELECT href, regexp_matches(href, '^(?i)https?:') AS external, count(*) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(text, '\\]\\(([^)\\s]*)\\)', 1), regexp_extract_all(text, ' (http://[^\\s]*)', 1))) AS href FROM fx_content) GROUP BY 1")
 def link_inventory(spark, sf_dir):
     return text_inventory.link_inventory(fx(spark, sf_dir, "content"))
 
@@ -611,10 +658,11 @@ def validate_attachments(spark, sf_dir):
 
 @register()
 def apply_folder_patches(spark, sf_dir):
-    """Moves that may make cycles together; held against golden cases."""
+    """Moves of every folder, two requests each, many of which make cycles together; held against requests taken one by one in tests."""
     folders, moves = fx(spark, sf_dir, "folders", "moves")
-    asked = moves.select(F.col("id").alias("seq"), "id", F.concat(F.lit(" n"), F.col("id").cast("string")).alias("name"), F.col("new_parent").alias("parent_id"), F.lit(None).cast("boolean").alias("move_to_root"), F.lit(None).cast("int").alias("sort_order"))
-    return hierarchy.apply_folder_patches(folders, asked)[0]
+    again = moves.select((F.col("id") + 1_000_000).alias("seq"), "id", F.lit(None).cast("string").alias("name"), (F.col("id") * 3 % 500).alias("parent_id"), (F.col("id") % 11 == 5).alias("move_to_root"), F.lit(7).alias("sort_order"))
+    asked = moves.select((F.col("id") * 7919 % 1_000_003).alias("seq"), "id", F.concat(F.lit(" n"), F.col("id").cast("string")).alias("name"), F.col("new_parent").alias("parent_id"), F.lit(None).cast("boolean").alias("move_to_root"), F.lit(None).cast("int").alias("sort_order"))
+    return hierarchy.apply_folder_patches(folders, asked.unionByName(again))[0]
 
 
 @register(SQL["last_touch"])
@@ -623,7 +671,7 @@ def stream_last_touch(spark, sf_dir):
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a file alone is no directory to watch
     kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "purchase", "save")
     touches = events.select("ts", F.col("user_id").alias("file_id"), kind.alias("kind")).where("kind is not null")
-    folder = f"{shared_dir(spark)}/touch-{uuid.uuid4().hex}"
+    folder = scratch(spark, "touch")
     put = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")
     jobs.stream_last_touch(touches).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -636,9 +684,81 @@ LIVE = {"normal": NORMAL, "linked": LINKED, "sides": "SELECT from_id AS a, to_id
 def stream_links(spark, sf_dir):
     """All link requests as a stream of a few batches, from no graphs at all."""
     links, files = fx(spark, sf_dir, "links", "files")
-    folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    folder = scratch(spark, "links")
     links.repartition(2).write.parquet(f"{folder}/in")
     held = {"state": graphs.empty_state(spark)}
     stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     jobs.stream_links(stream, files, lambda: held["state"], lambda s: held.update(state=s), f"{folder}/ck").awaitTermination()
     return labelled(held["state"].members, held["state"].members).select("graph_id", "file_id")
+
+
+# --- Sources and sinks, through files that are written from the tables ---
+
+
+def written_documents(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder with every document's text as a Markdown file, and the catalog's rows (id, full_path) of them."""
+    folder = scratch(spark, "library")
+    texts_of = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def write(batches):
+        target, path = fs.FileSystem.from_uri(folder)
+        target.create_dir(path, recursive=True)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with target.open_output_stream(f"{path}/d{doc_id}.md") as out:
+                    out.write(text.encode())
+            yield batch.select(["doc_id"])
+
+    rows = cut(texts_of.mapInArrow(write, "doc_id long"))
+    place = F.regexp_replace(F.lit(folder), "^file:/+", "/")
+    return folder, rows.select(F.col("doc_id").alias("id"), F.concat(place, F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("full_path"))
+
+
+@register("SELECT 'd' || doc_id || '.md' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents WHERE text <> ''")
+def scan_inventory(spark, sf_dir):
+    """All documents as files, found again; an empty file isn't."""
+    folder, _ = written_documents(spark, sf_dir)
+    return inventory.scan_inventory(spark, folder).select(paths.file_name(F.col("path")).alias("name"), "length")
+
+
+@register("SELECT doc_id AS file_id, md5(text) AS digest, length(text) AS chars, false AS missing FROM documents WHERE text <> '' UNION ALL SELECT doc_id, NULL, NULL, true FROM documents WHERE coalesce(text, '') = ''")
+def read_content(spark, sf_dir):
+    folder, files = written_documents(spark, sf_dir)
+    return inventory.read_content(spark, files, folder).select("file_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("chars"), "missing")
+
+
+@register("SELECT row_number() OVER (ORDER BY upper('d' || doc_id || '.md')) AS id, 'd' || doc_id || '.md' AS name, 'd' || doc_id AS title, CAST(row_number() OVER (ORDER BY upper('d' || doc_id || '.md')) AS INTEGER) AS sort_order FROM documents WHERE text <> ''")
+def stream_ingest(spark, sf_dir):
+    """The folder of all documents as a stream into an empty catalog."""
+    folder, _ = written_documents(spark, sf_dir)
+    store = scratch(spark, "catalog")
+    schema = "id long, full_path string, title string, folder_id long, sort_order int"
+    held = {"rows": spark.createDataFrame([], schema)}
+
+    def add(new: DataFrame) -> None:
+        new.write.mode("append").parquet(store)
+        held["rows"] = spark.read.schema(schema).parquet(store)
+
+    jobs.stream_ingest(spark, folder, scratch(spark, "progress"), lambda: held["rows"], add).awaitTermination()
+    return held["rows"].select("id", paths.file_name(F.col("full_path")).alias("name"), "title", "sort_order")
+
+
+@register("SELECT * FROM fx_files")
+def catalog_round_trip(spark, sf_dir):
+    """The files' table from a catalog that was saved twice: the second version is what is read."""
+    files, folders = fx(spark, sf_dir, "files", "folders")
+    root = scratch(spark, "versions")
+    catalog.save_catalog(spark, {"files": files.where("id < 0"), "folders": folders}, root)
+    catalog.save_catalog(spark, {"files": files, "folders": folders}, root)
+    return catalog.load_catalog(spark, root)["files"].select(files.columns)
+
+
+@register(f"SELECT component AS graph_id, f.id || '-' || {SLUG} || '.md' AS file_name, md5(c.text) AS digest FROM member m JOIN slugs f ON f.id = m.file_id JOIN fx_content c ON c.file_id = f.id UNION ALL SELECT DISTINCT component, 'index.html', md5('page ' || component) FROM member m JOIN fx_content c ON c.file_id = m.file_id", **(GRAPHS | {"slugs": SLUGS}))
+def export_bundles(spark, sf_dir):
+    """Bundles of all graphs, written and read again."""
+    files, content = fx(spark, sf_dir, "files", "content")
+    members = components(spark, sf_dir).withColumnRenamed("component", "graph_id")
+    index = members.select("graph_id", F.concat(F.lit("page "), F.col("graph_id").cast("string")).alias("html")).distinct()
+    folder = scratch(spark, "bundles")
+    bundles.write_export_bundles(export.export_bundles(members, files, content, index, F.lit("2026-06-30 18:04:00").cast("timestamp")), folder)
+    return spark.read.parquet(folder).select(F.col("graph_id").cast("long").alias("graph_id"), "file_name", F.md5(F.col("text").cast("binary")).alias("digest"))

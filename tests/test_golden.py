@@ -3,6 +3,7 @@
 from dataclasses import replace
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,14 +67,66 @@ def test_layouts(spark):
     assert sorted(r["x"] for r in found if r["graph_id"] == 1 and r["level"] == 1) == [-85.0, 85.0]
 
 
-def test_huge_graphs_take_the_other_way(spark):
-    nodes = spark.createDataFrame([(1, i) for i in range(1, 5)], "graph_id long, file_id long")
-    edges = spark.createDataFrame([(1, 1, 2, "reference"), (1, 2, 4, "reference"), (1, 1, 4, "reference"), (1, 9, 1, "reference")], "graph_id long, from_id long, to_id long, kind string")
-    found = layout.graph_layout(nodes, edges, largest=3)
-    assert rows(found, "file_id", "level", "row_index", "capped") == [(1, 0, 0, True), (2, 1, 0, True), (3, 0, 1, True), (4, 2, 0, True)]
+def plain_layout(n, refs, siblings):
+    """(levels, places in the rows) step by step, as the rules read."""
+    level, most = [0] * n, n + 2
+
+    def push():
+        moved = False
+        for a, b in refs:
+            if level[b] <= level[a]:
+                level[b], moved = level[a] + 1, True
+        return moved
+
+    rounds = 0
+    while rounds < most and push():
+        rounds += 1
+    for _ in range(most):
+        moved = False
+        for a, b in siblings:
+            if level[a] != level[b]:
+                level[a] = level[b] = max(level[a], level[b])
+                moved = True
+        if not push() and not moved:
+            break
+    near, rows_of, place = [[] for _ in range(n)], {}, [0] * n
+    for a, b in refs:
+        near[a].append(b)
+        near[b].append(a)
+    for i in range(n):
+        rows_of.setdefault(level[i], []).append(i)
+    for row in rows_of.values():
+        for k, i in enumerate(row):
+            place[i] = k
+    for _ in range(4):
+        for value in sorted(rows_of):
+            mean = {i: sum(place[x] for x in near[i]) / len(near[i]) if near[i] else place[i] for i in rows_of[value]}
+            rows_of[value].sort(key=lambda i: (mean[i], i))
+            for k, i in enumerate(rows_of[value]):
+                place[i] = k
+    return level, place
+
+
+def test_layouts_equal_a_plain_version():
+    rng = np.random.default_rng(1)
+    for n in [*rng.integers(1, 60, 150).tolist(), 1500]:
+        refs, siblings = rng.integers(0, n, (int(rng.integers(0, 2 * n + 1)), 2)), rng.integers(0, n, (int(rng.integers(0, n // 2 + 1)), 2))
+        refs = refs if n % 3 else np.sort(refs, axis=1)[refs[:, 0] != refs[:, 1]]
+        level = layout.bounded_levels(np.arange(n), refs, siblings)
+        assert (level.tolist(), layout.row_order(np.arange(n), level, refs).tolist()) == plain_layout(n, refs.tolist(), siblings.tolist())
+
+
+def test_large_graphs_with_cycles(spark):
+    n = 30_000
+    around = spark.range(n).select(F.lit(1).cast("long").alias("graph_id"), F.col("id").alias("from_id"), ((F.col("id") + 1) % n).alias("to_id"), F.lit("reference").alias("kind"))
+    nodes = around.select("graph_id", F.col("from_id").alias("file_id"))
+    found = layout.graph_layout(nodes, around)
+    # Each of the 2 (n + 2) passes over a ring, in order, takes its first node n levels on, and the others after it.
+    last = 2 * (n + 2) * n
+    assert tuple(found.agg(F.min("level"), F.max("level"), F.count_distinct("level")).first()) == (last - n + 1, last, n)
     loop = spark.createDataFrame([(1, 1, 2, "reference"), (1, 2, 1, "reference")], "graph_id long, from_id long, to_id long, kind string")
     with pytest.raises(RuntimeError, match="cycle"):
-        layout.reference_levels(nodes, loop)
+        layout.reference_levels(loop.select("graph_id", F.col("from_id").alias("file_id")), loop)
 
 
 def state_of(spark, members, edges=(), companions=(), attached=(), top=None):
@@ -153,6 +206,54 @@ def test_folder_patches_reject_cycles_whole(spark):
     assert rows(bad, "seq") == [(1,), (3,)]
 
 
+def one_by_one(folders, asked):
+    """Folders after requests in order of seq, taken singly, and the seqs of those refused."""
+    name, parent, order = ({f[0]: f[i] for f in folders} for i in (1, 2, 3))
+    refused = []
+    for seq, own, new_name, to, to_root, sort in sorted(asked):
+        if own not in name:
+            continue
+        if not to_root and to is not None:
+            at, steps = to, 0
+            while at in name and at != own and parent[at] is not None and steps < 999:
+                at, steps = parent[at], steps + 1
+            if at == own:
+                refused.append(seq)
+                continue
+        name[own] = new_name.strip() if new_name is not None else name[own]
+        parent[own] = None if to_root else to if to is not None else parent[own]
+        order[own] = sort if sort is not None else order[own]
+    return sorted((i, name[i], parent[i], order[i]) for i in name), refused
+
+
+@pytest.mark.parametrize("batch", [5, 100_000])
+def test_folder_patches_equal_single_requests(spark, monkeypatch, batch):
+    monkeypatch.setattr(hierarchy, "MOVES", batch)
+    rng = np.random.default_rng(batch)
+    folders = [(i, f"f{i}", None if i < 3 else int(rng.integers(0, i)), i) for i in range(30)] + [(40, "x", 41, 1), (41, "y", 40, 1), (42, "z", 99, 1)]
+    some = lambda value, share: value if rng.random() < share else None
+    asked = [(int(seq), int(rng.integers(0, 45)), some(f" n{seq} ", 0.3), some(int(rng.integers(0, 45)), 0.7), some(bool(rng.random() < 0.5), 0.2), some(int(seq), 0.3)) for seq in rng.permutation(25 if batch == 5 else 120)]
+    after, bad = hierarchy.apply_folder_patches(spark.createDataFrame(folders, FOLDERS), spark.createDataFrame(asked, FOLDER_PATCH))
+    wanted, refused = one_by_one(folders, asked)
+    assert sorted(tuple(r) for r in after.collect()) == wanted or rows(after) == sorted(wanted, key=repr)
+    assert [r["seq"] for r in bad.orderBy("seq").collect()] == refused and refused
+
+
+def test_later_moves_see_earlier_ones(spark):
+    folders = spark.createDataFrame([(1, "a", None, 1), (2, "b", None, 2)], FOLDERS)
+    p = spark.createDataFrame([(1, 1, "new", None, None, None), (2, 1, None, 2, None, None), (3, 2, None, 1, None, None)], FOLDER_PATCH)
+    after, bad = hierarchy.apply_folder_patches(folders, p)
+    assert rows(after) == [(1, "new", 2, 1), (2, "b", None, 2)] and rows(bad, "seq") == [(3,)]
+    none = hierarchy.apply_folder_patches(folders, p.limit(0))
+    assert rows(none[0]) == rows(folders) and none[1].isEmpty()
+
+
+def test_deleted_cycles_leave_their_children_at_the_root(spark):
+    folders = spark.createDataFrame([(1, "a", 2, 1), (2, "b", 3, 1), (3, "c", 1, 1), (4, "below", 1, 1), (5, "deeper", 4, 1), (6, "gone", 4, 1), (7, "under", 6, 1)], FOLDERS)
+    kept, moved = hierarchy.delete_folders(folders, spark.createDataFrame([(9, 3), (8, 6)], "id long, folder_id long"), spark.createDataFrame([(1,), (2,), (3,), (6,)], "id long"))
+    assert rows(kept, "id", "parent_id") == [(4, None), (5, 4), (7, 4)] and rows(moved) == [(8, 4), (9, None)]
+
+
 def test_tree(spark):
     folders = spark.createDataFrame([(1, "a", None, 1), (2, "b", 1, 1), (3, "lost", 99, 1), (4, "x", 5, 1), (5, "y", 4, 1)], FOLDERS)
     files = spark.createDataFrame([(1, "t", 1, 1), (2, "u", 2, 1), (3, "v", None, 0), (4, "w", 3, 1)], "id long, title string, folder_id long, sort_order int")
