@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ def empty_state(spark) -> State:
     return State(*[spark.createDataFrame([], s) for s in (GRAPHS, MEMBERS, EDGES, COMPANIONS, COLOR_MAPS, ATTACHMENTS)])
 
 
+def written(state: State) -> State:
+    """The state with each of its tables written to the shared folder, so that what is built on it has a short plan."""
+    return replace(state, **{f.name: cut(getattr(state, f.name)) for f in fields(state) if f.name != "top_id"})
+
+
 def graph_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("graph_id").agg(F.count("*").alias("n"))
 

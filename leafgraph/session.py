@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Bytes up to which a side may be broadcast, as `width` measures its rows.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

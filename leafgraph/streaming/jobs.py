@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leafgraph.operators.graphs import State, merge_links
+from leafgraph.operators.graphs import State, merge_links, written
 from leafgraph.operators.ingest import ingest
 from leafgraph.operators.patches import last_touch
 from leafgraph.operators.relations import normalize_relations
@@ -43,10 +43,13 @@ def stream_last_touch(touches: DataFrame) -> DataFrame:
 
 
 def stream_links(links: DataFrame, files: DataFrame, load: Callable[[], State], save: Callable[[State], None], checkpoint: str) -> StreamingQuery:
-    """Merges a stream of link requests (doc_id, other_id, ui_kind) into the graphs; edges that exist change nothing, so a batch may be run again."""
+    """Merges a stream of link requests (doc_id, other_id, ui_kind) into the graphs; edges that exist change nothing, so a batch may be run again.
+
+    The state that is saved after a batch is written, so that plans don't grow from batch to batch.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         accepted = normalize_relations(df, files).where("reason is null and kind <> 'companion'").select("from_id", "to_id", "kind")
-        save(merge_links(load(), accepted))
+        save(written(merge_links(load(), accepted)))
 
     return links.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
