@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from leafgraph.llm.batches import id_and_text
 from leafgraph.llm.shingles import ShingleHasher, mix
 from leafgraph.operators.components import connected_components
-from leafgraph.session import cut, small_side
+from leafgraph.session import cut, release, small_side
 
 #: Words of a shingle, least similarity, share of the pairs at just this similarity that banding must propose.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: Distinct texts and shingles of a block at most; pairs are verified block against block. Shingle hashes of a matrix slice.
-BLOCK, SHINGLES, COLUMNS = 128, 2_000_000, 8_192
+BLOCK, SHINGLES, COLUMNS = 256, 2_000_000, 8_192
 #: Candidates to a task when they are verified.
 TASK = 2_000
 
@@ -141,8 +141,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     other. Rows with a null doc_id belong to their class but don't name it, unless all do. Other columns aren't read.
 
     Rows with equal sets become one node first. Nodes that share a band hash are candidates. Each node has a home, the
-    fullest of its buckets, and a home's nodes are dealt to blocks of about BLOCK nodes and at most SHINGLES shingles, by
-    size first: only sets whose sizes allow the similarity meet. Two blocks are compared if some bucket has nodes of both,
+    fullest bucket of any node that it shares a bucket with, and a home's nodes are dealt to blocks of about BLOCK nodes
+    and SHINGLES shingles, by size first: only sets whose sizes allow the similarity meet. Two blocks are compared if some bucket has nodes of both,
     so what is compared grows with the candidates and not with what a chain of them joins. A pair of blocks is verified on
     the full sets and gives counts and edges of a spanning forest, never pairs of rows. No candidate is dropped.
     Expected recall: `recall` of the pairs at `similarity`, more above; chains make up for most of the rest in class_id.
@@ -152,16 +152,19 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     signed = cut(signatures(source, words, bands, rows))
     nodes = cut(signed.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("holder"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
 
-    # Candidates with the buckets that they share, the fullest of which is their home.
+    # Candidates with the buckets that they share. The home of a node is the fullest bucket of any node that it shares a bucket with.
     banded = nodes.select("sid", "size", F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    met = banded.join(small_side(buckets), "band").groupBy("sid", "size").agg(F.max(F.struct("n", "band"))["band"].alias("home"), F.collect_set("band").alias("buckets"))
+    met = cut(banded.join(small_side(buckets), "band").groupBy("sid", "size").agg(F.max(F.struct("n", "band")).alias("fullest"), F.collect_set("band").alias("buckets")))
+    spread = met.select("sid", "fullest", F.explode("buckets").alias("band"))
+    tops = cut(spread.groupBy("band").agg(F.max("fullest").alias("top")))
+    home = spread.join(small_side(tops), "band").groupBy("sid").agg(F.max("top")["band"].alias("home"))
     level = F.floor(F.ln("size") / F.lit(float(-np.log(similarity)))).cast("int")
-    met = cut(met.withColumn("level", level))
+    settled = cut(met.join(home, "sid").select("sid", "size", "buckets", "home", level.alias("level")))
 
     # Blocks of homes, and the pairs of blocks that share a bucket, each with a number that deals them to tasks evenly.
-    homes = cut(met.groupBy("home", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES)).alias("k")))
-    blocked = met.join(small_side(homes), ["home", "level"]).select("sid", "level", "buckets", F.xxhash64("home", "level", F.pmod(F.xxhash64("sid"), F.col("k"))).alias("block"))
+    homes = cut(settled.groupBy("home", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SHINGLES)).alias("k")))
+    blocked = settled.join(small_side(homes), ["home", "level"]).select("sid", "level", "buckets", F.xxhash64("home", "level", F.pmod(F.xxhash64("sid"), F.col("k"))).alias("block"))
     blocked = cut(blocked)
     places = cut(blocked.select("block", "level", F.explode("buckets").alias("band")).groupBy("band", "block", "level").agg(F.count("*").alias("n")))
     other = places.select("band", F.col("block").alias("with"), F.col("level").alias("level_b"))
@@ -195,6 +198,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
     verified = cut(work.drop("number").mapInArrow(compare, "sid binary, peer binary, links long"))
 
+    release(buckets, met, tops, settled, homes, blocked, places, pairs, to, candidates)
+
     # Classes: chains of links, each named by its least id.
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
     joined = cut(connected_components(verified.where("sid <> peer"), "sid", "peer"))
