@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by contiguous rank arrays.
 
-A short word's part boundaries and adjacent ranks lie in small arrays; the least rank is found by a scan, the boundary
-behind it is deleted, and the two neighbouring ranks are looked up again. Words longer than SHORT bytes, where scans
-would cost the square of the length, go through a heap that gives the same merges. What a word gives is kept, and so
-is what a chunk between two spaces gives; both caches are bounded.
+A short word's parts and the ranks of adjacent ones lie in small arrays; the least rank is found by a scan, the boundary
+behind it is deleted, and the two neighbouring ranks are looked up again. New words of one length are merged side by
+side, a row of the arrays each. Words longer than SHORT bytes, where scans would cost the square of the length, go
+through a heap that gives the same merges. What a word gives is kept, and so is what a chunk between two spaces gives;
+both caches are bounded.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import heapq
 import json
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ from leafgraph.llm.batches import id_and_text
 
 #: Bytes of a word up to which it is merged in an array; words kept per worker, after which the caches start anew.
 SHORT, CACHED = 96, 250_000
+#: Words of one length from which on they are merged side by side.
+ROWS = 16
 NONE = 1 << 40
 #: How byte-level vocabularies of this kind cut a text into words (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,7 +46,12 @@ class RankArrayBPE:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters, vocab = byte_letters(), spec["model"]["vocab"]
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and model.get("type", "BPE") == "BPE"
+        plain = plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
+        letters, vocab = byte_letters(), model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.bytes_of = [b""] * size
@@ -52,9 +61,13 @@ class RankArrayBPE:
             self.bytes_of[i] = token.encode()
         self.id_of_byte = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.size = size
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank_of = {vocab[a] * size + vocab[b]: rank for rank, (a, b) in enumerate(merges)}
         self.new_of_rank = [vocab[a + b] for a, b in merges]
+        order = np.argsort(np.fromiter(self.rank_of, np.int64, len(self.rank_of)))
+        self.pairs = np.append(np.fromiter(self.rank_of, np.int64, len(order))[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.fromiter(self.rank_of.values(), np.int64, len(order))[order], NONE)
+        self.byte_ids, self.merged = np.array(self.id_of_byte, np.int64), np.array(self.new_of_rank, np.int64)
         added = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.special = re.compile(f"({added})") if added else None
         self.pieces = regex.compile(PATTERN).findall
@@ -80,6 +93,41 @@ class RankArrayBPE:
                 ranks[i - 1] = rank_of.get(ids[i - 1] * size + ids[i], NONE)
         return ids
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, NONE where they don't merge."""
+        key = left * self.size + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], NONE)
+
+    def merge_rows(self, words: list[bytes]) -> list[bytes]:
+        """What merge_short gives for each of these words of one length, packed; every round deletes one boundary in each word that has a merge left."""
+        out: list[bytes] = [b""] * len(words)
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)]
+        ranks, who = self.ranks(ids[:, :-1], ids[:, 1:]), np.arange(len(words))
+        while True:
+            if ranks.shape[1]:
+                at = ranks.argmin(axis=1)
+                least = ranks[np.arange(len(at)), at]
+                done = least == NONE
+            else:
+                done = np.ones(len(ids), bool)
+            if done.any():
+                packed, step = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for i, own in enumerate(who[done].tolist()):
+                    out[own] = packed[i * step : (i + 1) * step]
+                if done.all():
+                    return out
+                ids, ranks, who, at, least = ids[~done], ranks[~done], who[~done], at[~done], least[~done]
+            row, column = np.arange(len(at)), np.arange(ids.shape[1] - 1)
+            ids = np.where(column <= at[:, None], ids[:, :-1], ids[:, 1:])
+            ids[row, at] = self.merged[least]
+            ranks = np.where(column[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            behind, before = at < ranks.shape[1], at > 0
+            r, c = row[behind], at[behind]
+            ranks[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
+            r, c = row[before], at[before]
+            ranks[r, c - 1] = self.ranks(ids[r, c - 1], ids[r, c])
+
     def merge_long(self, word: bytes) -> list[int]:
         ids = [self.id_of_byte[b] for b in word]
         n, size, rank_of = len(ids), self.size, self.rank_of
@@ -102,10 +150,16 @@ class RankArrayBPE:
 
     def learn(self, new: Iterable[str]) -> None:
         """Puts the ids of these words in the cache."""
+        by_length: dict[int, list[str]] = defaultdict(list)
         for w in new:
-            raw = w.encode()
-            ids = self.merge_short(raw) if len(raw) <= SHORT else self.merge_long(raw)
-            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+            by_length[len(w.encode())].append(w)
+        for length, words in by_length.items():
+            if length <= SHORT and len(words) >= ROWS:
+                self.words.update(zip(words, self.merge_rows([w.encode() for w in words]), strict=True))
+            else:
+                for w in words:
+                    ids = self.merge_short(w.encode()) if length <= SHORT else self.merge_long(w.encode())
+                    self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
 
     def _of_pieces(self, pieces: list[str]) -> bytes:
         words = self.words
@@ -124,12 +178,13 @@ class RankArrayBPE:
         return self._of_pieces(self.pieces(text))
 
     def learn_chunks(self, unseen: set[str]) -> None:
-        """Puts the ids of a space and each of these chunks in the cache."""
-        pieces = [(chunk, self.pieces(" " + chunk)) for chunk in unseen]
-        self.learn({w for _, own in pieces for w in own}.difference(self.words))
+        """Puts the ids of a space and each of these chunks in the cache. A chunk of letters alone is one word with its space."""
         words = self.words
-        for chunk, own in pieces:
-            self.spaced[chunk] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        whole = [c for c in unseen if c.isalpha()]
+        pieces = [(c, self.pieces(" " + c)) for c in unseen.difference(whole)]
+        self.learn({*(" " + c for c in whole), *(w for _, own in pieces for w in own)}.difference(words))
+        self.spaced.update((c, words[" " + c]) for c in whole)
+        self.spaced.update((c, b"".join([words[w] for w in own])) for c, own in pieces)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
