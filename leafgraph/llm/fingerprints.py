@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.llm.batches import id_and_text
-from leafgraph.llm.shingles import ShingleHasher
+from leafgraph.llm.shingles import ShingleHasher, mix
 
 #: Bins of a fingerprint and bits kept of each; words of a shingle. BINS * BITS / 4 hex digits are stored.
 BINS, BITS, WORDS = 256, 4, 5
@@ -40,8 +40,8 @@ def one_permutation(hashes: np.ndarray, probes: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(values: np.ndarray, bits: int) -> bytes:
-    """The low-order bits of each bin's value, packed. The least hash of a bin is mixed first: its own low bits are fair already."""
-    low = (values & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    """The low-order bits of each bin's value, packed. A value is mixed with its bin's number first, so that different values that are lent to several bins agree by chance in each of these by itself."""
+    low = (mix(values ^ np.arange(len(values), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     return np.packbits(((low[:, None] >> np.arange(bits - 1, -1, -1)) & 1).astype(np.uint8).ravel()).tobytes()
 
 
