@@ -1,10 +1,12 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Found: e-mail addresses, phone numbers, IPv4 addresses, payment cards (with a right check digit), IBANs (likewise),
-US social security numbers, long hexadecimal tokens, and people's names behind a title or a known given name. Each value
-gets a surrogate of its own kind, made from a keyed hash of the value: the same length and separators, right check
-digits, the same script and case, names of the same gender. One value has one surrogate in the whole table, however it
-is written; two values never share one, and no surrogate is a value that occurs in the table.
+US social security numbers, long hexadecimal tokens, and people's names behind a title, behind words that announce a
+name (CUES), or of a known given name and one more. Each value gets a surrogate of its own kind, made from a keyed hash of
+the value: the same length, separators and country code, right check digits, the same script and case, names of the same
+gender. One value has one surrogate in the whole table, however it is written, and two values never share one. No
+surrogate is a value of its kind that occurs in the table, but for known given names: each becomes another known one of
+its gender and script, which may occur too. Where a form has too few values for all that occur, surrogates get longer.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ GIVEN = {
     ("f", "cyrillic"): ["Анна", "Екатерина", "Мария", "Наталья", "Ольга", "Татьяна"],
     ("m", "cyrillic"): ["Александр", "Владимир", "Дмитрий", "Михаил", "Николай", "Сергей"],
 }
+#: Words right before a name, which stay as they are.
+CUES = ["My name is", "my name is", "Name:", "name:", "Dear", "Mein Name ist", "mein Name ist", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo", "Mi nombre es", "mi nombre es", "Меня зовут", "меня зовут"]
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя"}
 SYLLABLES = {"latin": "ba ce di fo gu ha ki lo mar nel por quin ras sol tam ver win xan yor zel".split(), "cyrillic": "ба ве ги до жу ка ли мо на пе ри со ту фа хе шо".split()}
 ENDINGS = {"latin": {"F": "a", "M": "o", "X": "e"}, "cyrillic": {"F": "а", "M": "ов", "X": "е"}}
@@ -33,19 +37,22 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _KNOWN = "|".join(n for group in GIVEN.values() for n in group)
+_CUE = "|".join(CUES)
+#: Country codes of one and two digits; all others have three (fixed values of the numbering plan).
+_LAND = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 FORMS = {
     "EMAIL": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)+",
     "TOKEN": rf"(?<![{_WORD}])[0-9a-fA-F]{{32,128}}(?![{_WORD}])",
     "IBAN": rf"(?<![{_WORD}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",
     "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "SSN": rf"(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-])",
-    "PHONE": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|\+\d{7,15}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
+    "PHONE": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,8}){1,4}(?!\d)|\+\d{7,15}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
     "CARD": r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|3\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "NAME": rf"(?<![{_WORD}])(?:(?:{_TITLE})\.?\s{_NAME}(?:\s{_NAME})?|(?:{_KNOWN})\s{_NAME})",
+    "NAME": rf"(?<![{_WORD}])(?:(?:{_TITLE})\.?\s{_NAME}(?:\s{_NAME})?|(?:{_KNOWN})\s{_NAME}|(?<=(?:{_CUE})\s){_NAME}(?:\s{_NAME})?)",
 }
 ANY = "|".join(FORMS.values())
 #: A text without any of these has nothing to be found.
-HINT = rf"[@0-9]|(?:{_TITLE})\.?\s|(?:{_KNOWN})\s"
+HINT = rf"[@0-9]|(?:{_TITLE})\.?\s|(?:{_KNOWN})\s|(?:{_CUE})\s"
 
 
 def _at(text: Column, i: Column) -> Column:
@@ -106,7 +113,7 @@ def atoms_of(match: Column, kind: Column) -> Column:
     """What gets surrogates of its own: (kind, value in one way of writing, as written). A name is taken word by word."""
     one = F.struct(
         kind.alias("kind"),
-        F.when(kind.isin("PHONE", "CARD", "SSN"), F.regexp_replace(match, r"\D", "")).when(kind == "IBAN", F.replace(match, F.lit(" "), F.lit(""))).otherwise(F.lower(match)).alias("value"),
+        F.when(kind.isin("PHONE", "CARD", "SSN"), F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\D", ""))).when(kind == "IBAN", F.replace(match, F.lit(" "), F.lit(""))).otherwise(F.lower(match)).alias("value"),
         match.alias("shown"),
     )
     words = F.split(match, r"\s")
@@ -162,7 +169,9 @@ def core(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         return _pick(names, F.array_position(F.array(*[F.lit(n.lower()) for n in names]), value) - 1 + shift)
 
     out = F.when(kind == "EMAIL", email).when(kind == "TOKEN", F.substr(seed, F.lit(1), size)).when(kind == "CARD", card).when(kind == "IBAN", iban).when(kind == "IP", ip)
-    out = out.when(kind == "PHONE", F.concat(F.substring(value, 1, 1), F.substr(digits, F.lit(1), size - 1))).when(kind == "SSN", F.concat(F.lit("9"), F.substr(digits, F.lit(1), size - 1)))
+    kept = F.when(value.startswith("+"), F.regexp_extract(value, rf"^\+(?:{_LAND})", 0)).otherwise(F.substring(value, 1, 1))
+    more = F.when(attempt >= 8, F.substr(digits, F.lit(100), F.lit(4))).otherwise("")  # where all numbers of this length are taken
+    out = out.when(kind == "PHONE", F.concat(kept, F.substr(digits, F.lit(1), size - F.length(kept)), more)).when(kind == "SSN", F.concat(F.lit("9"), F.substr(digits, F.lit(1), size - 1), more))
     for (g, script), names in GIVEN.items():
         out = out.when(kind == f"KNOWN_{g}_{script}", rotated(names))
     cyrillic = value.rlike(r"\p{IsCyrillic}")
@@ -175,7 +184,8 @@ def written(kind: Column, surrogate: Column, shown: Column) -> Column:
         taken = F.struct(F.concat(a["out"], _at(surrogate, a["k"])).alias("out"), (a["k"] + 1).alias("k"))
         return F.when(c.rlike("^[0-9A-Z]$"), taken).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k")))
 
-    spaced = F.aggregate(F.split(shown, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), fold)["out"]
+    start = F.struct(F.lit("").alias("out"), F.when(surrogate.startswith("+"), 2).otherwise(1).alias("k"))
+    spaced = F.aggregate(F.split(shown, ""), start, fold, lambda a: F.concat(a["out"], F.substr(surrogate, a["k"])))
     cased = F.when((shown == F.upper(shown)) & (shown != F.lower(shown)), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isNull() | (kind == "TITLE"), shown).when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), spaced).otherwise(cased)
 
