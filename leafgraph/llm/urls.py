@@ -10,15 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafgraph.session import cut
+from leafgraph.session import cut, small_side
 
 #: (verdict, host and path) of the rules; the longest that fits wins.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Words that make a host a bad example when the classifier is fitted, and are known to the segmenter from the start.
+#: Words of a host that make it an example where no rule says what it is; the segmenter knows them from the start.
 BAD_WORDS = ["adult", "ads", "bet", "bets", "casino", "escort", "farm", "gambling", "hack", "jackpot", "loan", "pills", "poker", "porn", "replica", "spam", "track", "viagra", "warez", "xxx"]
-PLAIN_WORDS = ["blog", "cheap", "example", "free", "mail", "news", "shop", "win", "www"]
-#: Urls that the classifier is fitted on at most (those with the least hashes), tokens that it knows, letters of a word.
-SAMPLE_ROWS, TOKENS, LONGEST = 50_000, 50_000, 20
+GOOD_WORDS = ["blog", "mail", "news", "shop", "www"]
+#: Further words that the segmenter knows.
+PLAIN_WORDS = ["cheap", "example", "free", "win"]
+#: Urls that the classifier is fitted on at most (those with the least hashes).
+SAMPLE_ROWS = 50_000
+#: Letters of a label of a host at most, as DNS has it; a longer run of letters is no word of a host (a fixed value).
+LABEL = 63
 
 
 def host_of(url: Column) -> Column:
@@ -47,7 +51,7 @@ def segment(label: str, log_p: dict[str, float], unknown: float) -> list[str]:
     """The most probable split of a label of letters into words; unknown: log-probability of each letter of an unknown word."""
     best, last = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1)
     for end in range(1, len(label) + 1):
-        for start in range(max(0, end - LONGEST), end):
+        for start in range(max(0, end - LABEL), end):
             word = label[start:end]
             score = best[start] + log_p.get(word, unknown * (1 + len(word)))
             if score > best[end]:
@@ -65,13 +69,14 @@ def host_words(hosts: DataFrame, corpus: DataFrame, text_col: str) -> DataFrame:
 
     Only words that are a substring of some host's label are kept after counting, and each host gets just its own: the
     counts are joined to substrings by shuffles, so neither the corpus' words nor the hosts pass through the driver. The
-    last label (com, org) is a word as it stands; digits and hyphens part words and go.
+    last label (com, org) is a word as it stands; digits and hyphens part words and go. The corpus' words are its whole
+    runs of Latin letters, of two letters at least.
     """
-    counts = corpus.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(text_col), "<[^>]*>", " ")), F.lit(r"[a-z]{2," + str(LONGEST) + "}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    known = corpus.sparkSession.createDataFrame([(w, 50) for w in BAD_WORDS + PLAIN_WORDS], "word string, n long")
+    counts = corpus.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(text_col), "<[^>]*>", " ")), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).where(F.length("word") <= LABEL).groupBy("word").agg(F.count("*").alias("n"))
+    known = corpus.sparkSession.createDataFrame([(w, 50) for w in BAD_WORDS + GOOD_WORDS + PLAIN_WORDS], "word string, n long")
     labels = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("label"))
     starts = labels.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("label"))))
-    parts = starts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - F.col("i") + 1)), lambda n: F.substr("label", F.col("i"), n))).alias("word")).distinct()
+    parts = starts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LABEL), F.length("label") - F.col("i") + 1)), lambda n: F.substr("label", F.col("i"), n))).alias("word")).distinct()
     used = counts.join(parts.select("word").distinct(), "word", "left_semi").unionByName(known).groupBy("word").agg(F.sum("n").alias("n"))
     total = F.lit(float(counts.agg(F.sum("n")).first()[0] or 1))
     vocabulary = parts.join(used, "word").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("word", F.ln(F.col("n") / total)))).alias("log_p"))
@@ -94,19 +99,21 @@ def path_tokens(path: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(path), F.lit(r"\p{L}+|\p{N}+"), F.lit(0)), lambda t: F.when(t.rlike(r"^\p{N}"), F.lit("#")).otherwise(t))
 
 
-def fit_bayes(tokens: DataFrame, rows: int = SAMPLE_ROWS, most: int = TOKENS) -> dict[str, float]:
-    """Log-odds (block over allow) of each token, of an unknown one ('') and of the prior (' '), from at most `rows` rows.
+def fit_bayes(tokens: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, float]:
+    """Log-odds (block over allow) of each token, of an unknown one ('') and of the prior (' '), from at most about `rows` labelled rows.
 
-    tokens: (id, words, path_words, bad). Multinomial naive Bayes with one added to each count; the `most` most frequent
-    tokens come to the driver. Without a bad or a good example every token's odds are even and nothing is blocked.
+    tokens: (id, words, path_words, bad), bad null where there is no label. Multinomial naive Bayes with one added to each
+    count; the sample's tokens come to the driver. Without a bad or a good example every token's odds are even and
+    nothing is blocked.
     """
-    total = tokens.count()
-    sample = tokens.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / max(1, total)))))
+    labelled = tokens.where("bad is not null")
+    total = labelled.count()
+    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / max(1, total)))))
     sizes = {r["bad"]: r["n"] for r in sample.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return {"": 0.0, " ": -1.0}
     counted = sample.select("bad", F.explode(F.concat("words", "path_words")).alias("token")).groupBy("token").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
-    table = counted.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(most).collect()
+    table = counted.collect()
     bad, good = sum(r["bad"] for r in table) + len(table) + 1, sum(r["good"] for r in table) + len(table) + 1
     odds = {r["token"]: math.log((r["bad"] + 1) / bad) - math.log((r["good"] + 1) / good) for r in table}
     return odds | {"": math.log(1 / bad) - math.log(1 / good), " ": math.log(sizes[True] / sizes[False])}
@@ -115,9 +122,9 @@ def fit_bayes(tokens: DataFrame, rows: int = SAMPLE_ROWS, most: int = TOKENS) ->
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, odds, words): each url's rule and verdict, or the classifier's where no rule fits.
 
-    The segmenter's word counts come from text_col of all pages; the classifier is fitted on a bounded sample of the
-    pages' own urls, bad ones being those with a word of BAD_WORDS in the host, and blocks where the summed log-odds of
-    host and path tokens are above 0. A url that is null or without :// has an empty host and path, fits no rule and is
+    The segmenter's word counts come from text_col of all pages. The classifier is fitted on a bounded sample of the pages'
+    own urls: those that a rule fits, with its verdict, and of the others those with a word of BAD_WORDS (block) or else
+    of GOOD_WORDS (allow) in the host. It blocks where the summed log-odds of host and path tokens are above 0. A url that is null or without :// has an empty host and path, fits no rule and is
     judged by the prior alone. Repeated rows and ties stay: every row is judged by itself. Hosts are split once each; a
     host that many rows share is joined back to them by a broadcast if the hosts are few, else by a shuffle that AQE
     can split.
@@ -126,8 +133,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id
     url = F.col(url_col)
     rows = cut(pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")))
     hosts = cut(host_words(rows.select("host").distinct(), pages.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text"))
-    joined = rows.join(F.broadcast(hosts) if hosts.count() <= 100_000 else hosts, "host").withColumn("path_words", path_tokens(F.col("path")))
-    bad = F.exists("words", lambda w: w.isin(BAD_WORDS))
+    joined = rows.join(small_side(hosts), "host").withColumn("path_words", path_tokens(F.col("path")))
+    has = lambda known: F.exists("words", lambda w: w.isin(known))
+    ruled = best_rule(F.col("host"), F.col("path"), rules)["verdict"]
+    bad = F.when(ruled.isNotNull(), ruled == "block").when(has(BAD_WORDS), True).when(has(GOOD_WORDS), False)
     odds = fit_bayes(joined.select(F.col("page_id").alias("id"), "words", "path_words", bad.alias("bad")))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
