@@ -41,11 +41,11 @@ def brute(docs, words=5, similarity=0.8):
     for i, (doc_id, _) in enumerate(docs):
         if doc_id is not None:
             least[find(i)] = min(least.get(find(i), doc_id), doc_id)
-    return sorted((repr(d), least.get(find(i)), links[i]) for i, (d, _) in enumerate(docs))
+    return sorted(((repr(d), least.get(find(i)), links[i]) for i, (d, _) in enumerate(docs)), key=repr)
 
 
 def joined(df):
-    return sorted((repr(r["doc_id"]), r["class_id"], r["n_links"]) for r in ngram_join.jaccard_join(df).collect())
+    return sorted(((repr(r["doc_id"]), r["class_id"], r["n_links"]) for r in ngram_join.jaccard_join(df).collect()), key=repr)
 
 
 def test_join_equals_brute_force(spark, odd, nothing):
@@ -78,6 +78,27 @@ def test_rows_with_null_and_shared_ids_are_linked(spark):
     assert joined(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def test_links_of_null_ids_and_chains(spark):
+    near = [(1, long_text("a")), (None, long_text("a", {0})), (None, long_text("e")), (None, long_text("e", {99})), (7, long_text("f"))]
+    docs = near + [(100 + i, long_text("c", set(range(i)))) for i in range(60)]  # each is like its neighbours, the first and the last share little
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_blocks_compare_only_what_shares_a_bucket():
+    rng = np.random.default_rng(8)
+    linked = rng.random((9, 9)) < 0.1
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    sets = [(bytes([i]), 1 + i % 3, np.array([], np.uint64)) for i in range(9)]
+    whole = ngram_join.linked_groups(linked | np.eye(9, dtype=bool))[0]
+    reach = np.linalg.matrix_power((linked | np.eye(9, dtype=bool)).astype(int), 9) > 0
+    assert whole.tolist() == [int(np.flatnonzero(r)[0]) for r in reach] and len(sets) == 9
+    big = [(bytes([i]), 1, np.arange(10 * i, 10 * i + 100, dtype=np.uint64)) for i in range(4)]
+    # 90 of 110 shared: 0.818, so each is linked to the next only
+    assert ngram_join.verify(big, None, 0.8) == [(bytes([i]), bytes([0]), n) for i, n in enumerate((1, 2, 2, 1))]
+    assert {(a, n) for a, _, n in ngram_join.verify(big[:2], big[2:], 0.8)} == {(bytes([1]), 1), (bytes([2]), 1)}
+
+
 def test_one_row_of_each_class_stays(spark):
     near = [(None, long_text("a")), (None, long_text("a", {99})), (None, long_text("a")), (1, long_text("b")), (1, long_text("b")), (2, long_text("c")), (2, long_text("b", {0})), (3, long_text("d")), (3, long_text("d", {5})), (None, long_text("d")), (None, "alone and without an id here"), (None, None), (7, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near], "doc_id long, text string, lang string, source string, n_chars long")
@@ -138,6 +159,23 @@ def test_long_vectors_rule_the_inner_product(spark):
     assert len({(r["query_id"], r["vec_id"]) for r in got} & true) >= 0.9 * len(true)
 
 
+def test_double_vectors_stay_as_they_are(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8)) * np.where(np.arange(60) % 2, 1e150, 1e-150)[:, None]
+    rows = [(i, v.tolist(), i < 20) for i, v in enumerate(x)]
+    got = ann.nearest_neighbours(spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>"), F.col("vec_id") < 20, k=5).collect()
+    true = {(q, i): s for q, _, i, s in nearest([(i, np.array(v), a) for i, v, a in rows], 5)}
+    assert len(got) == 100 and sum((r["query_id"], r["vec_id"]) in true for r in got) >= 90
+    assert all(abs(true[key] - r["score"]) <= 1e-9 * abs(r["score"]) for r in got if (key := (r["query_id"], r["vec_id"])) in true)
+
+
+def test_queries_and_vectors_meet_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    x = np.random.default_rng(10).normal(size=(600, 16))
+    share, rows = recall(spark, x, ask=300)
+    assert share >= 0.9 and rows == 300 * 20
+
+
 def recall(spark, x, ask=20, k=20):
     """(share of the true nearest that are found, rows) at production parameters."""
     rows = [(i, v.astype(np.float32).tolist(), i < ask) for i, v in enumerate(x)]
@@ -179,6 +217,64 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).isEmpty()
 
 
+def test_urls_of_a_table(spark):
+    """The registered query against a plain version: counts, splits, labels and odds anew."""
+    import re
+    from collections import Counter
+    from functools import cache
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    counts = Counter(w for p in pages for w in re.findall("[a-z]{2,}", re.sub("<[^>]*>", " ", p["html"] or "").lower()) if len(w) <= urls.LABEL)
+    total = counts.total()
+    for w in urls.BAD_WORDS + urls.GOOD_WORDS + urls.PLAIN_WORDS:
+        counts[w] += 50
+
+    hosts, paths, ruled = {}, {}, {}
+    for p in pages:
+        rest = (p["url"] or "").partition("://")[2]
+        host = re.split("[/?#]", rest)[0]
+        paths[p["page_id"]] = re.split("[?#]", rest[len(host) :])[0]
+        hosts[p["page_id"]] = host.lower()
+        fits = [(len(rule), verdict, rule) for verdict, rule in urls.RULES if (hosts[p["page_id"]] == rule.split("/")[0] or hosts[p["page_id"]].endswith("." + rule.split("/")[0])) and paths[p["page_id"]].startswith("/" + rule.partition("/")[2])]
+        ruled[p["page_id"]] = max(fits)[1:] if fits else (None, None)
+    labels_of = {h: [r for label in h.split(".")[:-1] for r in re.findall("[a-z]+", label)] for h in {*hosts.values()}}
+    used = {label[i:j] for own in labels_of.values() for label in own for i in range(len(label)) for j in range(i + 1, len(label) + 1)} & {*counts} | {*urls.BAD_WORDS, *urls.GOOD_WORDS, *urls.PLAIN_WORDS}
+
+    @cache
+    def best(label):
+        if not label:
+            return 0.0, ()
+        ways = []
+        for n in range(1, len(label) + 1):
+            word = label[:n]
+            score = np.log(counts[word] / total) if word in used else min(np.log(1 / total), -1.0) * (1 + n)
+            rest = best(label[n:])
+            ways.append((score + rest[0], (word, *rest[1])))
+        return max(ways, key=lambda w: w[0])
+
+    score_of = lambda words: sum(np.log(counts[w] / total) if w in used else min(np.log(1 / total), -1.0) * (1 + len(w)) for w in words)
+    words = {}
+    rows = urls.filter_urls(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    for r in rows:
+        parts = r["words"][:-1]
+        assert "".join(parts) == "".join(labels_of[r["host"]]) and abs(score_of(parts) - sum(best(label)[0] for label in labels_of[r["host"]])) < 1e-9
+        words[r["page_id"]] = r["words"] + ["#" if t.isdigit() else t for t in re.findall(r"[^\W\d_]+|\d+", r["path"].lower())]
+    label = {}
+    for r in rows:
+        own, verdict = set(r["words"]), ruled[r["page_id"]][0]
+        label[r["page_id"]] = verdict == "block" if verdict else True if own & {*urls.BAD_WORDS} else False if own & {*urls.GOOD_WORDS} else None
+    bad, good = (Counter(w for i, own in words.items() if label[i] is want for w in own) for want in (True, False))
+    kinds = len({*bad, *good})
+    odds = lambda w: np.log((bad[w] + 1) / (bad.total() + kinds + 1)) - np.log((good[w] + 1) / (good.total() + kinds + 1))
+    prior = np.log(sum(x is True for x in label.values()) / sum(x is False for x in label.values()))
+    assert len(rows) == len(pages) and {True, False} <= {*label.values()}
+    for r in QUERIES["op6_urls"](spark, SF).collect():
+        i = r["page_id"]
+        wanted = prior + sum(map(odds, words[i]))
+        assert (r["host"], r["path"], r["rule"]) == (hosts[i], paths[i], ruled[i][1]) and abs(r["odds"] - wanted) < 1e-6
+        assert r["verdict"] == (ruled[i][0] or ("block" if wanted > 0 else "allow"))
+
+
 def test_segments_are_the_best(spark):
     log_p = {"free": -3.0, "bets": -3.0, "freeb": -4.0, "ets": -9.0, "f": -8.0}
     assert urls.segment("freebets", log_p, -4.0) == ["free", "bets"] and urls.segment("qqq", log_p, -4.0) == ["qqq"] and urls.segment("", log_p, -4.0) == []
@@ -202,6 +298,17 @@ def test_archives_of_a_table(spark, monkeypatch):
     assert sorted(r["page_id"] for r in rows) == sorted(html) and all(r["payload_bytes"] == len(html[r["page_id"]].encode()) and r["payload_digest"] == warc.base32_sha1(html[r["page_id"]].encode()) for r in rows)
 
 
+def test_a_payload_that_most_pages_share(spark, monkeypatch):
+    from leafgraph import session
+
+    monkeypatch.setattr(warc, "small_side", lambda df: session.small_side(df, 0))  # joined by a shuffle, not broadcast
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, "the same page").otherwise(F.concat(F.lit("own "), "id")).alias("html"))
+    rows = warc.archive_round_trip(spark, pages).collect()
+    same = [r for r in rows if r["page_id"] % 3]
+    assert len(rows) == 300 and {(r["record_type"], r["refers_to"]) for r in same if r["page_id"] != 299} == {("revisit", 299)} and {r["payload_bytes"] for r in same} == {13}
+    assert all(r["record_type"] == "response" for r in rows if r["page_id"] % 3 == 0 or r["page_id"] == 299)
+
+
 def zip64(name: bytes, data: bytes) -> bytes:
     """A ZIP file whose sizes, offset and directory are all in ZIP64 fields, as the format's specification lays them out."""
     local = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45, 0, 0, 0, 0, zlib.crc32(data), 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name + struct.pack("<HHQQ", 1, 16, len(data), len(data)) + data

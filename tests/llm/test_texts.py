@@ -42,6 +42,24 @@ def test_long_words_and_full_caches_give_the_same_ids(monkeypatch):
     assert coder.encode_many(words) == before and coder.encode_many(words) == before
 
 
+def test_rows_of_words_merge_like_single_ones():
+    coder, rng = bpe.RankArrayBPE(VOCABULARY), np.random.default_rng(7)
+    for length in (1, 2, 3, 9, 40):
+        words = ["".join(rng.choice(list("etaoinshr "), length)).encode() for _ in range(200)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.merge_rows(words)] == [coder.merge_short(w) for w in words]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.RankArrayBPE(str(tmp_path / "v.json"))
+
+
 def check_packing(rows, library, texts, most):
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -99,6 +117,33 @@ def test_shortest_pack_first_places_every_length():
         assert got == histogram
 
 
+def one_at_a_time(histogram, most):
+    """How full each pack is when every length, longest first, goes by itself into the pack with the most room."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            shortest = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if shortest is None or packs[shortest] + length > most:
+                packs.append(length)
+            else:
+                packs[shortest] += length
+    return sorted(packs)
+
+
+def test_shortest_pack_first_equals_single_placements():
+    assert sorted(packing.shortest_pack_first({6: 1, 5: 1, 3: 1}, 10)) == [([5, 3], 1), ([6], 1)]
+    rng = np.random.default_rng(2)
+    for most in (10, 16, 50) * 20:
+        histogram = {int(k): int(rng.integers(1, 9)) for k in rng.choice(np.arange(1, most + 1), int(rng.integers(1, 10)), replace=False)}
+        assert sorted(sum(p) for p, n in packing.shortest_pack_first(histogram, most) for _ in range(n)) == one_at_a_time(histogram, most)
+
+
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    make = fingerprints.Fingerprinter()
+    made = [make.of(f"one{i} two{i} three{i}") for i in range(300)]
+    assert len({*made}) == 300 and max(fingerprints.likeness(made[0], x) for x in made[1:]) < 0.3
+
+
 def test_fingerprints(spark, odd, nothing):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted(docs.collect(), key=lambda r: -r["doc_id"])
@@ -175,8 +220,8 @@ def test_language_id(spark, odd, nothing):
     held = [r for r in found if r["held_out"] and r["lang"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
     model = langid.fit(docs)
-    texts = [langid.WORD.findall(r["text"].lower())[:200] for r in docs.limit(40).collect()] + [[], ["the"]]
-    texts.append(texts[0][:20] + langid.WORD.findall("der die und nicht schung lichkeit das ein achpf unger") * 3)
+    texts = [langid.words_of(r["text"].lower())[:200] for r in docs.limit(40).collect()] + [[], ["the"]]
+    texts.append(texts[0][:20] + langid.words_of("der die und nicht schung lichkeit das ein achpf unger") * 3)
     for own, (path, _) in zip(texts, model.label(texts), strict=True):
         assert not own or path.tolist() == viterbi(model.scores(own), model.switch)
     mixed = spark.createDataFrame([(1, "the of and thing that with nding tion. und der die nicht lichkeit schung das ein für. 12")], "doc_id long, text string")
@@ -189,6 +234,22 @@ def test_language_id(spark, odd, nothing):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 6, 7, 8, 9, 11, None}
 
 
+def test_numerals_are_no_letters_and_labels_may_be_missing(spark, nothing):
+    texts = [(1, "½ ² ①"), (2, "Ⅷ"), (3, "x²y the cat"), (4, "١٢٣"), (5, "the cat sat"), (6, None), (7, "ª º")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    model = langid.fit(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der Hund und die Katze", "de")] * 4)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["words"]) for r in langid.label_spans(rows, model).collect()}
+    assert {i for i in got if got[i][0] == "und"} == {1, 2, 4, 6} and all(got[i][1:] == (0.0, 0) for i in (1, 2, 4, 6)) and got[3][2] == 4 and got[5][0] == "en"
+    assert langid.words_of("x²y ⅷ") == ["x", "y"] and [s["start"] for r in langid.label_spans(rows, model).where("doc_id = 3").collect() for s in r["spans"]][0] == 0
+    for lang in (None, "en"):  # no label at all, and labels of texts without a letter only
+        labelled = rows.withColumn("lang", F.lit(lang).cast("string")).where("true" if lang is None else "doc_id in (1, 2, 4, 6)")
+        unknown = langid.fit(labelled)
+        assert unknown.languages == [] and {(r["lang_pred"], r["score"]) for r in langid.label_spans(rows, unknown).collect()} == {("und", 0.0)}
+        assert langid.keep_clear(rows.withColumn("lang", F.lit("x")), unknown, 0.2).isEmpty()
+        assert {r["lang_pred"] for r in langid.predict(labelled).collect()} == {"und"}
+    assert langid.predict(nothing).isEmpty()
+
+
 def test_scripts_narrow_candidates(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat and ran", "en"), ("кот сидел на окне и спал", "ru"), ("η γάτα κάθεται εδώ", "el")] * 5)], "doc_id long, text string, lang string")
     model = langid.fit(docs)
@@ -242,6 +303,60 @@ def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
     assert len({r["text"].split()[-1] for r in rows if "again" in r["text"]}) == 1 and not {*first} & {r["text"] for r in rows} and "240.0.0.1" not in str(rows)
 
 
+def test_phones_keep_their_country_and_names_their_cue(spark):
+    docs = spark.createDataFrame([(1, "call +49 30 1234567, +1 (212) 555-0100 or +358 40 123 4567."), (2, "My name is Xaver Ypsilon. Dear Quentin, me llamo Zoraida Quispe; name: Oleg"), (3, "My names are many. Dear me, they say")], "doc_id long, text string")
+    one, two, three = (r["text"] for r in pii.pseudonymize(docs, "k").orderBy("doc_id").collect())
+    assert one.startswith("call +49 ") and "+1 (" in one and "+358 " in one and not {"1234567", "0100", "4567"} & {*one.replace("-", " ").replace(".", " ").replace(",", " ").split()}
+    assert two.startswith("My name is ") and "Dear " in two and "me llamo " in two and not any(n in two for n in ("Xaver", "Ypsilon", "Quentin", "Zoraida", "Quispe", "Oleg"))
+    assert three == "My names are many. Dear me, they say"
+
+
+def test_numbers_get_longer_where_all_are_taken(spark, monkeypatch):
+    real = pii.core
+
+    def narrow(kind, value, attempt, key):  # only ten phone numbers exist until surrogates get longer
+        few = F.concat(F.lit("555000000"), (F.crc32(F.concat(value, attempt.cast("string")).cast("binary")) % 10).cast("string"))
+        return F.when((kind == "PHONE") & (attempt < 8), few).otherwise(real(kind, value, attempt, key))
+
+    monkeypatch.setattr(pii, "core", narrow)
+    docs = spark.createDataFrame([(i, f"call 212-555-{i:04d} now") for i in range(40)], "doc_id long, text string")
+    made = [r["text"].split()[1] for r in pii.pseudonymize(docs, "k").collect()]
+    assert len({*made}) == 40 and max(map(len, made)) == 16 and not {*made} & {f"212-555-{i:04d}" for i in range(40)}
+
+
+def test_surrogates_of_a_table(spark):
+    """The registered query against matches found by another regex library: what is between them stays, equal values have equal surrogates, others don't."""
+    import regex
+
+    any_form = regex.compile(pii.ANY)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    seen, back, count = {}, {}, 0
+    for r in QUERIES["op1_pii"](spark, SF).collect():
+        text = docs[r["doc_id"]]
+        if text is None:
+            assert r["text"] is None and r["pii_count"] == 0
+            continue
+        matches = list(any_form.finditer(text))
+        edges = [0, *(x for m in matches for x in m.span()), len(text)]
+        between = [text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]
+        found = regex.fullmatch("(.*?)".join(map(regex.escape, between)), r["text"], regex.DOTALL)
+        assert found
+        for m, new in zip(matches, found.groups(), strict=True):
+            old = m.group()
+            if regex.match(r"\p{L}", old) and "@" not in old and not regex.fullmatch("[0-9a-fA-F]{32,128}", old):
+                continue
+            shape = lambda t: regex.sub(r"\p{Ll}", "a", regex.sub(r"\p{Lu}", "A", regex.sub(r"\d", "0", t)))
+            if old == new:
+                assert regex.fullmatch(r"[\d .-]+", old)  # a number that is no card
+                continue
+            count += 1
+            assert "@" in old or "." in old or regex.fullmatch("[0-9a-fA-F]{32,128}", old) or shape(old) == shape(new), (old, new)
+            key = old.lower() if "@" in old or not regex.search(r"\d{3}", old) else (old.startswith("+"), regex.sub(r"\W", "", old))
+            value = new.lower() if "@" in old or not regex.search(r"\d{3}", old) else (new.startswith("+"), regex.sub(r"\W", "", new))
+            assert seen.setdefault(key, value) == value and back.setdefault(value, key) == key
+    assert count > 20 and not {*map(str, seen)} & {*map(str, back)}
+
+
 def test_unclear_languages_are_rejected(spark):
     clean = {"en": "the cat sat on the mat and ran home with the others", "de": "der Hund und die Katze lagen nicht auf dem Bett", "fr": "le chat est dans la maison avec les enfants", "es": "el perro está en la casa con los niños"}
     sample = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate([*clean.items()] * 5)], "doc_id long, text string, lang string")
