@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.llm import langid, ngram_join, packing, pii
 from leafgraph.llm.queries import KEY, VOCABULARY, table
-from leafgraph.session import cut, shared_dir, small_side
+from leafgraph.session import cut, release, small_side
 
 #: How far the score of a document's language must lie from chance (0: 1 in K languages) to certainty (1); under it the language counts as unclear.
 CLEAR = 0.2
@@ -21,9 +19,7 @@ ROW = "__row"
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with a number of its own for each row, written once to the shared folder so that every pass sees the same."""
-    folder = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over `documents`, each one's result written as Parquet and read again by the next."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages in order over `documents`, each one's result written as Parquet and read again by the next, then deleted."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    for _, stage in STAGES:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        release(before)
     return docs
