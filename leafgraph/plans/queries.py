@@ -305,6 +305,18 @@ def validate_adds(spark, sf_dir):
     return ingest.validate_adds(inventory.select("path"), inventory, files)
 
 
+ADDED = "SELECT id, CASE id % 6 WHEN 0 THEN '  ' WHEN 1 THEN full_path || chr(0) || '.md' WHEN 2 THEN '/nowhere/' || id || '.md' WHEN 3 THEN regexp_replace(upper(full_path), '[A-Z]+$', 'txt') ELSE full_path END AS path FROM fx_files"
+
+
+@register(f"SELECT a.id, CASE WHEN trim(a.path) = '' THEN 'blank' WHEN contains(a.path, chr(0)) THEN 'invalid' WHEN NOT {IS_MD.format('a.path')} THEN 'extension' WHEN i.path IS NULL THEN 'not_on_disk' ELSE 'managed' END AS reason, CASE WHEN a.id % 6 > 3 AND i.path IS NOT NULL THEN a.id END AS existing_id FROM ({ADDED}) a LEFT JOIN inv i ON i.path = a.path", inv=INV)
+def validate_adds_reasons(spark, sf_dir):
+    """Requests that are refused for every reason there is."""
+    inventory, files = fx(spark, sf_dir, "inventory", "files")
+    m, path = F.col("id") % 6, F.col("full_path")
+    asked = F.when(m == 0, "  ").when(m == 1, F.concat(path, F.lit("\u0000.md"))).when(m == 2, F.concat(F.lit("/nowhere/"), "id", F.lit(".md"))).when(m == 3, F.regexp_replace(F.upper(path), "[A-Z]+$", "txt")).otherwise(path)
+    return ingest.validate_adds(files.select("id", asked.alias("path")), inventory, files).select("id", "reason", "existing_id")
+
+
 @register("SELECT DISTINCT split_part(path[6:], '/', 1) AS name, '/lib/' || split_part(path[6:], '/', 1) AS path, true AS is_dir, '/lib' AS parent FROM inv WHERE starts_with(path, '/lib/') AND contains(path[6:], '/')", inv=INV)
 def list_directory(spark, sf_dir):
     return ingest.list_directory(fx(spark, sf_dir, "inventory"), "/lib")
@@ -396,7 +408,8 @@ def create_folders(spark, sf_dir):
 
 @register("SELECT row_number() OVER (ORDER BY sort_order, title, id) AS line, id, title FROM fx_files")
 def tree_order(spark, sf_dir):
-    return number_rows(fx(spark, sf_dir, "files").select("sort_order", "title", "id"), ["sort_order", "title", "id"], "line").drop("sort_order")
+    _, files = hierarchy.tree_order(*fx(spark, sf_dir, "folders", "files"))
+    return number_rows(files.select(F.monotonically_increasing_id().alias("at"), "id", "title"), ["at"], "line").drop("at")
 
 
 # --- Attachments and color maps ---
@@ -635,16 +648,16 @@ def color_map_list(spark, sf_dir):
 NEW_NAMES = "SELECT id, CASE WHEN id % 13 = 0 THEN ' ' WHEN id % 13 = 1 THEN '/nowhere' ELSE regexp_replace(full_path, '/[^/]*$', '') END AS dir, CASE id % 13 WHEN 2 THEN 'a/b' WHEN 3 THEN 'x.txt' WHEN 4 THEN regexp_extract(upper(full_path), '[^/]*$') WHEN 5 THEN ' new ' || id ELSE 'new' || id || '.Md' END AS name FROM fx_files"
 
 
-@register(f"SELECT id, CASE WHEN id % 13 = 0 THEN 'blank' WHEN dir NOT IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM inv) THEN 'no_directory' WHEN id % 13 = 2 THEN 'invalid_name' WHEN id % 13 = 3 THEN 'extension' WHEN id % 13 = 4 THEN 'managed' WHEN full_path IN (SELECT path FROM inv) THEN 'exists' END AS reason FROM (SELECT *, dir || '/' || trim(name) || CASE WHEN contains(name, '.') THEN '' ELSE '.md' END AS full_path FROM asked)", inv=INV, asked=NEW_NAMES)
+@register(f"SELECT id, reason, CASE WHEN reason IS NULL THEN full_path END AS full_path, CASE WHEN reason IS NULL THEN '# ' || regexp_replace(trim(name), '\\.[Mm]d$', '') || chr(10) END AS body FROM (SELECT *, CASE WHEN id % 13 = 0 THEN 'blank' WHEN dir NOT IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM inv) THEN 'no_directory' WHEN id % 13 = 2 THEN 'invalid_name' WHEN id % 13 = 3 THEN 'extension' WHEN id % 13 = 4 THEN 'managed' WHEN full_path IN (SELECT path FROM inv) THEN 'exists' END AS reason FROM (SELECT *, dir || '/' || trim(name) || CASE WHEN contains(name, '.') THEN '' ELSE '.md' END AS full_path FROM asked))", inv=INV, asked=NEW_NAMES)
 def validate_new_files(spark, sf_dir):
     files, inventory = fx(spark, sf_dir, "files", "inventory")
     m = F.col("id") % 13
     directory = F.when(m == 0, " ").when(m == 1, "/nowhere").otherwise(paths.parent_path(F.col("full_path")))
     name = F.when(m == 2, "a/b").when(m == 3, "x.txt").when(m == 4, F.upper(paths.file_name(F.col("full_path")))).when(m == 5, F.concat(F.lit(" new "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("new"), F.col("id").cast("string"), F.lit(".Md")))
-    return ingest.validate_new_files(files.select("id", directory.alias("dir"), name.alias("name")), inventory, files).select("id", "reason")
+    return ingest.validate_new_files(files.select("id", directory.alias("dir"), name.alias("name")), inventory, files).select("id", "reason", F.when(F.col("reason").isNull(), F.col("full_path")).alias("full_path"), "body")
 
 
-@register(f"SELECT a.id, CASE WHEN f.id IS NULL THEN 'unknown_document' WHEN a.kind = 'export' THEN 'unknown_kind' WHEN a.kind = 'upload' THEN CASE WHEN a.size_bytes % 5 = 0 THEN 'empty' END WHEN a.id % 4 = 0 THEN 'blank' WHEN i.path IS NULL THEN 'not_on_disk' WHEN f.id % 2 = 0 AND m.component IS NOT NULL AND f.id = m.component THEN 'attached' END AS reason FROM fx_attachments a LEFT JOIN fx_files f ON f.id = a.file_id LEFT JOIN member m ON m.file_id = f.id LEFT JOIN inv i ON i.path = f.full_path WHERE NOT (f.id IS NULL AND a.kind = 'export')", **(GRAPHS | {"inv": INV}))
+@register(f"SELECT id, reason, CASE WHEN reason IS NULL THEN CASE kind WHEN 'reference' THEN regexp_extract(path, '[^/]*$') ELSE file_name END END AS name FROM (SELECT a.id, a.kind, a.file_name, f.full_path AS path, CASE WHEN f.id IS NULL THEN 'unknown_document' WHEN a.kind = 'export' THEN 'unknown_kind' WHEN a.kind = 'upload' THEN CASE WHEN a.size_bytes % 5 = 0 THEN 'empty' END WHEN a.id % 4 = 0 THEN 'blank' WHEN i.path IS NULL THEN 'not_on_disk' WHEN f.id % 2 = 0 AND m.component IS NOT NULL AND f.id = m.component THEN 'attached' END AS reason FROM fx_attachments a LEFT JOIN fx_files f ON f.id = a.file_id LEFT JOIN member m ON m.file_id = f.id LEFT JOIN inv i ON i.path = f.full_path WHERE NOT (f.id IS NULL AND a.kind = 'export'))", **(GRAPHS | {"inv": INV}))
 def validate_attachments(spark, sf_dir):
     """Requests made from the old attachments; the least member's own file is attached already in each graph."""
     old, files, inventory = fx(spark, sf_dir, "attachments", "files", "inventory")
@@ -653,7 +666,7 @@ def validate_attachments(spark, sf_dir):
     there = members.where("file_id = graph_id").join(path, "file_id").select("graph_id", F.lit("reference").alias("kind"), F.col("p").alias("source_path"))
     asked = old.join(path, "file_id", "left").select("id", F.col("file_id").alias("doc_id"), "kind", F.when((F.col("id") % 4 == 0) & (F.col("kind") == "reference"), " ").otherwise(F.col("p")).alias("path"), "file_name", F.when(F.col("size_bytes") % 5 == 0, 0).otherwise(F.col("size_bytes")).alias("size_bytes"))
     asked = asked.join(files.select(F.col("id").alias("known")), F.col("doc_id") == F.col("known"), "left").where("not (known is null and kind = 'export')").drop("known")
-    return attachments.validate_attachments(asked, files, inventory, members, there).select("id", "reason")
+    return attachments.validate_attachments(asked, files, inventory, members, there).select("id", "reason", F.when(F.col("reason").isNull(), F.col("name")).alias("name"))
 
 
 @register()
