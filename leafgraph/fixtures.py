@@ -32,9 +32,9 @@ SELECT c_custkey AS id, c_name AS name,
     "fx_relations": """
 SELECT CASE WHEN turned = 1 AND far = 0 THEN near ELSE p END AS from_id, CASE WHEN far = 1 THEN away WHEN turned = 1 THEN p ELSE near END AS to_id, kind
  FROM (SELECT p, turned, kind, CASE kind WHEN 'companion' THEN 1 ELSE 0 END AS far, h % (SELECT count(*) + 20 FROM part) AS away,
-  p - p % 50 + (p % 50) - (p % 50) % w + h % w AS near
-  FROM (SELECT l_partkey AS p, 1 + CAST(FLOOR(l_partkey / 50) AS BIGINT) * 7 % 50 AS w, l_partkey*31 + l_suppkey*17 + l_linenumber AS h, l_linenumber % 2 AS turned,
-   CASE WHEN l_partkey % 200 >= 150 THEN 'companion' WHEN l_linenumber = 7 THEN 'see' WHEN l_linenumber % 4 = 0 THEN 'sibling' WHEN l_linenumber % 4 = 1 THEN 'companion' ELSE 'reference' END AS kind
+  p - p % 20 + (p % 20) - (p % 20) % w + h % w AS near
+  FROM (SELECT l_partkey AS p, 1 + CAST(FLOOR(l_partkey / 20) AS BIGINT) * 7 % 20 AS w, l_partkey*31 + l_suppkey*17 + l_linenumber AS h, l_linenumber % 2 AS turned,
+   CASE WHEN l_partkey % 80 >= 60 THEN 'companion' WHEN l_linenumber = 7 THEN 'see' WHEN l_linenumber % 4 = 0 THEN 'sibling' WHEN l_linenumber % 4 = 1 THEN 'companion' ELSE 'reference' END AS kind
    FROM lineitem) rows) ends
  UNION ALL SELECT p_partkey, p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'companion' ELSE 'reference' END FROM part
 """,

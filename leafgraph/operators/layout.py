@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.functions.texts import number_text
-from leafgraph.session import cut
+from leafgraph.session import cut, release
 
 #: Gaps of the grid, height of a node, dip of a sibling's curve, height of a layer and gap of a ring (fixed values).
 COLUMN_GAP, ROW_GAP, NODE_HEIGHT, DIP, LAYER, RING_GAP, RING_LEAST = 170, 110, 38, 38, 95, 62, 90
@@ -23,23 +23,29 @@ SWEEPS, KEPT = 4, 512
 def reference_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, file_id, level): the longest reference path from a node without an incoming reference, for graphs without cycles.
 
-    A join a round; only nodes whose level rose go on. Raises RuntimeError after as many rounds as the largest graph has
-    nodes, which a cycle takes; use graph_layout for graphs that may have one, or siblings.
+    A round takes away the nodes into which no reference is left, for all graphs at once; a node's level is the round that
+    takes it. So there are as many rounds as levels, each over the references that are left. Raises RuntimeError when
+    none can be taken and some are left, which is a cycle; use graph_layout for graphs that may have one, or siblings.
     """
     refs = edges.where("kind = 'reference'").select("graph_id", "from_id", "to_id").distinct()
-    inside = nodes.select("graph_id", "file_id").distinct()
+    inside = cut(nodes.select("graph_id", "file_id").distinct())
     for end in ("from_id", "to_id"):
         refs = refs.join(inside.withColumnRenamed("file_id", end), ["graph_id", end], "left_semi")
-    refs = cut(refs.select("graph_id", "from_id", "to_id"))
-    level = cut(inside.withColumn("level", F.lit(0)))
-    frontier, most = level, nodes.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(most + 1):
-        risen = frontier.withColumnRenamed("file_id", "from_id").join(refs, ["graph_id", "from_id"]).groupBy("graph_id", F.col("to_id").alias("file_id")).agg((F.max("level") + 1).alias("want"))
-        frontier = cut(risen.join(level, ["graph_id", "file_id"]).where("want > level").select("graph_id", "file_id", F.col("want").alias("level")))
-        if frontier.isEmpty():
-            return level
-        level = cut(level.join(frontier.withColumnRenamed("level", "want"), ["graph_id", "file_id"], "left").select("graph_id", "file_id", F.coalesce("want", "level").alias("level")))
-    raise RuntimeError("a cycle of references")
+    left = cut(refs.select("graph_id", "from_id", "to_id"))
+    targets = lambda df: df.select("graph_id", F.col("to_id").alias("file_id"))
+    taken = cut(inside.join(targets(left), ["graph_id", "file_id"], "left_anti"))
+    levels, round_no = taken.withColumn("level", F.lit(0)), 0
+    while not left.isEmpty():
+        last = taken.withColumnRenamed("file_id", "from_id")
+        before, left = left, cut(left.join(last, ["graph_id", "from_id"], "left_anti").select("graph_id", "from_id", "to_id"))
+        freed = targets(before.join(last, ["graph_id", "from_id"], "left_semi")).distinct()
+        taken = cut(freed.join(targets(left), ["graph_id", "file_id"], "left_anti"))
+        release(before)
+        if taken.isEmpty():
+            raise RuntimeError("a cycle of references")
+        round_no += 1
+        levels = levels.unionByName(taken.withColumn("level", F.lit(round_no)))
+    return levels
 
 
 def waves(reads: np.ndarray, writes: np.ndarray, count: int) -> list[np.ndarray]:
