@@ -27,7 +27,7 @@ GIVEN = {
     ("m", "cyrillic"): ["Александр", "Владимир", "Дмитрий", "Михаил", "Николай", "Сергей"],
 }
 #: Words right before a name, which stay as they are.
-CUES = ["My name is", "my name is", "Name:", "name:", "Dear", "Mein Name ist", "mein Name ist", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo", "Mi nombre es", "mi nombre es", "Меня зовут", "меня зовут"]
+CUES = ["My name is", "my name is", "Name:", "name:", "Mein Name ist", "mein Name ist", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo", "Mi nombre es", "mi nombre es", "Меня зовут", "меня зовут"]
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя"}
 SYLLABLES = {"latin": "ba ce di fo gu ha ki lo mar nel por quin ras sol tam ver win xan yor zel".split(), "cyrillic": "ба ве ги до жу ка ли мо на пе ри со ту фа хе шо".split()}
 ENDINGS = {"latin": {"F": "a", "M": "o", "X": "e"}, "cyrillic": {"F": "а", "M": "ов", "X": "е"}}
@@ -40,19 +40,23 @@ _KNOWN = "|".join(n for group in GIVEN.values() for n in group)
 _CUE = "|".join(CUES)
 #: Country codes of one and two digits; all others have three (fixed values of the numbering plan).
 _LAND = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
-FORMS = {
-    "EMAIL": rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)+",
-    "TOKEN": rf"(?<![{_WORD}])[0-9a-fA-F]{{32,128}}(?![{_WORD}])",
-    "IBAN": rf"(?<![{_WORD}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",
-    "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "SSN": rf"(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-])",
-    "PHONE": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,8}){1,4}(?!\d)|\+\d{7,15}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
-    "CARD": r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|3\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "NAME": rf"(?<![{_WORD}])(?:(?:{_TITLE})\.?\s{_NAME}(?:\s{_NAME})?|(?:{_KNOWN})\s{_NAME}|(?<=(?:{_CUE})\s){_NAME}(?:\s{_NAME})?)",
-}
-ANY = "|".join(FORMS.values())
+# Forms that begin where no letter or digit stands before them, and forms that begin with a digit, a plus or a bracket.
+AT_WORDS = [
+    rf"(?<![._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)+",  # e-mail
+    rf"[0-9a-fA-F]{{32,128}}(?![{_WORD}])",  # token
+    rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",  # IBAN
+    rf"(?=[\p{{Lu}}г])(?:(?:{_TITLE})\.?\s{_NAME}(?:\s{_NAME})?|(?:{_KNOWN})\s{_NAME}|(?<=(?<![{_WORD}])(?:{_CUE})\s){_NAME}(?:\s{_NAME})?)",  # name; some titles begin with г
+]
+AT_NUMBERS = [
+    rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",  # address
+    r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",  # social security number
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,8}){1,4}(?!\d)|\+\d{7,15}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",  # phone
+    r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|3\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",  # card
+]
+#: All forms. Grouped by how they begin, since most places of a text begin none: two looks at a place then suffice.
+ANY = rf"(?<![{_WORD}])(?:{'|'.join(AT_WORDS)})|(?=[\d+(])(?:{'|'.join(AT_NUMBERS)})"
 #: A text without any of these has nothing to be found.
-HINT = rf"[@0-9]|(?:{_TITLE})\.?\s|(?:{_KNOWN})\s|(?:{_CUE})\s"
+HINT = rf"[@0-9]|(?<![{_WORD}])(?=[\p{{Lu}}гjmnм])(?:(?:{_TITLE})\.?|{_KNOWN}|{_CUE})\s"
 
 
 def _at(text: Column, i: Column) -> Column:

@@ -193,6 +193,10 @@ def test_sharding(spark, odd, nothing):
         assert all(r["grown_shard"] in (8, r["shard"]) for r in rows)
         texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
         assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op9_sharding"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs) and {r["law"] for r in rows} == {"key"} and {r["shard"] for r in rows} == set(range(8))
+    assert all(r["size"] == len(docs[r["doc_id"]].encode()) + 1 and r["grown_shard"] in (8, r["shard"]) for r in rows)
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     count = {r["shard"]: r["n"] for r in sharding.shard_rows(ids, {0: 1.0, 1: 3.0}).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     assert 2.8 < count[1] / count[0] < 3.2
@@ -304,10 +308,10 @@ def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
 
 
 def test_phones_keep_their_country_and_names_their_cue(spark):
-    docs = spark.createDataFrame([(1, "call +49 30 1234567, +1 (212) 555-0100 or +358 40 123 4567."), (2, "My name is Xaver Ypsilon. Dear Quentin, me llamo Zoraida Quispe; name: Oleg"), (3, "My names are many. Dear me, they say")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "call +49 30 1234567, +1 (212) 555-0100 or +358 40 123 4567."), (2, "My name is Xaver Ypsilon. Dear Sir, me llamo Zoraida Quispe; name: Oleg"), (3, "My names are many. Dear me, they say")], "doc_id long, text string")
     one, two, three = (r["text"] for r in pii.pseudonymize(docs, "k").orderBy("doc_id").collect())
     assert one.startswith("call +49 ") and "+1 (" in one and "+358 " in one and not {"1234567", "0100", "4567"} & {*one.replace("-", " ").replace(".", " ").replace(",", " ").split()}
-    assert two.startswith("My name is ") and "Dear " in two and "me llamo " in two and not any(n in two for n in ("Xaver", "Ypsilon", "Quentin", "Zoraida", "Quispe", "Oleg"))
+    assert two.startswith("My name is ") and "Dear Sir" in two and "me llamo " in two and not any(n in two for n in ("Xaver", "Ypsilon", "Zoraida", "Quispe", "Oleg"))
     assert three == "My names are many. Dear me, they say"
 
 
