@@ -204,8 +204,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
     joined = cut(connected_components(verified.where("sid <> peer"), "sid", "peer"))
     linked = nodes.select(F.col("sid").alias("id"), "first").join(small_side(joined), "id")
-    names = linked.groupBy("component").agg(F.min("first").alias("class_id"))
-    named = cut(joined.join(names, "component").select(F.col("id").alias("sid"), "class_id").join(links, "sid"))
+    names = cut(linked.groupBy("component").agg(F.min("first").alias("class_id")))
+    named = cut(joined.join(small_side(names), "component").select(F.col("id").alias("sid"), "class_id").join(links, "sid"))
     classes = nodes.select("sid", "first", "copies").join(small_side(named), "sid", "left")
     classes = cut(classes.select("sid", F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     return signed.select("doc_id", "sid").join(small_side(classes), "sid").select("doc_id", "class_id", "copies", "n_links")
