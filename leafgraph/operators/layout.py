@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,21 +173,54 @@ def graph_layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     it needs some 200 bytes for each node and edge. Graphs are spread over tasks. Where levels of references alone are
     wanted and there is no cycle, reference_levels does it by joins.
     """
-    nodes = nodes.select("graph_id", "file_id").distinct()
+    nodes = nodes.where("graph_id is not null and file_id is not null").select("graph_id", "file_id").distinct()
     order = F.col("seq") if "seq" in edges.columns else F.lit(0)
-    rows = nodes.select("graph_id", F.col("file_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit("node").alias("kind"), F.lit(0).cast("long").alias("seq"))
-    rows = rows.unionByName(edges.select("graph_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"), "kind", order.cast("long").alias("seq")))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.loc[pdf["kind"] == "node", "a"].to_numpy())
-        pairs = pdf[pdf["kind"] != "node"].sort_values(["seq", "a", "b", "kind"])
-        pairs = pairs[pairs["a"].isin(ids) & pairs["b"].isin(ids)]
-        at = lambda kind: np.searchsorted(ids, pairs.loc[pairs["kind"] == kind, ["a", "b"]].to_numpy(np.int64)).reshape(-1, 2)
-        refs = at("reference")
-        level = bounded_levels(ids, refs, at("sibling"))
-        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "file_id": ids, "level": level, "row_index": row_order(ids, level, refs)})
-
-    return grid_position(rows.groupBy("graph_id").applyInPandas(solve, "graph_id long, file_id long, level long, row_index long"))
+    kind = F.when(F.col("kind") == "reference", 1).when(F.col("kind") == "sibling", 2)
+    rows = nodes.select("graph_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), F.col("file_id").alias("a"), F.lit(0).cast("long").alias("b"))
+    links = edges.where(kind.isNotNull() & F.col("graph_id").isNotNull() & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+    rows = rows.unionByName(links.select("graph_id", kind.alias("kind"), order.cast("long").alias("seq"), F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    rows = rows.repartition("graph_id").sortWithinPartitions("graph_id", "kind", "seq", "a", "b").drop("seq")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for graphs in by_graph(batches):
+            placed = [(graph_id, *place_graph(kinds, a, b)) for graph_id, kinds, a, b in graphs]
+            columns = [np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in placed]), *(np.concatenate([x[i] for x in placed]) for i in (1, 2, 3))] if placed else [np.empty(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["graph_id", "file_id", "level", "row_index"])
+
+    return grid_position(rows.mapInArrow(solve, "graph_id long, file_id long, level long, row_index long"))
+
+
+def by_graph(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(graph_id, kinds, a, b) of each graph in rows (graph_id, kind, a, b) sorted by graph, as lists; a graph may span batches."""
+    now, held = None, []
+    whole = lambda: (now, *(np.concatenate([x[i] for x in held]) for i in range(3)))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, *columns = (batch.column(i).to_numpy(zero_copy_only=False).copy() for i in range(4))
+        edges, done = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)], []
+        for low, high in zip(edges, edges[1:], strict=False):
+            if held and ids[low] != now:
+                done.append(whole())
+                held = []
+            now = int(ids[low])
+            held.append([c[low:high] for c in columns])
+        yield done
+    if held:
+        yield [whole()]
+
+
+def place_graph(kinds: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, levels, places in the rows) of one graph: its nodes (kind 0), references (1) and siblings (2), edges in stored order."""
+    ids = np.sort(a[kinds == 0])
+    if len(ids) < len(kinds):
+        at = [np.minimum(np.searchsorted(ids, x), max(0, len(ids) - 1)) for x in (a, b)]
+        inside = (ids[at[0]] == a) & (ids[at[1]] == b) if len(ids) else np.zeros(len(a), bool)
+        refs, siblings = (np.stack([x[(kinds == k) & inside] for x in at], axis=1) for k in (1, 2))
+        if len(refs) or len(siblings):
+            level = bounded_levels(ids, refs, siblings)
+            return ids, level, row_order(ids, level, refs)
+    return ids, np.zeros(len(ids), np.int64), np.arange(len(ids))
 
 
 def row_positions(levels: DataFrame) -> DataFrame:
