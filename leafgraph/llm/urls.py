@@ -72,12 +72,13 @@ def host_words(hosts: DataFrame, corpus: DataFrame, text_col: str) -> DataFrame:
     last label (com, org) is a word as it stands; digits and hyphens part words and go. The corpus' words are its whole
     runs of Latin letters, of two letters at least.
     """
-    counts = corpus.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(text_col), "<[^>]*>", " ")), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).where(F.length("word") <= LABEL).groupBy("word").agg(F.count("*").alias("n"))
+    counts = cut(corpus.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(text_col), "<[^>]*>", " ")), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).where(F.length("word") <= LABEL).groupBy("word").agg(F.count("*").alias("n")))
     known = corpus.sparkSession.createDataFrame([(w, 50) for w in BAD_WORDS + GOOD_WORDS + PLAIN_WORDS], "word string, n long")
     labels = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("label"))
     starts = labels.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("label"))))
     parts = starts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LABEL), F.length("label") - F.col("i") + 1)), lambda n: F.substr("label", F.col("i"), n))).alias("word")).distinct()
-    used = counts.join(parts.select("word").distinct(), "word", "left_semi").unionByName(known).groupBy("word").agg(F.sum("n").alias("n"))
+    parts = cut(parts)
+    used = counts.join(small_side(cut(parts.select("word").distinct())), "word", "left_semi").unionByName(known).groupBy("word").agg(F.sum("n").alias("n"))
     total = F.lit(float(counts.agg(F.sum("n")).first()[0] or 1))
     vocabulary = parts.join(used, "word").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("word", F.ln(F.col("n") / total)))).alias("log_p"))
     both = hosts.join(vocabulary, "host", "left").select("host", "log_p", F.ln(1 / total).alias("unknown"))
