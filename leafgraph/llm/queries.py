@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.llm import ann, bpe, fingerprints, langid, ngram_join, packing, pii, runs, sharding, trie, urls, warc
+from leafgraph.llm import ann, bpe, fingerprints, langid, near_vectors, ngram_join, packing, pii, runs, sharding, trie, urls, warc
 
 #: Vocabulary file of op2 and op8.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every tenth document, by crc32 of its id, goes on from some word in repeats of a stretch of its own words."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -94,5 +98,5 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(rebuilt_conversations(turns)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_fingerprints, op4_langid, op5_ann, op6_urls, op7_ngram_join, op8_packing, op9_sharding, op10_warc, op12_runs, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_fingerprints, op4_langid, op5_ann, op6_urls, op7_ngram_join, op8_packing, op9_sharding, op10_warc, op11_near_vectors, op12_runs, op13_conversations)}
 SQL: dict[str, str] = {}
