@@ -40,6 +40,21 @@ SELECT CASE WHEN turned = 1 AND far = 0 THEN near ELSE p END AS from_id, CASE WH
 """,
     "fx_dag": """
 SELECT DISTINCT least(from_id,to_id) AS from_id, greatest(from_id,to_id) AS to_id FROM fx_relations WHERE kind='reference' AND from_id<>to_id
+""",
+    "fx_items": """
+SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS k, CAST(10000000 + l_orderkey*8 + l_linenumber AS BIGINT) AS item FROM lineitem
+""",
+    "fx_deep": """
+SELECT CAST(o_orderkey AS BIGINT) AS from_id, CAST(o_orderkey - 1 AS BIGINT) AS to_id FROM orders WHERE o_orderkey > 0
+ UNION ALL SELECT k, item FROM fx_items UNION ALL SELECT item, k - 1 FROM fx_items WHERE k > 0
+""",
+    "fx_ring": """
+SELECT CAST(o_orderkey AS BIGINT) AS from_id, CAST((o_orderkey + 1) % (SELECT count(*) FROM orders) AS BIGINT) AS to_id FROM orders UNION ALL SELECT k, item FROM fx_items
+""",
+    "fx_shapes": """
+SELECT CAST(o_orderkey AS BIGINT) AS from_id, CAST(o_orderkey + 1 AS BIGINT) AS to_id FROM orders
+ UNION ALL SELECT item, CAST(5000000 AS BIGINT) FROM fx_items
+ UNION ALL SELECT CAST(20000000 + o_orderkey AS BIGINT), CAST(20000000 + FLOOR(o_orderkey * 37 / 100) AS BIGINT) FROM orders WHERE o_orderkey > 0
 """,
     "fx_links": """
 SELECT l_orderkey*8 + l_linenumber AS seq, l_partkey AS doc_id,

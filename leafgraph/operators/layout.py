@@ -12,40 +12,110 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.functions.texts import number_text
-from leafgraph.session import cut, release
+from leafgraph.session import cut, release, small_side
 
 #: Gaps of the grid, height of a node, dip of a sibling's curve, height of a layer and gap of a ring (fixed values).
 COLUMN_GAP, ROW_GAP, NODE_HEIGHT, DIP, LAYER, RING_GAP, RING_LEAST = 170, 110, 38, 38, 95, 62, 90
 #: Sweeps over the rows; passes that are held while a period is looked for.
 SWEEPS, KEPT = 4, 512
+#: References from which on a graph's levels are found by joins and not in one task.
+LARGE = 5_000_000
 
 
-def reference_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, file_id, level): the longest reference path from a node without an incoming reference, for graphs without cycles.
+def reference_levels(nodes: DataFrame, edges: DataFrame, large: int = LARGE) -> DataFrame:
+    """(graph_id, file_id, level): the longest reference path from a node without an incoming reference.
 
-    A round takes away the nodes into which no reference is left, for all graphs at once; a node's level is the round that
-    takes it. So there are as many rounds as levels, each over the references that are left. Raises RuntimeError when
-    none can be taken and some are left, which is a cycle; use graph_layout for graphs that may have one, or siblings.
+    Graphs of up to `large` references are solved one in a task, cycles too: their levels then depend on the order of the
+    edges (by from and to, or by a column seq) and on the bound of the passes, as those of graph_layout do. Larger graphs are solved
+    together by joins, by contraction (`contracted_levels`), which raises RuntimeError where such a graph has a cycle.
     """
-    refs = edges.where("kind = 'reference'").select("graph_id", "from_id", "to_id").distinct()
-    inside = cut(nodes.select("graph_id", "file_id").distinct())
-    for end in ("from_id", "to_id"):
-        refs = refs.join(inside.withColumnRenamed("file_id", end), ["graph_id", end], "left_semi")
-    left = cut(refs.select("graph_id", "from_id", "to_id"))
-    targets = lambda df: df.select("graph_id", F.col("to_id").alias("file_id"))
-    taken = cut(inside.join(targets(left), ["graph_id", "file_id"], "left_anti"))
-    levels, round_no = taken.withColumn("level", F.lit(0)), 0
-    while not left.isEmpty():
-        last = taken.withColumnRenamed("file_id", "from_id")
-        before, left = left, cut(left.join(last, ["graph_id", "from_id"], "left_anti").select("graph_id", "from_id", "to_id"))
-        freed = targets(before.join(last, ["graph_id", "from_id"], "left_semi")).distinct()
-        taken = cut(freed.join(targets(left), ["graph_id", "file_id"], "left_anti"))
-        release(before)
-        if taken.isEmpty():
+    refs = edges.where("kind = 'reference' and graph_id is not null and from_id is not null and to_id is not null")
+    nodes = nodes.where("graph_id is not null and file_id is not null").select("graph_id", "file_id").distinct()
+    order = F.col("seq").cast("long") if "seq" in edges.columns else F.lit(0).cast("long")
+    refs = cut(refs.select("graph_id", order.alias("seq"), "from_id", "to_id"))
+    big = cut(refs.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("graph_id"))
+    if big.isEmpty():
+        return _levels_in_tasks(nodes, refs)
+    big = small_side(big)
+    apart, together = ([df.join(big, "graph_id", how) for df in (nodes, refs)] for how in ("left_anti", "left_semi"))
+    return _levels_in_tasks(*apart).unionByName(contracted_levels(*together))
+
+
+def _levels_in_tasks(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """reference_levels of graphs that fit a task each."""
+    none = F.lit(0).cast("long")
+    rows = nodes.select("graph_id", F.lit(0).alias("kind"), none.alias("seq"), F.col("file_id").alias("a"), none.alias("b"))
+    rows = rows.unionByName(refs.select("graph_id", F.lit(1).alias("kind"), "seq", F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for graphs in by_graph(batches):
+            for graph_id, kinds, a, b in graphs:
+                ids, links, _ = graph_arrays(kinds, a, b)
+                level = bounded_levels(ids, links, links[:0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), graph_id, np.int64)), pa.array(ids), pa.array(level)], ["graph_id", "file_id", "level"])
+
+    rows = rows.repartition("graph_id").sortWithinPartitions("graph_id", "kind", "seq", "a", "b").drop("seq")
+    return rows.mapInArrow(solve, "graph_id long, file_id long, level long")
+
+
+def contracted_levels(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """reference_levels of graphs of any size without cycles, by joins.
+
+    A node without an incoming reference hangs from its graph's root at distance 0. A node whose references all come from
+    one node hangs from that one, at the length of the longest. What hangs from what is a forest; pointer doubling finds
+    for each node the top of its tree and how far below it lies, in as many rounds as the logarithm of its depth. Then
+    references leave from the tops, parallel ones become their longest, and the same is done again until all hangs from
+    roots. So chains, trees, and what branches and comes together again between two nodes are contracted at once, however
+    long; a round takes at least what peeling off a level would. Levels are put together backwards at the end.
+    """
+    root = F.lit(None).cast("long")
+    inside = cut(nodes.select("graph_id", F.col("file_id").alias("to_id")))
+    ends = refs.join(inside, ["graph_id", "to_id"], "left_semi").join(inside.withColumnRenamed("to_id", "from_id"), ["graph_id", "from_id"], "left_semi")
+    edges = ends.groupBy("graph_id", "from_id", "to_id").agg(F.lit(1).cast("long").alias("w"))
+    sources = inside.join(ends.select("graph_id", "to_id"), ["graph_id", "to_id"], "left_anti").select("graph_id", root.alias("from_id"), "to_id", F.lit(0).cast("long").alias("w"))
+    edges, hung = cut(edges.unionByName(sources)), []
+    while True:
+        # A null source is the root. Those with one source only hang from it; `up` null: from the root.
+        one = edges.groupBy("graph_id", "to_id").agg(F.min("from_id").alias("low"), F.max("from_id").alias("high"), F.count("from_id").alias("named"), F.count("*").alias("n"), F.max("w").alias("w"))
+        alone = (F.col("named") == 0) | ((F.col("low") == F.col("high")) & (F.col("named") == F.col("n")))
+        single = cut(one.where(alone).select("graph_id", F.col("to_id").alias("id"), F.col("low").alias("up"), "w"))
+        if single.isEmpty():
+            if edges.isEmpty():
+                break
             raise RuntimeError("a cycle of references")
-        round_no += 1
-        levels = levels.unionByName(taken.withColumn("level", F.lit(round_no)))
-    return levels
+        tops = _tops(single)
+        hung.append(tops)
+        rest = edges.join(tops.select("graph_id", F.col("id").alias("to_id")), ["graph_id", "to_id"], "left_anti")
+        over = tops.select("graph_id", F.col("id").alias("from_id"), F.col("top").alias("__top"), F.col("w").alias("__more"), F.lit(True).alias("__hung"))
+        moved = rest.join(over, ["graph_id", "from_id"], "left")
+        source = F.when(F.col("__hung"), F.col("__top")).otherwise(F.col("from_id"))
+        before, edges = edges, cut(moved.select("graph_id", source.alias("from_id"), "to_id", (F.col("w") + F.coalesce("__more", F.lit(0))).alias("w")).groupBy("graph_id", "from_id", "to_id").agg(F.max("w").alias("w")))
+        release(before, single)
+    done = None
+    for tops in reversed(hung):  # the last ones hang from roots, earlier ones also from those that came later
+        if done is None:
+            done = tops.select("graph_id", "id", F.col("w").alias("level"))
+            continue
+        above = done.select("graph_id", F.col("id").alias("top"), F.col("level").alias("__level"))
+        done = cut(done.unionByName(tops.join(above, ["graph_id", "top"], "left").select("graph_id", "id", (F.col("w") + F.coalesce("__level", F.lit(0))).alias("level"))))
+    if done is None:
+        return inside.select("graph_id", F.col("to_id").alias("file_id"), F.lit(0).cast("long").alias("level"))
+    return done.select("graph_id", F.col("id").alias("file_id"), "level")
+
+
+def _tops(single: DataFrame) -> DataFrame:
+    """(graph_id, id, top, w) of (graph_id, id, up, w): the first node upwards that itself hangs from nothing (null: the root), and the distance to it."""
+    now = single.withColumnRenamed("up", "top")
+    most, previous = max(1, single.count()).bit_length() + 1, None
+    for _ in range(most):
+        further = now.select("graph_id", F.col("id").alias("top"), F.col("top").alias("__next"), F.col("w").alias("__more"), F.lit(True).alias("__on"))
+        step = now.join(further, ["graph_id", "top"], "left")
+        moved = cut(step.select("graph_id", "id", F.when(F.col("__on"), F.col("__next")).otherwise(F.col("top")).alias("top"), (F.col("w") + F.coalesce("__more", F.lit(0))).alias("w"), F.coalesce("__on", F.lit(False)).alias("on")))
+        release(previous)
+        if moved.where("on").isEmpty():
+            return moved.drop("on")
+        previous, now = moved, moved.drop("on")
+    raise RuntimeError("a cycle of references")
 
 
 def waves(reads: np.ndarray, writes: np.ndarray, count: int) -> list[np.ndarray]:
@@ -124,16 +194,95 @@ def repeat(step: Callable[[np.ndarray], None], level: np.ndarray, most: int, las
     return level
 
 
+def sibling_groups(count: int, siblings: np.ndarray) -> np.ndarray:
+    """For each node the number of its group: nodes that chains of siblings join, numbered from 0."""
+    root = list(range(count))
+    for a, b in siblings.tolist():
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        root[max(a, b)] = min(a, b)
+    least = np.array(root, np.int64)
+    while (least[least] != least).any():
+        least = least[least]
+    return np.unique(least, return_inverse=True)[1]
+
+
+class Arrows:
+    """For each node the nodes that edges (pairs of positions) lead to."""
+
+    def __init__(self, count: int, edges: np.ndarray) -> None:
+        order = np.argsort(edges[:, 0], kind="stable")
+        self.to = edges[order, 1].tolist()
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(edges[:, 0], minlength=count))]).tolist()
+
+    def reached(self, start: list[int]) -> set[int]:
+        found, todo = set(start), list(start)
+        while todo:
+            node = todo.pop()
+            for other in self.to[self.first[node] : self.first[node + 1]]:
+                if other not in found:
+                    found.add(other)
+                    todo.append(other)
+        return found
+
+
+def longest_paths(count: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, free): the longest path to each node, in topological order; nodes on a cycle or below one are not free."""
+    arrows, missing, level = Arrows(count, edges), np.bincount(edges[:, 1], minlength=count).tolist(), [0] * count
+    todo = [i for i, n in enumerate(missing) if not n]
+    free = np.zeros(count, bool)
+    to, first = arrows.to, arrows.first
+    while todo:
+        node = todo.pop()
+        free[node], below = True, level[node] + 1
+        for other in to[first[node] : first[node + 1]]:
+            if level[other] < below:
+                level[other] = below
+            missing[other] -= 1
+            if not missing[other]:
+                todo.append(other)
+    return np.array(level, np.int64), free
+
+
 def bounded_levels(ids: np.ndarray, refs: np.ndarray, siblings: np.ndarray) -> np.ndarray:
     """Levels of one graph, exactly, cycles and siblings too: edges are pairs of positions in ids, in stored order.
 
-    What a pass raises counts in the same pass already; passes are bounded by the number of nodes plus two, so the levels
-    of a cycle depend on that bound and on the order of the edges. First references alone are passed over, then siblings
-    and references.
+    Levels are what passes over the edges lead to, where what a pass raises counts in the same pass already. Siblings share
+    a level, so groups of siblings are taken as one; then a group that is neither on a cycle nor below one has the length
+    of the longest path to it, for no path has more steps than there are passes. Only what lies on cycles or below them
+    depends on the order of the edges and on the number of passes, and is passed over, with what leads there.
     """
-    most = len(ids) + 2
-    sweep = Sweep(len(ids), refs, siblings)
-    level = repeat(sweep.push, np.zeros(len(ids), np.int64), most, lambda rise: sweep.never_slows(rise, False))
+    group = sibling_groups(len(ids), siblings) if len(siblings) else np.arange(len(ids))
+    edges, count = group[refs], int(group.max()) + 1 if len(ids) else 0
+    level, free = longest_paths(count, edges)
+    if free.all():
+        return level[group]
+    tied = ~free[group]
+    if len(siblings) and tied[siblings[:, 0]].any():
+        above = np.flatnonzero(~free)
+    else:
+        # Without siblings a cycle lifts what is below it over all paths that don't come from it: only what leads to cycles counts.
+        around = edges[~free[edges[:, 0]] & ~free[edges[:, 1]]]
+        _, below = longest_paths(count, around[:, ::-1])  # from which no cycle can be reached
+        above = np.flatnonzero(~free & ~below)
+    taken = np.zeros(count, bool)
+    taken[list(Arrows(count, edges[:, ::-1]).reached(above.tolist()))] = True
+    taken |= ~free
+    own = np.flatnonzero(taken[group])
+    at = np.full(len(ids), -1)
+    at[own] = np.arange(len(own))
+    inside = [at[e[taken[group[e[:, 0]]] & taken[group[e[:, 1]]]]] for e in (refs, siblings)]
+    out = level[group]
+    out[own] = passes(len(own), *inside, len(ids) + 2)
+    return out
+
+
+def passes(count: int, refs: np.ndarray, siblings: np.ndarray, most: int) -> np.ndarray:
+    """Levels after `most` passes at most over references alone, then as many over siblings and references."""
+    sweep = Sweep(count, refs, siblings)
+    level = repeat(sweep.push, np.zeros(count, np.int64), most, lambda rise: sweep.never_slows(rise, False))
 
     def both(level: np.ndarray) -> None:
         sweep.share(level)
@@ -149,7 +298,8 @@ def row_order(ids: np.ndarray, level: np.ndarray, refs: np.ndarray, sweeps: int
     degree = np.bincount(ends[:, 0], minlength=len(ids))
     first = np.concatenate([[0], np.cumsum(degree)])
     order = np.argsort(level, kind="stable")
-    rows = np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if len(order) else []
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(level[order])) + 1, [len(order)]])
+    rows = [order[low:high] for low, high in zip(starts[:-1], starts[1:], strict=True) if high - low > 1]  # the only node of a row stays where it is
     place = np.zeros(len(ids), np.int64)
     for row in rows:
         place[row] = np.arange(len(row))
@@ -170,8 +320,8 @@ def graph_layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Edges with an end outside the graph's nodes are ignored; the rest are taken by from, to, kind (or by a column seq).
     Levels and rows of a graph of any size are found in one task, since each step of them depends on the one before:
-    it needs some 200 bytes for each node and edge. Graphs are spread over tasks. Where levels of references alone are
-    wanted and there is no cycle, reference_levels does it by joins.
+    it needs some 300 bytes for each node and edge. Graphs are spread over tasks. Where levels of references alone are
+    wanted, reference_levels finds those of larger graphs by joins.
     """
     nodes = nodes.where("graph_id is not null and file_id is not null").select("graph_id", "file_id").distinct()
     order = F.col("seq") if "seq" in edges.columns else F.lit(0)
@@ -210,16 +360,23 @@ def by_graph(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.n
         yield [whole()]
 
 
-def place_graph(kinds: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, levels, places in the rows) of one graph: its nodes (kind 0), references (1) and siblings (2), edges in stored order."""
+def graph_arrays(kinds: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, references, siblings) of one graph's rows: nodes (kind 0), references (1) and siblings (2) in stored order; edges as pairs of positions in ids."""
     ids = np.sort(a[kinds == 0])
-    if len(ids) < len(kinds):
-        at = [np.minimum(np.searchsorted(ids, x), max(0, len(ids) - 1)) for x in (a, b)]
-        inside = (ids[at[0]] == a) & (ids[at[1]] == b) if len(ids) else np.zeros(len(a), bool)
-        refs, siblings = (np.stack([x[(kinds == k) & inside] for x in at], axis=1) for k in (1, 2))
-        if len(refs) or len(siblings):
-            level = bounded_levels(ids, refs, siblings)
-            return ids, level, row_order(ids, level, refs)
+    if not len(ids):
+        return ids, np.empty((0, 2), np.int64), np.empty((0, 2), np.int64)
+    at = [np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (a, b)]
+    inside = (ids[at[0]] == a) & (ids[at[1]] == b)
+    refs, siblings = (np.stack([x[(kinds == k) & inside] for x in at], axis=1) for k in (1, 2))
+    return ids, refs, siblings
+
+
+def place_graph(kinds: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, levels, places in the rows) of one graph's rows."""
+    ids, refs, siblings = graph_arrays(kinds, a, b)
+    if len(refs) or len(siblings):
+        level = bounded_levels(ids, refs, siblings)
+        return ids, level, row_order(ids, level, refs)
     return ids, np.zeros(len(ids), np.int64), np.arange(len(ids))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafgraph.fixtures import fixture, oracle
 from leafgraph.functions import paths, texts
 from leafgraph.operators import attachments, colormaps, export, graphs, hierarchy, ingest, layout, patches, relations, text_inventory
+from leafgraph.operators.components import connected_components as connected
 from leafgraph.operators.numbering import number_rows
 from leafgraph.session import cut, scratch
 from leafgraph.sources import bundles, catalog, inventory
@@ -69,6 +70,12 @@ def connected_components(spark, sf_dir):
     return components(spark, sf_dir)
 
 
+@register("SELECT DISTINCT id, CASE WHEN id >= 20000000 THEN 20000000 WHEN id >= 5000000 THEN 5000000 ELSE 0 END AS component FROM (SELECT from_id AS id FROM fx_shapes UNION ALL SELECT to_id FROM fx_shapes)")
+def components_of_shapes(spark, sf_dir):
+    """A chain of all orders, a hub that every line item is linked to, and a tree of all orders."""
+    return connected(fx(spark, sf_dir, "shapes"))
+
+
 @register(VALID)
 def valid_endpoints(spark, sf_dir):
     files, links = fx(spark, sf_dir, "files", "relations")
@@ -497,6 +504,34 @@ def reference_levels(spark, sf_dir):
     return layout.reference_levels(*dag(spark, sf_dir)).select("file_id", "level")
 
 
+def one_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and references of one graph that holds all of the edges."""
+    edges = edges.select(F.lit(1).cast("long").alias("graph_id"), "from_id", "to_id", F.lit("reference").alias("kind"))
+    return edges.select("graph_id", F.col("from_id").alias("file_id")).union(edges.select("graph_id", "to_id")).distinct(), edges
+
+
+DEEP = "SELECT o_orderkey AS k, coalesce(sum(CASE WHEN o_orderkey IN (SELECT k FROM fx_items) THEN 2 ELSE 1 END) OVER (ORDER BY o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS level FROM orders"
+DEEP_LEVELS = "SELECT CAST(k AS BIGINT) AS file_id, CAST(level AS BIGINT) AS level FROM deep UNION ALL SELECT item, CAST(level + 1 AS BIGINT) FROM fx_items i JOIN deep d ON d.k = i.k"
+
+
+@register(DEEP_LEVELS, deep=DEEP)
+def deep_levels(spark, sf_dir):
+    """A chain of all orders, stored against its direction, with a side way through each line item; one graph in one task."""
+    return layout.reference_levels(*one_graph(fx(spark, sf_dir, "deep"))).select("file_id", "level")
+
+
+@register(DEEP_LEVELS, deep=DEEP)
+def deep_levels_joined(spark, sf_dir):
+    """The same, by joins."""
+    return layout.reference_levels(*one_graph(fx(spark, sf_dir, "deep")), large=0).select("file_id", "level")
+
+
+@register("SELECT CAST(o_orderkey AS BIGINT) AS file_id, CAST(2 * (m + 2) * n - n + CASE WHEN o_orderkey = 0 THEN n ELSE o_orderkey END AS BIGINT) AS level FROM orders, sizes UNION ALL SELECT item, CAST(2 * (m + 2) * n - n + k + 1 AS BIGINT) FROM fx_items, sizes", sizes="SELECT (SELECT count(*) FROM orders) AS n, (SELECT count(*) FROM orders) + (SELECT count(*) FROM fx_items) AS m")
+def ring_levels(spark, sf_dir):
+    """A ring of all orders with the line items below it: each of the 2 (m + 2) passes over m nodes takes the ring of n once around."""
+    return layout.graph_layout(*one_graph(fx(spark, sf_dir, "ring"))).select("file_id", "level")
+
+
 @register("SELECT file_id, level, i AS row_index, n AS row_length FROM placed", **DAG)
 def row_positions(spark, sf_dir):
     return layout.row_positions(layout.reference_levels(*dag(spark, sf_dir))).select("file_id", "level", "row_index", "row_length")

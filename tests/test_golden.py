@@ -126,7 +126,36 @@ def test_large_graphs_with_cycles(spark):
     assert tuple(found.agg(F.min("level"), F.max("level"), F.count_distinct("level")).first()) == (last - n + 1, last, n)
     loop = spark.createDataFrame([(1, 1, 2, "reference"), (1, 2, 1, "reference")], "graph_id long, from_id long, to_id long, kind string")
     with pytest.raises(RuntimeError, match="cycle"):
-        layout.reference_levels(loop.select("graph_id", F.col("from_id").alias("file_id")), loop)
+        layout.reference_levels(loop.select("graph_id", F.col("from_id").alias("file_id")), loop, large=0).collect()
+    assert {tuple(r) for r in layout.reference_levels(loop.select("graph_id", F.col("from_id").alias("file_id")), loop).collect()} == {(1, 1, 16), (1, 2, 15)}
+
+
+def test_levels_of_a_long_chain_stored_backwards():
+    n = 300_000
+    refs = np.stack([np.arange(1, n), np.arange(n - 1)], axis=1)
+    assert layout.bounded_levels(np.arange(n), refs, refs[:0]).tolist() == list(range(n - 1, -1, -1))
+
+
+def test_levels_above_and_below_cycles():
+    """What leads to cycles, what they lead to and what has nothing to do with them, with and without siblings there."""
+    rng = np.random.default_rng(4)
+    for _ in range(1500):
+        n = int(rng.integers(2, 14))
+        refs, siblings = rng.integers(0, n, (int(rng.integers(0, 2 * n)), 2)), rng.integers(0, n, (int(rng.integers(0, n)) * int(rng.integers(0, 2)), 2))
+        refs = (refs, np.sort(refs, axis=1), np.sort(refs, axis=1)[:, ::-1])[int(rng.integers(0, 3))]
+        assert layout.bounded_levels(np.arange(n), refs, siblings).tolist() == plain_layout(n, refs.tolist(), siblings.tolist())[0]
+
+
+def test_levels_by_joins_equal_those_in_tasks(spark):
+    rng = np.random.default_rng(9)
+    edges = [(g, int(a), int(b), "reference") for g in range(6) for a, b in np.sort(rng.integers(0, 40, (12 * g, 2)), axis=1) if a != b]
+    edges += [(7, i + 1, i, "reference") for i in range(300)] + [(7, 400, 5, "sibling"), (7, 9_999, 3, "reference"), (None, 1, 2, "reference")]
+    nodes = [(g, i) for g in range(7) for i in range(40)] + [(7, i) for i in range(401)]
+    nodes, edges = spark.createDataFrame(nodes, "graph_id long, file_id long"), spark.createDataFrame(edges, "graph_id long, from_id long, to_id long, kind string")
+    want = sorted(map(tuple, layout.reference_levels(nodes, edges).collect()))
+    assert sorted(map(tuple, layout.reference_levels(nodes, edges, large=0).collect())) == want
+    assert sorted(map(tuple, layout.reference_levels(nodes, edges, large=60).collect())) == want
+    assert max(r[2] for r in want) == 300
 
 
 def state_of(spark, members, edges=(), companions=(), attached=(), top=None):
