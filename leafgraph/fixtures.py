@@ -85,6 +85,21 @@ SELECT doc_id AS file_id, CASE doc_id % 4
  WHEN 1 THEN concat(text, chr(10), repeat(chr(96),3), 'sql', chr(10), text, chr(10), repeat(chr(96),3), chr(10), repeat(chr(96),3), 'sql', chr(10), repeat(chr(96),3), chr(10))
  WHEN 2 THEN concat(text, ' [a](docs/b.md) and [c](HTTPS://x.example.com/', CAST(doc_id AS STRING), ')', chr(10), text, ' http://bare.example.com/', CAST(doc_id % 9 AS STRING), chr(10))
  ELSE text END AS text FROM documents
+""",
+    "fx_markdown": """
+SELECT doc_id, CASE doc_id % 10
+ WHEN 0 THEN concat(whole, '[a](b(', id, ')d) and ', tick, '[q](code', id, ')', tick)
+ WHEN 1 THEN concat(whole, '<http://auto.example/', id, '> and www.x', id, '.example.org now')
+ WHEN 2 THEN concat(whole, '[r][1] and [1]', nl, nl, '[1]: /u', id, ' "t"')
+ WHEN 3 THEN concat('- item', nl, nl, '  ', fence, 'sh', nl, '  [in](code)', nl, '  ', fence, nl, '- [b](item', id, ')', nl, whole)
+ WHEN 4 THEN concat(whole, '> ', fence, 'c', nl, '> [x](quoted)', nl, '[after](m', id, ')')
+ WHEN 5 THEN concat(fence, 'a', tick, 'b', nl, whole, '![i](x.png) [![i](y.png)](big', id, ')')
+ WHEN 6 THEN concat(whole, nl, '    [x](indented)', nl, nl, chr(92), '[a](b) and [c](d', id, ')')
+ WHEN 7 THEN concat(whole, '[x](javascript:f) [a [b](c', id, ') d](e)')
+ WHEN 8 THEN concat(whole, fence, 'js', nl, '[x](y)', nl, text)
+ ELSE concat('~~~ mermaid wide', nl, text, nl, '~~~~', nl, '[Ä Ö](ü', id, ')') END AS text
+ FROM (SELECT doc_id, CAST(doc_id AS STRING) AS id, coalesce(text, '') AS text, chr(10) AS nl, chr(96) AS tick, repeat(chr(96), 3) AS fence,
+  concat(repeat(chr(96), 9), 'txt', chr(10), coalesce(text, ''), chr(10), repeat(chr(96), 9), chr(10)) AS whole FROM documents) pieces
 """,
     "fx_color_maps": """
 SELECT CAST(s_suppkey + 1 AS BIGINT) AS id, f.id AS owner_file_id, concat('/maps/m', CAST(s_suppkey AS STRING), '.json') AS file_path,

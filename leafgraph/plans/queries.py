@@ -637,11 +637,30 @@ def fence_inventory(spark, sf_dir):
     return text_inventory.fence_inventory(fx(spark, sf_dir, "content"))
 
 
-@register("SELECT href, regexp_matches(href, '^(?i)https?:') AS external, count(*) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(text, '\\]\\(([^)\\s]*)\\)', 1), regexp_extract_all(text, ' (http://[^\\s]*)', 1))) AS href FROM fx_content) GROUP BY 1")
+@register("SELECT href, regexp_matches(href, '^(?i)https?:') AS external, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(text, '\\]\\(([^)\\s]*)\\)', 1), regexp_extract_all(text, ' (http://[^\\s]*)', 1))) AS href, 1 AS n FROM fx_content UNION ALL SELECT 'mailto:' || unnest(regexp_extract_all(text, '[\\w.+-]+@[\\w.-]+\\.com')), CASE doc_id % 4 WHEN 2 THEN 2 ELSE 1 END FROM documents) GROUP BY 1")
 def link_inventory(spark, sf_dir):
+    """Over whole texts; addresses of mail in the documents' own words are links too, in two of the copies of a third kind and one of the others."""
     return text_inventory.link_inventory(fx(spark, sf_dir, "content"))
 
 
+FENCES = "SELECT doc_id AS file_id, 'txt' AS lang, 'code' AS kind FROM documents WHERE doc_id % 10 <> 9 UNION ALL SELECT doc_id, l.lang, l.kind FROM documents JOIN (VALUES (3, 'sh', 'code'), (4, 'c', 'code'), (8, 'js', 'code'), (9, 'mermaid', 'diagram')) l(m, lang, kind) ON doc_id % 10 = l.m"
+
+
+@register(f"SELECT *, CAST(1 AS BIGINT) AS n FROM ({FENCES})")
+def markdown_fences(spark, sf_dir):
+    """Fences in items and quotes, unclosed ones, ones of tildes and what only looks like one, around every document's text; the SQL lists what each form holds."""
+    return text_inventory.fence_inventory(fx(spark, sf_dir, "markdown").withColumnRenamed("doc_id", "file_id"))
+
+
+HREFS = "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN ['b(' || doc_id || ')d'] WHEN 1 THEN ['http://auto.example/' || doc_id, 'http://www.x' || doc_id || '.example.org'] WHEN 2 THEN ['/u' || doc_id, '/u' || doc_id] WHEN 3 THEN ['item' || doc_id] WHEN 4 THEN ['m' || doc_id] WHEN 5 THEN ['big' || doc_id] WHEN 6 THEN ['d' || doc_id] WHEN 7 THEN ['c' || doc_id] WHEN 9 THEN ['%C3%BC' || doc_id] ELSE [] END AS hrefs FROM documents"
+
+
+@register(f"SELECT href, regexp_matches(href, '^https?:') AS external, count(*) AS n FROM (SELECT unnest(hrefs) AS href FROM ({HREFS})) GROUP BY 1")
+def markdown_links(spark, sf_dir):
+    """Links of every form beside every document's text, which stands in a fence; the SQL lists what each form holds."""
+    return text_inventory.link_inventory(fx(spark, sf_dir, "markdown").withColumnRenamed("doc_id", "file_id"))
+
+
 # --- More of state, validation and streams ---
 
 
