@@ -78,6 +78,24 @@ SELECT event_id AS seq, user_id AS id, CASE WHEN event_type='click' THEN concat(
 """,
     "fx_moves": """
 SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN c_custkey * 8 + 3 WHEN 1 THEN (c_custkey*5 + 3) % (SELECT count(*) FROM customer) ELSE c_custkey END AS new_parent FROM customer
+""",
+    "fx_deep_folders": """
+SELECT CAST(o_orderkey AS BIGINT) AS id, concat('f', CAST(o_orderkey AS STRING)) AS name, CASE WHEN o_orderkey > 0 THEN CAST(o_orderkey - 1 AS BIGINT) END AS parent_id, CAST(o_orderkey % 7 AS INT) AS sort_order FROM orders
+""",
+    "fx_deep_moves": """
+SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey + o_orderkey * 7919 % 2500 - 400 AS BIGINT) AS new_parent FROM orders
+""",
+    "fx_triples": """
+SELECT CAST(2 * c_custkey AS BIGINT) AS id, concat('a', CAST(c_custkey AS STRING)) AS name, CAST(NULL AS BIGINT) AS parent_id, 1 AS sort_order FROM customer
+ UNION ALL SELECT 2 * c_custkey + 1, concat('b', CAST(c_custkey AS STRING)), NULL, 1 FROM customer
+ UNION ALL SELECT 10000000 + c_custkey, concat('d', CAST(c_custkey AS STRING)), 2 * c_custkey + 1, 1 FROM customer
+""",
+    "fx_triple_moves": """
+SELECT CAST(step * 1000000 + c_custkey AS BIGINT) AS seq, CAST(CASE WHEN step IN (2, 4) THEN 2 * c_custkey + 1 WHEN step IN (3, 5, 7) THEN 10000000 + c_custkey ELSE 2 * c_custkey END AS BIGINT) AS id,
+ CASE step WHEN 2 THEN 'bad' WHEN 3 THEN ' z ' END AS name,
+ CAST(CASE step WHEN 1 THEN 10000000 + c_custkey WHEN 2 THEN 2 * c_custkey WHEN 4 THEN 2 * c_custkey WHEN 5 THEN 2 * c_custkey + 1 WHEN 6 THEN 99999999 WHEN 7 THEN 2 * c_custkey + 1 WHEN 8 THEN 2 * c_custkey - 2 WHEN 9 THEN 10000001 + c_custkey END AS BIGINT) AS parent_id,
+ step = 3 AS move_to_root, CASE step WHEN 5 THEN 9 WHEN 7 THEN 3 END AS sort_order
+ FROM customer JOIN (SELECT 1 AS step UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) steps ON (step <> 8 OR c_custkey % 2 = 1) AND (step <> 9 OR c_custkey % 2 = 0)
 """,
     "fx_content": """
 SELECT doc_id AS file_id, CASE doc_id % 4

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph.functions.texts import is_blank, trim_ws
+from leafgraph.operators.components import connected_components
 from leafgraph.operators.numbering import number_rows
 from leafgraph.operators.patches import fold_patches
+from leafgraph.operators.tours import intervals, positions
 from leafgraph.session import cut, release
 
-#: Steps up the tree after which a walk answers that there is no cycle; moves that one task decides.
+#: Steps up the tree after which a walk answers that there is no cycle; moves that are decided at a time.
 WALK, MOVES = 1_000, 100_000
 
 
@@ -28,57 +32,63 @@ def children_of(folders: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def folder_paths(folders: DataFrame) -> DataFrame:
-    """(id, name, parent_id, depth, breadcrumb, sort_key) of the folders that can be reached from the root.
+    """(id, name, parent_id, depth, breadcrumb) of the folders that can be reached from the root.
 
-    One join a level, until a level is empty; a folder under a missing parent or on a cycle is never reached.
+    Ways up double with each round, so there are about as many as the logarithm of the depth; a folder under a missing
+    parent or on a circle is never reached. A breadcrumb holds all names above a folder; where only places or depths are
+    wanted, tours.positions does without.
     """
-    key = lambda f: F.struct(F.lit(0).alias("is_file"), f["sort_order"].alias("sort_order"), f["name"].alias("name"), f["id"].alias("id"))
-    rows = folders.select("id", "name", "parent_id", "sort_order")
-    level = cut(rows.where("parent_id is null").select("id", "name", "parent_id", F.lit(0).alias("depth"), F.array("name").alias("breadcrumb"), F.array(key(rows)).alias("sort_key")))
-    found = level
-    while not level.isEmpty():
-        up = level.select(F.col("id").alias("__p"), "depth", "breadcrumb", "sort_key")
-        below = rows.join(up, F.col("parent_id") == F.col("__p"))
-        level = cut(below.select("id", "name", "parent_id", (F.col("depth") + 1).alias("depth"), F.concat("breadcrumb", F.array("name")).alias("breadcrumb"), F.concat("sort_key", F.array(key(rows))).alias("sort_key")))
-        found = found.unionByName(level)
-    return found
-
-
-def flatten_tree(folders: DataFrame, files: DataFrame, collapsed: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
+    rows = cut(folders.select("id", "name", "parent_id").where("id is not null"))
+    way = cut(rows.select("id", F.col("parent_id").alias("at"), F.array("name").alias("breadcrumb")))
+    rounds = way.count().bit_length() + 1
+    for _ in range(rounds):
+        if way.where("at is not null").isEmpty():
+            break
+        on = way.select(F.col("id").alias("at"), F.col("at").alias("__at"), F.col("breadcrumb").alias("__above"))
+        before, way = way, cut(way.where("at is not null").join(on, "at").select("id", F.col("__at").alias("at"), F.concat("__above", "breadcrumb").alias("breadcrumb")).unionByName(way.where("at is null")))
+        release(before)
+    found = way.where("at is null").select("id", "breadcrumb")
+    return rows.join(found, "id").select("id", "name", "parent_id", (F.size("breadcrumb") - 1).alias("depth"), "breadcrumb")
+
+
+def flatten_tree(folders: DataFrame, files: DataFrame, collapsed: DataFrame | None = None, keep_line: bool = False) -> DataFrame:
     """(is_file, id, name, depth) of the tree from top to bottom: in each folder its folders first, then its files.
 
     What is below a collapsed folder (id) is hidden. Files in no folder come after the top folders; files in a folder
-    that can't be reached are left out. With keep_key the rows have their sort_key and aren't sorted.
+    that can't be reached are left out. With keep_line the rows aren't sorted but have their line, from 1; lines of what is
+    hidden are left free. The lines come from an Euler tour, in as many rounds as the logarithm of its length at most.
     """
-    paths = folder_paths(folders)
-    key = F.struct(F.lit(1).alias("is_file"), "sort_order", F.col("title").alias("name"), "id")
-    rows = paths.select(F.lit(0).alias("is_file"), "id", "name", "depth", "sort_key")
-    inside = files.alias("f").join(paths.select(F.col("id").alias("__p"), "depth", F.col("sort_key").alias("up")), F.col("folder_id") == F.col("__p"))
-    rows = rows.unionByName(inside.select(F.lit(1).alias("is_file"), "id", F.col("title").alias("name"), (F.col("depth") + 1).alias("depth"), F.concat("up", F.array(key)).alias("sort_key")))
-    rows = rows.unionByName(files.where("folder_id is null").select(F.lit(1).alias("is_file"), "id", F.col("title").alias("name"), F.lit(0).alias("depth"), F.array(key).alias("sort_key")))
-    if collapsed is not None:
-        above = rows.select("is_file", "id", F.explode(F.transform(F.slice("sort_key", F.lit(1), F.size("sort_key") - 1), lambda x: x["id"])).alias("__up"))
-        hidden = above.join(collapsed.select(F.col("id").alias("__up")), "__up", "left_semi").select("is_file", "id").distinct()
-        rows = rows.join(hidden, ["is_file", "id"], "left_anti")
-    return rows if keep_key else rows.orderBy("sort_key").select("is_file", "id", "name", "depth")
+    own = files.where("id is not null").select("id", "title", "folder_id", "sort_order")
+    numbered = cut(number_rows(own, ["folder_id", "sort_order", "title", "id"], "n", 1))
+    counts = cut(numbered.groupBy("folder_id").agg(F.count("*").alias("lines"), F.min("n").alias("low")))
+    place = cut(positions(folders, counts.select(F.col("folder_id").alias("id"), "lines").where("id is not null"), collapsed))
+    shut = (collapsed.select("id") if collapsed is not None else folders.select("id").limit(0)).distinct().withColumn("shut", F.lit(1))
+    names = folders.select("id", "name").where("id is not null")
+    rows = place.where("above = 0").join(names, "id").select(F.lit(0).alias("is_file"), "id", "name", F.col("depth").cast("int").alias("depth"), F.col("first").alias("line"))
+    open_ones = place.where("above = 0").join(shut, "id", "left").where("shut is null").select(F.col("id").alias("folder_id"), "inner", "depth")
+    inside = numbered.join(counts.select("folder_id", "low"), "folder_id").join(open_ones, "folder_id")
+    rows = rows.unionByName(inside.select(F.lit(1).alias("is_file"), "id", F.col("title").alias("name"), (F.col("depth") + 1).cast("int").alias("depth"), (F.col("inner") + F.col("n") - F.col("low") + 1).alias("line")))
+    last = place.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]
+    rows = rows.unionByName(numbered.where("folder_id is null").select(F.lit(1).alias("is_file"), "id", F.col("title").alias("name"), F.lit(0).alias("depth"), (F.col("n") + last).alias("line")))
+    return rows if keep_line else rows.orderBy("line").drop("line")
 
 
 def creates_cycle(folders: DataFrame, moves: DataFrame) -> DataFrame:
-    """moves (id, new_parent, ...) with creates_cycle: the new parent is the folder itself or below it, as the tree is now.
+    """moves (id, new_parent, ...) with creates_cycle: the new parent is the folder itself or less than WALK steps below it, as the tree is now.
 
-    All walks go up together, a join a step, until none goes on or WALK steps are done.
+    A folder is above another if its lines in the tree's listing hold the other's, so each move takes two joins with the
+    folders' places, however deep the tree is. On a circle of folders the way up also goes around it.
     """
-    parent = folders.select(F.col("id").alias("__at"), F.col("parent_id").alias("__up"))
-    walk = cut(moves.select("id", "new_parent", F.col("new_parent").alias("__at")).where("new_parent is not null").distinct())
-    hits = walk.where("__at = id").select("id", "new_parent")
-    for _ in range(WALK):
-        walk = cut(walk.where("__at <> id").join(parent, "__at").where("__up is not null").select("id", "new_parent", F.col("__up").alias("__at")))
-        if walk.isEmpty():
-            break
-        hits = hits.unionByName(walk.where("__at = id").select("id", "new_parent"))
-        if _ % 20 == 19:
-            hits = cut(hits.distinct())
-    hits = hits.distinct().withColumn("__hit", F.lit(True))
+    place = cut(intervals(folders))
+    low = place.select(F.col("id").alias("new_parent"), F.col("circle").alias("__circle"), F.col("first").alias("__at"), F.col("depth").alias("__depth"), F.col("back_first").alias("__back"), F.col("back_depth").alias("__back_depth"))
+    high = place.select("id", F.col("circle").alias("__own"), F.col("first").alias("__first"), F.col("last").alias("__last"), F.col("depth").alias("__top"))
+    asked = moves.select("id", "new_parent").where("new_parent is not null and id is not null").distinct()
+    j = asked.join(low, "new_parent", "left").join(high, "id", "left")
+    holds = lambda c: (F.col("__first") <= F.col(c)) & (F.col(c) <= F.col("__last"))
+    direct = holds("__at") & (F.col("__depth") - F.col("__top") < WALK)
+    around = holds("__back") & (F.col("__depth") + 1 + F.col("__back_depth") - F.col("__top") < WALK)
+    hit = (F.col("id") == F.col("new_parent")) | F.coalesce(F.col("__circle").eqNullSafe(F.col("__own")) & (direct | F.coalesce(around, F.lit(False))), F.lit(False))
+    hits = j.where(hit).select("id", "new_parent", F.lit(True).alias("__hit"))
     return moves.join(hits, ["id", "new_parent"], "left").select(*[moves[c] for c in moves.columns], F.coalesce("__hit", F.lit(False)).alias("creates_cycle"))
 
 
@@ -87,9 +97,10 @@ def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFr
 
     A patch that would make a cycle in the tree as it then is, is rejected whole; one of an unknown folder does nothing. A
     null field means unchanged, names are trimmed, and a patch that names a parent and the root means the root. seq should
-    be unique: patches that share it are taken in order of id. Only moves depend on each other. They are taken MOVES at a
-    time: the tree is contracted to the folders that these move, by joins, and one task decides them in order; names and
-    sort orders are then folded as those of files are.
+    be unique: patches that share it are taken in order of id. Only moves depend on each other, and only those whose folders
+    meet on some way up. They are taken MOVES at a time: the tree is contracted to the folders that these move, by joins,
+    folders that may meet are one component, and each component's moves are decided in order, in some task; names and sort
+    orders are then folded as those of files are.
     """
     known = folders.select("id", "parent_id").where("id is not null")
     root = F.coalesce("move_to_root", F.lit(False))
@@ -132,27 +143,35 @@ def _decide(tree: DataFrame, moves: DataFrame) -> DataFrame:
     first = up.join(moved.select("id"), "id", "left_semi").select("id", F.col("parent_id").alias("from")).join(near, "from", "left")
     first = first.select(F.lit(-1).cast("long").alias("n"), F.lit(None).cast(moves.schema["seq"].dataType).alias("seq"), "id", F.lit(None).cast("long").alias("target"), "at", "steps")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        at = [None if pd.isna(x) else int(x) for x in pdf["at"]]
+    # Ways up meet only among folders that were or become linked: each component of these links is decided by itself.
+    rows = cut(asked.select(first.columns).unionByName(first))
+    links = rows.where("at is not null").select("id", "at").unionByName(moved.select("id", F.col("id").alias("at")))
+    component = cut(connected_components(links, "id", "at").select("id", "component"))
+    rows = rows.join(component, "id").select("component", "n", "id", "at", "steps").repartition("component").sortWithinPartitions("component", "n")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         parent: dict[int, tuple[int | None, int]] = {}  # the next moved folder above each, and how many steps up from its parent
-        out = []
-        for n, own, to, steps in zip(pdf["n"].tolist(), pdf["id"].tolist(), at, pdf["steps"].fillna(0).astype(int).tolist(), strict=True):
-            bad, walk, done = False, to, steps
-            while n >= 0 and walk is not None and done < WALK:
-                if walk == own:
-                    bad = True
-                    break
-                walk, more = parent.get(walk, (None, 0))
-                done += 1 + more
-            if not bad:
-                parent[own] = to, steps
-            out.append(bad)
-        pdf = pdf.assign(refused=out)
-        return pdf.loc[pdf["n"] >= 0, ["n", "refused"]]
-
-    verdicts = asked.select(first.columns).unionByName(first).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "n long, refused boolean")
-    return moves.join(verdicts, "n")
+        for batch in batches:
+            numbers, refused = [], []
+            for own_component, n, own, to, steps in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if own_component != now:
+                    now, parent = own_component, {}
+                walk, done, bad = to, steps or 0, False
+                while n >= 0 and walk is not None and done < WALK:
+                    if walk == own:
+                        bad = True
+                        break
+                    walk, more = parent.get(walk, (None, 0))
+                    done += 1 + more
+                if not bad:
+                    parent[own] = to, steps or 0
+                if n >= 0:
+                    numbers.append(n)
+                    refused.append(bad)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(refused, pa.bool_())], ["n", "refused"])
+
+    return moves.join(rows.mapInArrow(solve, "n long, refused boolean"), "n")
 
 
 def _patched(folders: DataFrame, patches: DataFrame) -> DataFrame:

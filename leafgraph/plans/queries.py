@@ -373,7 +373,7 @@ LEAF = "{'f': 1, 's': f.sort_order, 'n': f.title, 'i': f.id}"
 @register(f"SELECT row_number() OVER (ORDER BY k) AS line, is_file, id, name, depth FROM (SELECT 0 AS is_file, id, name, depth, k FROM nested UNION ALL SELECT 1, f.id, f.title, n.depth + 1, list_append(n.k, {LEAF}) FROM fx_files f JOIN nested n ON n.id = f.folder_id UNION ALL SELECT 1, f.id, f.title, 0, [{LEAF}] FROM fx_files f WHERE f.folder_id IS NULL)", nested=NESTED)
 def flatten_tree(spark, sf_dir):
     folders, files = fx(spark, sf_dir, "folders", "files")
-    return number_rows(hierarchy.flatten_tree(folders, files, keep_key=True), ["sort_key"], "line").drop("sort_key")
+    return hierarchy.flatten_tree(folders, files, keep_line=True)
 
 
 @register("SELECT coalesce(a.parent, b.parent) AS parent, folders, files FROM (SELECT coalesce(parent_id, 0) AS parent, string_agg(id || '', ' ' ORDER BY sort_order, name, id) AS folders FROM fx_folders GROUP BY 1) a FULL JOIN (SELECT coalesce(folder_id, 0) AS parent, string_agg(id || '', ' ' ORDER BY sort_order, title, id) AS files FROM fx_files GROUP BY 1) b ON a.parent = b.parent")
@@ -382,7 +382,7 @@ def children_of(spark, sf_dir):
     return found.select("parent", F.array_join("folders", " ").alias("folders"), F.array_join("files", " ").alias("files"))
 
 
-UPWARD = "SELECT id, new_parent, new_parent AS at, 0 AS steps FROM fx_moves UNION SELECT u.id, u.new_parent, f.parent_id, u.steps + 1 FROM upward u JOIN fx_folders f ON f.id = u.at WHERE f.parent_id IS NOT NULL AND u.at <> u.id AND u.steps < 1000"
+UPWARD = "SELECT id, new_parent, new_parent AS at, 0 AS steps FROM fx_moves UNION SELECT u.id, u.new_parent, f.parent_id, u.steps + 1 FROM upward u JOIN fx_folders f ON f.id = u.at WHERE f.parent_id IS NOT NULL AND u.at <> u.id AND u.steps < 999"
 
 
 @register("SELECT m.id, m.new_parent, EXISTS (SELECT 1 FROM upward u WHERE u.id = m.id AND u.new_parent = m.new_parent AND u.at = m.id) AS creates_cycle FROM fx_moves m", upward=UPWARD)
@@ -390,6 +390,20 @@ def creates_cycle(spark, sf_dir):
     return hierarchy.creates_cycle(*fx(spark, sf_dir, "folders", "moves"))
 
 
+@register("SELECT 0 AS is_file, id, name, CAST(id AS INTEGER) AS depth, id + 1 AS line FROM fx_deep_folders UNION ALL SELECT 1, item, 't' || item % 5, CAST(k + 1 AS INTEGER), (SELECT count(*) FROM fx_deep_folders) + row_number() OVER (ORDER BY k DESC, item % 3, 't' || item % 5, item) FROM fx_items")
+def flatten_deep_tree(spark, sf_dir):
+    """A chain of folders as long as there are orders, with the line items as files in it."""
+    folders, items = fx(spark, sf_dir, "deep_folders", "items")
+    files = items.select(F.col("item").alias("id"), F.concat(F.lit("t"), (F.col("item") % 5).cast("string")).alias("title"), F.col("k").alias("folder_id"), (F.col("item") % 3).alias("sort_order"))
+    return hierarchy.flatten_tree(folders, files, keep_line=True)
+
+
+@register("SELECT id, new_parent, new_parent >= id AND new_parent - id < 1000 AND (new_parent = id OR new_parent < (SELECT count(*) FROM orders)) AS creates_cycle FROM fx_deep_moves")
+def creates_cycle_deep(spark, sf_dir):
+    """Moves within that chain: a walk up ends after a thousand steps."""
+    return hierarchy.creates_cycle(*fx(spark, sf_dir, "deep_folders", "deep_moves"))
+
+
 NEAREST = "SELECT id, parent_id AS target FROM fx_folders WHERE id % 5 = 2 UNION SELECT n.id, f.parent_id FROM nearest n JOIN fx_folders f ON f.id = n.target WHERE n.target % 5 = 2"
 LIFT = "SELECT id, target FROM nearest WHERE target IS NULL OR target % 5 <> 2 OR target NOT IN (SELECT id FROM fx_folders)"
 
@@ -732,6 +746,17 @@ def apply_folder_patches(spark, sf_dir):
     return hierarchy.apply_folder_patches(folders, asked.unionByName(again))[0]
 
 
+@register("SELECT CAST(2 * c_custkey AS BIGINT) AS id, 'a' || c_custkey AS name, CAST(CASE WHEN c_custkey % 2 = 1 THEN 2 * c_custkey - 2 WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN 10000001 + c_custkey ELSE 99999999 END AS BIGINT) AS parent_id, 1 AS sort_order FROM customer UNION ALL SELECT 2 * c_custkey + 1, 'b' || c_custkey, 2 * c_custkey, 1 FROM customer UNION ALL SELECT 10000000 + c_custkey, 'z', 2 * c_custkey + 1, 3 FROM customer")
+def folder_moves(spark, sf_dir):
+    """Three folders of each customer, moved under one another by interleaved requests, some of which would close a circle, also through the next customer's folders."""
+    return hierarchy.apply_folder_patches(*fx(spark, sf_dir, "triples", "triple_moves"))[0]
+
+
+@register("SELECT CAST(2000000 + c_custkey AS BIGINT) AS seq FROM customer UNION ALL SELECT 5000000 + c_custkey FROM customer UNION ALL SELECT 9000000 + c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < (SELECT max(c_custkey) FROM customer)")
+def folder_moves_refused(spark, sf_dir):
+    return hierarchy.apply_folder_patches(*fx(spark, sf_dir, "triples", "triple_moves"))[1].select("seq")
+
+
 @register(SQL["last_touch"])
 def stream_last_touch(spark, sf_dir):
     """last_touch as a stream over the events, run to the end of the table."""
