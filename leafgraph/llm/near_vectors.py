@@ -100,7 +100,7 @@ def first_lists(classes: DataFrame, tables: range, similarity: float) -> DataFra
 
     kind = classes.schema["vector"].dataType.simpleString()
     rows = classes.select("node", "vector").mapInArrow(keyed, f"table int, size int, key binary, node long, vector {kind}")
-    order = ["table", "size", "key", "node"]
+    order = ["table", "size", "key", F.xxhash64("table", "node"), "node"]  # equal keys in another order in each
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compared, PAIR)
 
 
@@ -119,7 +119,7 @@ def refined(lists: DataFrame, classes: DataFrame, similarity: float) -> DataFram
     back = back.withColumn("r", F.row_number().over(some)).where(F.col("r") <= 2 * NEIGHBOURS).drop("r")
     around = lists.select("node", "near", "fresh").unionByName(back).groupBy("node", "near").agg(F.max("fresh").alias("fresh"))
     n, worst = F.count("*"), F.min("score")
-    bounds = lists.groupBy("node").agg(F.when(n < NEIGHBOURS, -2.0).when((worst >= similarity) & (n < WIDE), similarity).otherwise(worst).alias("bound"))
+    bounds = lists.groupBy("node").agg(F.when(n < NEIGHBOURS, -2.0).when(worst < similarity, worst).when(n < WIDE, similarity).otherwise(2.0).alias("bound"))  # a full list of links takes nothing more
     vectors = classes.select(F.col("node").alias("near"), "vector").join(bounds.withColumnRenamed("node", "near"), "near", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
     rows = around.join(vectors, "near").select("node", "near", "fresh", "bound", "vector").repartition("node").sortWithinPartitions("node")
 
