@@ -23,7 +23,7 @@ ROUNDS, STILL, GIVEN = 4, 0.02, 4
 #: Vectors whose links are counted exactly to audit, the share that must have been found, how often orders are added to get there.
 AUDITED, RECALL, AGAIN = 1_024, 0.99, 3
 #: Rows of a block when vectors with very many links are compared.
-DENSE = 1_024
+DENSE = 256
 
 
 def units(flat: np.ndarray, rows: int) -> np.ndarray:
