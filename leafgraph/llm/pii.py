@@ -1,12 +1,12 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Found: e-mail addresses, phone numbers, IPv4 addresses, payment cards (with a right check digit), IBANs (likewise),
-US social security numbers, long hexadecimal tokens, and people's names behind a title, behind words that announce a
-name (CUES), or of a known given name and one more. Each value gets a surrogate of its own kind, made from a keyed hash of
-the value: the same length, separators and country code, right check digits, the same script and case, names of the same
-gender. One value has one surrogate in the whole table, however it is written, and two values never share one. No
-surrogate is a value of its kind that occurs in the table, but for known given names: each becomes another known one of
-its gender and script, which may occur too. Where a form has too few values for all that occur, surrogates get longer.
+Found: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards (with a right check digit), IBANs (likewise),
+US social security numbers, hexadecimal tokens of any length from 32 on, and people's names behind a title, behind words
+that announce a name (CUES), or of a known given name and one more. Where a name was found, its words are replaced wherever
+else they stand in the same text, alone or in capitals. Each value gets a surrogate of its own kind, made from a keyed hash
+of the value: the same length, separators and country code, right check digits, the same script and case, names of the
+same gender. One value has one surrogate in the whole table, however it is written, and two values never share one. No
+surrogate is a value of its kind that occurs in the table. Where a form has too few values for all that occur, surrogates get longer.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from leafgraph.session import cut, small_side
 # Titles and given names that are known, by gender: a small lexicon, a parameter of what is found.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "г-жа"], "x": ["Dr", "Prof"]}
 GIVEN = {
-    ("f", "latin"): ["Alice", "Barbara", "Charlotte", "Elisabeth", "Françoise", "Gabriela", "Isabel", "Julia", "Katharina", "Margaret", "Nathalie", "Sophie"],
-    ("m", "latin"): ["Alexander", "Bernard", "Christopher", "Eduardo", "François", "Heinrich", "Jonathan", "Ludwig", "Michael", "Nicholas", "Roberto", "Thomas"],
-    ("f", "cyrillic"): ["Анна", "Екатерина", "Мария", "Наталья", "Ольга", "Татьяна"],
-    ("m", "cyrillic"): ["Александр", "Владимир", "Дмитрий", "Михаил", "Николай", "Сергей"],
+    ("f", "latin"): "Alice Ana Anna Barbara Camille Carmen Charlotte Claire Elena Elisabeth Elizabeth Emily Emma Françoise Gabriela Irina Isabel Jane Julia Katharina Laura Linda Lucía Margaret Maria María Marie Mary Monika Nathalie Olga Petra Sabine Sarah Sophie Susan Ursula".split(),
+    ("m", "latin"): "Alexander Bernard Boris Carlos Christopher Daniel David Eduardo François George Hans Heinrich Henry Ivan Jacques James Jean John Jonathan José Juan Jürgen Klaus Ludwig Martin Michael Miguel Nicholas Paul Peter Pierre Robert Roberto Thomas William".split(),
+    ("f", "cyrillic"): "Анна Екатерина Мария Наталья Ольга Татьяна".split(),
+    ("m", "cyrillic"): "Александр Владимир Дмитрий Михаил Николай Сергей".split(),
 }
 #: Words right before a name, which stay as they are.
 CUES = ["My name is", "my name is", "Name:", "name:", "Mein Name ist", "mein Name ist", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo", "Mi nombre es", "mi nombre es", "Меня зовут", "меня зовут"]
@@ -33,7 +33,9 @@ SYLLABLES = {"latin": "ba ce di fo gu ha ki lo mar nel por quin ras sol tam ver
 ENDINGS = {"latin": {"F": "a", "M": "o", "X": "e"}, "cyrillic": {"F": "а", "M": "ов", "X": "е"}}
 
 _WORD = r"\p{L}\p{N}"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = r"\p{Lu}(?:\p{L}|['’](?!s(?!\p{L}))(?=\p{L})|-(?=\p{L}))+"
+#: Words that may stand where a name does without being part of one; they aren't looked for in the rest of a text.
+COMMON = "a an and but das de der die ein eine el en er es he i ich il in it je la las le les los mit my no on she sie that the this und we wir y yo you".split()
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _KNOWN = "|".join(n for group in GIVEN.values() for n in group)
@@ -43,20 +45,23 @@ _LAND = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 # Forms that begin where no letter or digit stands before them, and forms that begin with a digit, a plus or a bracket.
 AT_WORDS = [
     rf"(?<![._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)+",  # e-mail
-    rf"[0-9a-fA-F]{{32,128}}(?![{_WORD}])",  # token
+    rf"[0-9a-fA-F]{{32,}}+(?![{_WORD}])",  # token
+    rf"(?:(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}|(?:[0-9a-fA-F]{{1,4}}:){{1,6}}(?::[0-9a-fA-F]{{1,4}}){{1,6}})(?![{_WORD}:])",  # address
     rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",  # IBAN
     rf"(?=[\p{{Lu}}г])(?:(?:{_TITLE})\.?\s{_NAME}(?:\s{_NAME})?|(?:{_KNOWN})\s{_NAME}|(?<=(?<![{_WORD}])(?:{_CUE})\s){_NAME}(?:\s{_NAME})?)",  # name; some titles begin with г
 ]
 AT_NUMBERS = [
     rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",  # address
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",  # social security number
-    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,8}){1,4}(?!\d)|\+\d{7,15}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",  # phone
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,8}){1,4}(?!\d)|\+\d{7,15}(?!\d)|(?<![\d.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\(0\d{2,4}\) ?\d{5,8}(?!\d)|(?<![\d.-])0\d{2,4}[ /-](?:\d{5,8}|\d{3,4}[ -]\d{3,5})(?![\d-])|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",  # phone
     r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|3\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",  # card
 ]
 #: All forms. Grouped by how they begin, since most places of a text begin none: two looks at a place then suffice.
 ANY = rf"(?<![{_WORD}])(?:{'|'.join(AT_WORDS)})|(?=[\d+(])(?:{'|'.join(AT_NUMBERS)})"
+#: A word that may be a name's other mention.
+MENTION = rf"(?<![{_WORD}]){_NAME}"
 #: A text without any of these has nothing to be found.
-HINT = rf"[@0-9]|(?<![{_WORD}])(?=[\p{{Lu}}гjmnм])(?:(?:{_TITLE})\.?|{_KNOWN}|{_CUE})\s"
+HINT = rf"[@0-9]|[0-9a-fA-F]{{32}}|[a-fA-F]::?[a-fA-F]|(?<![{_WORD}])(?=[\p{{Lu}}гjmnм])(?:(?:{_TITLE})\.?|{_KNOWN}|{_CUE})\s"
 
 
 def _at(text: Column, i: Column) -> Column:
@@ -103,12 +108,13 @@ def kind_of(match: Column) -> Column:
     digits = F.regexp_replace(match, r"\D", "")
     return (
         F.when(match.contains("@"), "EMAIL")
-        .when(match.rlike("^[0-9a-fA-F]{32,128}$"), "TOKEN")
+        .when(match.rlike("^[0-9a-fA-F]{32,}$"), "TOKEN")
+        .when(match.rlike("^[0-9a-fA-F]{1,4}:[0-9a-fA-F:]+$"), "IP6")
         .when(match.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), F.when(_mod97(_turned(F.replace(match, F.lit(" "), F.lit("")))) == 1, "IBAN"))
         .when(match.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "IP")
         .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "SSN")
         .when(match.rlike(r"^\p{L}"), "NAME")
-        .when(match.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "PHONE")
+        .when(match.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$|^0\d{2,4}[ /-]\d"), "PHONE")
         .when(_luhn(digits) % 10 == 0, "CARD")
     )
 
@@ -125,7 +131,7 @@ def atoms_of(match: Column, kind: Column) -> Column:
     gender = reduce(lambda c, g: c.when(title.isin(TITLES[g]), g.upper()), TITLES, F.when(F.lit(False), ""))
 
     def word(w: Column, i: Column) -> Column:
-        known = F.coalesce(*[F.when(w.isin(names), f"KNOWN_{g}_{script}") for (g, script), names in GIVEN.items()])
+        known = F.coalesce(*[F.when(w.isin(names), f"GIVEN_{g.upper()}") for (g, _), names in GIVEN.items()])
         given = gender.isNotNull() & (i == 1) & (F.size(words) == 3)
         what = F.when((i == 0) & gender.isNotNull(), "TITLE").otherwise(F.coalesce(known, F.when(given, F.concat(F.lit("GIVEN_"), gender)).otherwise("SURNAME")))
         return F.struct(what.alias("kind"), F.lower(w).alias("value"), w.alias("shown"))
@@ -162,22 +168,19 @@ def core(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     first = F.when(attempt >= 3, 1 + _byte(seed, F.lit(0)) % 254).otherwise(240 + _byte(seed, F.lit(0)) % 15)  # reserved addresses, while they last
     ip = F.concat_ws(".", first.cast("string"), *[_byte(seed, F.lit(i)).cast("string") for i in (1, 2, 3)])
 
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 128).cast("int")), lambda i: F.when(i == 0, seed).otherwise(F.sha2(F.concat_ws("|", seed, i.cast("string")), 512)))
+    token = F.substr(_join(blocks), F.lit(1), size)
+    six = _join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), (_byte(seed, i) % 10).cast("string")).when(c.rlike("^[a-f]$"), _at(F.lit("abcdef"), _byte(seed, i) % 6 + 1)).otherwise(c)))
+
     def name(script: str) -> Column:
         own = SYLLABLES[script]
         stem = F.initcap(F.concat(*[_pick(own, _byte(seed, F.lit(i))) for i in range(4)], F.when(attempt >= 3, F.concat(*[_pick(own, _byte(seed, F.lit(i))) for i in range(4, 8)])).otherwise("")))
         return F.concat(stem, F.coalesce(*[F.when(kind == f"GIVEN_{g}", end) for g, end in ENDINGS[script].items()], F.lit("")))
 
-    def rotated(names: list[str]) -> Column:
-        """A known name's surrogate is another known one, a keyed number of places on: no two names share it."""
-        shift = _byte(F.sha2(F.lit(f"{key}|names"), 512), F.lit(0)) % (len(names) - 1) + 1
-        return _pick(names, F.array_position(F.array(*[F.lit(n.lower()) for n in names]), value) - 1 + shift)
-
-    out = F.when(kind == "EMAIL", email).when(kind == "TOKEN", F.substr(seed, F.lit(1), size)).when(kind == "CARD", card).when(kind == "IBAN", iban).when(kind == "IP", ip)
+    out = F.when(kind == "EMAIL", email).when(kind == "TOKEN", token).when(kind == "CARD", card).when(kind == "IBAN", iban).when(kind == "IP", ip).when(kind == "IP6", six)
     kept = F.when(value.startswith("+"), F.regexp_extract(value, rf"^\+(?:{_LAND})", 0)).otherwise(F.substring(value, 1, 1))
     more = F.when(attempt >= 8, F.substr(digits, F.lit(100), F.lit(4))).otherwise("")  # where all numbers of this length are taken
     out = out.when(kind == "PHONE", F.concat(kept, F.substr(digits, F.lit(1), size - F.length(kept)), more)).when(kind == "SSN", F.concat(F.lit("9"), F.substr(digits, F.lit(1), size - 1), more))
-    for (g, script), names in GIVEN.items():
-        out = out.when(kind == f"KNOWN_{g}_{script}", rotated(names))
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     return out.when(kind.isin("SURNAME", "GIVEN_F", "GIVEN_M", "GIVEN_X"), F.when(cyrillic, name("cyrillic")).otherwise(name("latin")))
 
@@ -206,7 +209,7 @@ def later_attempts(docs: DataFrame, key: str, max_rounds: int = 20, text_col: st
     """
     found = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(HINT)).select(F.explode(_matches(F.col("text"))).alias("m"))
     atoms = found.select(F.explode(atoms_of(F.col("m"), kind_of(F.col("m")))).alias("a")).select("a.kind", "a.value")
-    values = atoms.where("kind is not null and kind <> 'TITLE' and kind not like 'KNOWN%'").distinct().withColumn("attempt", F.lit(0))
+    values = atoms.where("kind is not null and kind <> 'TITLE'").distinct().withColumn("attempt", F.lit(0))
     values = cut(values.withColumn("core", core(F.col("kind"), F.col("value"), F.col("attempt"), key)))
     real = values.select("kind", F.lower("value").alias("taken")).distinct()
     for _ in range(max_rounds):
@@ -225,6 +228,8 @@ def later_attempts(docs: DataFrame, key: str, max_rounds: int = 20, text_col: st
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with surrogates in its text, and columns pii_count int and pii_kinds (sorted kinds, comma-separated; names: NAME).
 
+    pii_count counts what was found by its form; further mentions of a name that was found are replaced, not counted.
+
     Columns of docs named like the two new ones or beginning with __pii are left out; all others stay as they are. A null
     or empty text stays, with 0 and ''. Repeated rows get the same surrogates. `key` must be kept secret: whoever has it
     can test guesses. Texts are not shuffled, unless surrogates had to be tried again for too many values to broadcast.
@@ -250,7 +255,21 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     spaces = lambda m: F.regexp_extract_all(m, F.lit(r"\s"), F.lit(0))
     join_words = lambda m, parts: F.when(F.size(parts) == 1, F.element_at(parts, 1)).otherwise(_join(F.zip_with(parts, spaces(m), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))))
     new = F.zip_with("__pii_m", "__pii_a", lambda m, atoms: join_words(m, F.transform(atoms, replaced)))
-    whole = _join(F.zip_with(F.split(text, ANY, -1), new, lambda between, s: F.concat(between, F.coalesce(s, F.lit("")))))
+    # The words of names that were found, wherever else they stand in the text.
+    named = lambda a: (a["kind"].startswith("GIVEN") | (a["kind"] == "SURNAME")) & ~a["value"].isin(COMMON)
+    with_atoms = with_atoms.withColumn("__pii_names", F.array_distinct(F.transform(F.filter(F.flatten("__pii_a"), named), lambda a: F.struct(a["kind"].alias("kind"), a["value"].alias("value")))))
+
+    def mention(w: Column) -> Column:
+        who = F.try_element_at(F.filter("__pii_names", lambda a: a["value"] == F.lower(w)), F.lit(1))
+        return F.when(who.isNull(), w).otherwise(replaced({"kind": who["kind"], "value": who["value"], "shown": w}))
+
+    def mentions(part: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(part, F.lit(MENTION), F.lit(0)), mention)
+        return _join(F.zip_with(F.split(part, MENTION, -1), words, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))))
+
+    parts = F.split(text, ANY, -1)
+    parts = F.when(F.size("__pii_names") > 0, F.transform(parts, mentions)).otherwise(parts)
+    whole = _join(F.zip_with(parts, new, lambda between, s: F.concat(between, F.coalesce(s, F.lit("")))))
     kinds = F.filter(F.transform("__pii_m", kind_of), lambda k: k.isNotNull())
     found = F.coalesce(F.size("__pii_m"), F.lit(0)) > 0
     columns = [F.when(found, whole).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
