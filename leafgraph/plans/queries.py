@@ -806,20 +806,20 @@ def written_documents(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]
     return folder, rows.select(F.col("doc_id").alias("id"), F.concat(place, F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("full_path"))
 
 
-@register("SELECT 'd' || doc_id || '.md' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents WHERE text <> ''")
+@register("SELECT 'd' || doc_id || '.md' AS name, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS length FROM documents")
 def scan_inventory(spark, sf_dir):
-    """All documents as files, found again; an empty file isn't."""
+    """All documents as files, found again, empty ones too."""
     folder, _ = written_documents(spark, sf_dir)
     return inventory.scan_inventory(spark, folder).select(paths.file_name(F.col("path")).alias("name"), "length")
 
 
-@register("SELECT doc_id AS file_id, md5(text) AS digest, length(text) AS chars, false AS missing FROM documents WHERE text <> '' UNION ALL SELECT doc_id, NULL, NULL, true FROM documents WHERE coalesce(text, '') = ''")
+@register("SELECT doc_id AS file_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS chars, false AS missing FROM documents")
 def read_content(spark, sf_dir):
     folder, files = written_documents(spark, sf_dir)
     return inventory.read_content(spark, files, folder).select("file_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("chars"), "missing")
 
 
-@register("SELECT row_number() OVER (ORDER BY upper('d' || doc_id || '.md')) AS id, 'd' || doc_id || '.md' AS name, 'd' || doc_id AS title, CAST(row_number() OVER (ORDER BY upper('d' || doc_id || '.md')) AS INTEGER) AS sort_order FROM documents WHERE text <> ''")
+@register("SELECT row_number() OVER (ORDER BY upper('d' || doc_id || '.md')) AS id, 'd' || doc_id || '.md' AS name, 'd' || doc_id AS title, CAST(row_number() OVER (ORDER BY upper('d' || doc_id || '.md')) AS INTEGER) AS sort_order FROM documents")
 def stream_ingest(spark, sf_dir):
     """The folder of all documents as a stream into an empty catalog."""
     folder, _ = written_documents(spark, sf_dir)

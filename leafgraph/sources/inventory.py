@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GLOBS = {"md": "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}", "json": "*.[jJ][sS][oO][nN]", "any": "*"}
+from leafgraph.sources.listing import scan
 
+MARKDOWN = "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}"
 
-def scan_inventory(spark: SparkSession, root: str, kind: str = "md", recursive: bool = False) -> DataFrame:
-    """(path, length, modification_time) of the files of a kind in a directory; contents are not read.
 
-    Spark's file sources leave out files of no bytes, so an empty document is found only once something is in it.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS[kind]).option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modification_time"))
+def scan_inventory(spark: SparkSession, root: str, kind: str = "md", recursive: bool = False) -> DataFrame:
+    """(path, length, modification_time) of the files of a kind in a directory, files of no bytes too; contents are not read."""
+    return scan(spark, root, kind, recursive)
 
 
 def read_content(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
@@ -22,7 +20,9 @@ def read_content(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
 
     Whole texts, without a byte order mark; a document that isn't there has a null text and missing true.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS["md"]).option("recursiveFileLookup", "true").load(root)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", MARKDOWN).option("recursiveFileLookup", "true").load(root)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     there = found.select(F.regexp_replace("path", "^file:/+", "/").alias("full_path"), text.alias("text"))
+    empty = scan(spark, root, "md", True).where("length = 0")  # which Spark's file sources leave out
+    there = there.unionByName(empty.select(F.col("path").alias("full_path"), F.lit("").alias("text")))
     return files.join(there, "full_path", "left").select(F.col("id").alias("file_id"), "text", F.col("text").isNull().alias("missing"))

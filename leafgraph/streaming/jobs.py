@@ -13,25 +13,22 @@ from leafgraph.operators.ingest import ingest
 from leafgraph.operators.patches import last_touch
 from leafgraph.operators.relations import normalize_relations
 from leafgraph.session import cut
-from leafgraph.sources.inventory import GLOBS
+from leafgraph.sources import listing
 
-BINARY = "path string, modificationTime timestamp, length long, content binary"
 
+def stream_ingest(spark: SparkSession, root: str, checkpoint: str, load: Callable[[], DataFrame], add: Callable[[DataFrame], None], recursive: bool = False) -> StreamingQuery:
+    """Watches a directory and adds Markdown files that aren't managed, empty ones too.
 
-def stream_ingest(spark: SparkSession, root: str, checkpoint: str, load: Callable[[], DataFrame], add: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Watches a directory and adds Markdown files that aren't managed.
-
-    load gives the catalog's files as they are, add appends new rows. A batch that is run again finds its rows managed
-    and adds nothing.
+    load gives the catalog's files as they are, add appends new rows. Each batch is the directory as it then is, so a
+    file counts whenever it came and whatever its time is, and a batch that is run again, after a loss, finds its rows
+    managed and adds nothing.
     """
-    listing = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", GLOBS["md"]).load(root)
-
     def batch(df: DataFrame, _: int) -> None:
-        new = cut(ingest(df.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length"), load()))
+        new = cut(ingest(df.select("path", "length"), load()))
         if not new.isEmpty():
             add(new)
 
-    return listing.select("path", "length").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return listing.stream(spark, root, "md", recursive).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_last_touch(touches: DataFrame) -> DataFrame:

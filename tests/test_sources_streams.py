@@ -1,24 +1,58 @@
 """Sources, sinks and streams against their batch twins."""
 
+import os
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafgraph.operators import export, graphs, patches, relations
-from leafgraph.sources import bundles, catalog, inventory
+from leafgraph.sources import bundles, catalog, inventory, listing
 from leafgraph.streaming import jobs
 
 
 def test_scan_and_content(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    for name, data in {"a.md": b"\xef\xbb\xbf# A", "B.MD": b"b", "c.markdown": b"c", "d.txt": b"d", "e.json": b"{}", "sub/f.md": b"f"}.items():
+    (tmp_path / "sub" / ".x").mkdir(parents=True)
+    for name, data in {"a.md": b"\xef\xbb\xbf# A", "B.MD": b"b", "c.markdown": b"c", "d.txt": b"d", "e.json": b"{}", "sub/f.md": b"f", "sub/g.md": b"", "sub/.x/h.md": b"h"}.items():
         (tmp_path / name).write_bytes(data)
     assert sorted(Path(r["path"]).name for r in inventory.scan_inventory(spark, str(tmp_path)).collect()) == ["B.MD", "a.md", "c.markdown"]
-    assert inventory.scan_inventory(spark, str(tmp_path), "any", True).count() == 6
-    files = spark.createDataFrame([(1, f"{tmp_path}/a.md"), (2, f"{tmp_path}/no.md"), (3, f"{tmp_path}/c.markdown")], "id long, full_path string")
+    assert inventory.scan_inventory(spark, str(tmp_path), "any", True).count() == 7
+    files = spark.createDataFrame([(1, f"{tmp_path}/a.md"), (2, f"{tmp_path}/no.md"), (3, f"{tmp_path}/c.markdown"), (4, f"{tmp_path}/sub/g.md")], "id long, full_path string")
     got = {r["file_id"]: (r["text"], r["missing"]) for r in inventory.read_content(spark, files, str(tmp_path)).collect()}
-    assert got == {1: ("# A", False), 2: (None, True), 3: ("c", False)}
+    assert got == {1: ("# A", False), 2: (None, True), 3: ("c", False), 4: ("", False)}
+
+
+def test_listings_of_wide_and_deep_trees(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "BUDGET", 5)
+    wanted = set()
+    for i in range(12):
+        folder = tmp_path / "/".join(f"d{k}" for k in range(i % 5)) / f"w{i}"
+        folder.mkdir(parents=True)
+        for name in ("a.md", "b.MARKDOWN", "c.txt"):
+            (folder / name).write_text("x" * i)
+            wanted |= {(str(folder / name), i)} if name != "c.txt" else set()
+    found = inventory.scan_inventory(spark, str(tmp_path), recursive=True)
+    assert {(r["path"], r["length"]) for r in found.collect()} == wanted and found.count() == len(wanted) and found.where("modification_time is null").isEmpty()
+    read = listing.registered(spark).read.format("listing").option("recursive", "true").load(f"file://{tmp_path}")
+    assert {(r["path"], r["length"]) for r in read.collect()} == wanted
+    assert inventory.scan_inventory(spark, str(tmp_path / "none"), recursive=True).isEmpty()
+
+
+def test_racing_writers_lose_nothing(spark, tmp_path):
+    root = str(tmp_path / "cat")
+    catalog.save_catalog(spark, {"files": spark.range(1), "folders": spark.range(5)}, root)
+
+    def add(n):
+        catalog.update_catalog(spark, root, lambda tables: tables | {"files": tables["files"].union(spark.range(n, n + 1))})
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(1, 9)))
+    tables = catalog.load_catalog(spark, root)
+    assert sorted(r[0] for r in tables["files"].collect()) == list(range(9)) and tables["folders"].count() == 5
+    assert len(list((tmp_path / "cat" / "versions").glob("*/folders"))) == 1 and len(list((tmp_path / "cat" / "published").iterdir())) == 9
+    (tmp_path / "cat" / "published" / "000000000010.json").touch()  # of a writer that died
+    assert catalog.load_catalog(spark, root)["files"].count() == 9
 
 
 def test_catalog_versions(spark, tmp_path):
@@ -49,7 +83,8 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     load = lambda: spark.createDataFrame(rows, "id long, full_path string, title string, folder_id long, sort_order int")
     add = lambda df: rows.extend(tuple(r) for r in df.collect())
     for step, name in enumerate(["b.md", "a.MD"]):
-        (root / name).write_text("x")
+        (root / name).write_text("x" * step)
+        os.utime(root / name, (1, 1 - step))  # older than what came before
         jobs.stream_ingest(spark, str(root), str(tmp_path / "ck"), load, add).awaitTermination()
         assert len(rows) == step + 1
     jobs.stream_ingest(spark, str(root), str(tmp_path / "again"), load, add).awaitTermination()
