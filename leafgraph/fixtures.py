@@ -78,6 +78,15 @@ SELECT event_id AS seq, user_id AS id, CASE WHEN event_type='click' THEN concat(
 """,
     "fx_moves": """
 SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN c_custkey * 8 + 3 WHEN 1 THEN (c_custkey*5 + 3) % (SELECT count(*) FROM customer) ELSE c_custkey END AS new_parent FROM customer
+""",
+    "fx_drawn_nodes": """
+SELECT CAST(c_custkey AS BIGINT) AS graph_id, CAST(c_custkey * 10 + node AS BIGINT) AS file_id FROM customer
+ JOIN (VALUES (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2), (3, 3), (3, 4), (4, 1), (4, 2), (5, 1), (5, 2), (6, 1), (7, 1), (7, 2), (8, 1)) AS s(shape, node) ON c_custkey % 9 = shape
+""",
+    "fx_drawn_edges": """
+SELECT CAST(c_custkey AS BIGINT) AS graph_id, CAST(c_custkey * 10 + a AS BIGINT) AS from_id, CAST(c_custkey * 10 + b AS BIGINT) AS to_id, kind, CAST(seq AS BIGINT) AS seq FROM customer
+ JOIN (VALUES (0, 1, 2, 'reference', 0), (0, 2, 3, 'reference', 1), (1, 1, 2, 'reference', 0), (1, 1, 3, 'reference', 1), (1, 2, 4, 'reference', 2), (1, 1, 4, 'reference', 3), (2, 1, 2, 'reference', 0), (2, 2, 3, 'sibling', 1), (2, 3, 4, 'reference', 2),
+  (3, 1, 4, 'reference', 0), (3, 2, 3, 'reference', 1), (4, 1, 2, 'reference', 0), (4, 2, 1, 'reference', 1), (5, 2, 1, 'reference', 0), (5, 1, 2, 'reference', 1), (6, 1, 1, 'reference', 0), (7, 1, 2, 'reference', 0), (7, 1, 2, 'sibling', 1), (8, 1, 9, 'reference', 0)) AS s(shape, a, b, kind, seq) ON c_custkey % 9 = shape
 """,
     "fx_deep_folders": """
 SELECT CAST(o_orderkey AS BIGINT) AS id, concat('f', CAST(o_orderkey AS STRING)) AS name, CASE WHEN o_orderkey > 0 THEN CAST(o_orderkey - 1 AS BIGINT) END AS parent_id, CAST(o_orderkey % 7 AS INT) AS sort_order FROM orders

@@ -594,6 +594,15 @@ def graph_layout(spark, sf_dir):
     return layout.graph_layout(state.members, state.edges)
 
 
+DRAWN = "(VALUES (0, 1, 0, 0, 1), (0, 2, 1, 0, 1), (0, 3, 2, 0, 1), (1, 1, 0, 0, 1), (1, 2, 1, 0, 2), (1, 3, 1, 1, 2), (1, 4, 2, 0, 1), (2, 1, 0, 0, 1), (2, 2, 1, 0, 2), (2, 3, 1, 1, 2), (2, 4, 2, 0, 1), (3, 1, 0, 1, 2), (3, 2, 0, 0, 2), (3, 3, 1, 0, 2), (3, 4, 1, 1, 2), (4, 1, 16, 0, 1), (4, 2, 15, 0, 1), (5, 1, 15, 0, 1), (5, 2, 16, 0, 1), (6, 1, 6, 0, 1), (7, 1, 4, 0, 1), (7, 2, 5, 0, 1), (8, 1, 0, 0, 1)) AS s(shape, node, level, i, n)"
+
+
+@register(f"SELECT CAST(c_custkey AS BIGINT) AS graph_id, CAST(c_custkey * 10 + node AS BIGINT) AS file_id, CAST(level AS BIGINT) AS level, CAST(i AS BIGINT) AS row_index, CAST(i * 170 - (n - 1) * 85.0 AS DOUBLE) AS x, CAST(level * 110 AS DOUBLE) AS y FROM customer JOIN {DRAWN} ON c_custkey % 9 = shape")
+def graph_layout_drawn(spark, sf_dir):
+    """A graph for each customer: a chain, a shortcut, siblings, crossing references, cycles stored both ways, a loop, siblings at odds, a lone node; the SQL lists where each node comes to lie."""
+    return layout.graph_layout(*fx(spark, sf_dir, "drawn_nodes", "drawn_edges"))
+
+
 @register("SELECT file_id, level, CAST(level * 110.0 AS DOUBLE) AS y FROM levels", **DAG)
 def graph_layout_levels(spark, sf_dir):
     """The levels that graph_layout gives where no reference goes around."""
