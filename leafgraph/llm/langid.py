@@ -133,29 +133,30 @@ class Model:
 
     def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The best language and the scores of every word of every text: Viterbi over all texts side by side, the longest first; nothing if no language is known."""
+        number = np.int8 if len(self.languages) <= 127 else np.int16
         if not self.languages:
-            return [(np.empty(0, np.int8), np.empty((0, 0), np.float32))] * len(texts)
+            return [(np.empty(0, number), np.empty((0, 0), np.float32))] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order])
         steps, k = int(lengths[0]) if len(lengths) else 0, len(self.languages)
         flat = self.scores([w for i in order for w in texts[i]])
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
         live = [int(n) for n in np.searchsorted(-lengths, -np.arange(steps), "left")]  # texts with a word at each step
-        back = np.empty((len(flat), k), np.int8)
-        stay = np.arange(k, dtype=np.int8)
+        back = np.empty((len(flat), k), number)
+        stay = np.arange(k, dtype=number)
         best = np.zeros((len(texts), k), np.float32)
         for t in range(steps):
             n = live[t]
             if t:
                 now = best[:n]
-                top = now.argmax(axis=1).astype(np.int8)
+                top = now.argmax(axis=1).astype(number)
                 jump = now[np.arange(n), top][:, None] - self.switch
                 moved = jump > now
                 back[starts[:n] + t] = np.where(moved, top[:, None], stay)
                 best[:n] = np.where(moved, jump, now)
             best[:n] += flat[starts[:n] + t]
-        path = np.empty(len(flat), np.int8)
-        at = best.argmax(axis=1).astype(np.int8)
+        path = np.empty(len(flat), number)
+        at = best.argmax(axis=1).astype(number)
         for t in range(steps - 1, -1, -1):
             n = live[t]
             rows = starts[:n] + t

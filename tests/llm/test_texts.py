@@ -387,6 +387,16 @@ def test_surrogates_of_a_table(spark):
     assert count > 20 and not {*map(str, seen)} & {*map(str, back)}
 
 
+def test_more_languages_than_a_byte_counts(spark):
+    """Each language has words of its own letters' order; the last ones are found as well as the first."""
+    letters = "abcdefghij"
+    word = lambda i, k: "".join(letters[int(c)] for c in f"{i:03d}") + "xyz"[k % 3] * 2 + letters[i % 10] * 2
+    rows = [(i * 10 + k, " ".join(word(i, k + n) for n in range(30)), f"l{i:03d}") for i in range(200) for k in range(4)]
+    found = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {doc_id: lang for doc_id, _, lang in rows}
+    assert len(found) == 800 and sum(r["lang_pred"] == want[r["doc_id"]] for r in found) > 700
+
+
 def test_unclear_languages_are_rejected(spark):
     clean = {"en": "the cat sat on the mat and ran home with the others", "de": "der Hund und die Katze lagen nicht auf dem Bett", "fr": "le chat est dans la maison avec les enfants", "es": "el perro está en la casa con los niños"}
     sample = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate([*clean.items()] * 5)], "doc_id long, text string, lang string")
