@@ -200,31 +200,31 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                     members = zip_members(f, size)
                     if any(members[m][0] != 0 for m in (RECORDS, INDEX)):
                         raise ValueError(f"{path}: members must be stored")
-                    base, run = members[RECORDS][1], []
+                    base, run, held = members[RECORDS][1], [], 0
                     for line in read_range(f, *members[INDEX][1:]).splitlines():
                         entry = json.loads(line)
-                        if run and sum(n for _, n in run) + entry["length"] > READ_BYTES:
-                            out.append((path, base + run[0][0], sum(n for _, n in run)))
-                            run = []
+                        if run and held + entry["length"] > READ_BYTES:
+                            out.append((path, base + run[0][0], [n for _, n in run]))
+                            run, held = [], 0
                         run.append((entry["offset"], entry["length"]))
+                        held += entry["length"]
                     if run:
-                        out.append((path, base + run[0][0], sum(n for _, n in run)))
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "length"), x, strict=True)) for x in out], pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+                        out.append((path, base + run[0][0], [n for _, n in run]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "lengths"), x, strict=True)) for x in out], pa.schema([("path", pa.string()), ("start", pa.int64()), ("lengths", pa.list_(pa.int64()))]))
 
     def read(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, start, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as f:
-                    data = read_range(f, start, length)
-                rows = []
-                while data:
-                    unpack = zlib.decompressobj(31)
-                    rows.append(parse_record(unpack.decompress(data) + unpack.flush()))
-                    data = unpack.unused_data
+                    data = read_range(f, start, sum(lengths))
+                rows, at = [], 0
+                for length in lengths:
+                    rows.append(parse_record(zlib.decompress(data[at : at + length], 31)))
+                    at += length
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
     kinds = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    found = archives.select("path", "size").repartition(max(1, min(tasks, count))).mapInArrow(ranges, "path string, start long, length long")
+    found = archives.select("path", "size").repartition(max(1, min(tasks, count))).mapInArrow(ranges, "path string, start long, lengths array<long>")
     return found.repartition(max(1, min(tasks, count + total // READ_BYTES))).mapInArrow(read, "page_id long, record_type string, digest string, refers_to long, payload binary")
 
 

@@ -295,6 +295,10 @@ def test_archives_of_a_table(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     html = {r["page_id"]: r["html"] or "" for r in pages.collect()}
     rows = QUERIES["op10_warc"](spark, SF).collect()
+    first = {}
+    for page_id, text in html.items():
+        first[text] = max(page_id, first.get(text, page_id))
+    assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in rows} == {p: ("response", None) if first[t] == p else ("revisit", first[t]) for p, t in html.items()}
     assert sorted(r["page_id"] for r in rows) == sorted(html) and all(r["payload_bytes"] == len(html[r["page_id"]].encode()) and r["payload_digest"] == warc.base32_sha1(html[r["page_id"]].encode()) for r in rows)
 
 
