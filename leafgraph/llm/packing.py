@@ -18,7 +18,8 @@ from leafgraph.llm.bpe import PATTERN, RankArrayBPE, load
 from leafgraph.operators.numbering import number_within
 from leafgraph.session import cut
 
-
+#: Pieces to each salt at least: so many of one length one task numbers.
+SALTED = 1_000_000
 _loaded: dict[str, tiktoken.Encoding] = {}
 
 
@@ -137,7 +138,8 @@ def pack_pieces(pieces: DataFrame, most: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     pieces = cut(pieces.drop("sequence_id", "offset"))
-    ranked = cut(number_within(pieces, ["length"], ["doc_id", "start"], "__rank", salts=64))
+    salts = max(64, -(-pieces.count() // SALTED))
+    ranked = cut(number_within(pieces, ["length"], ["doc_id", "start"], "__rank", salts=salts))
     histogram = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = slot_table(spark, histogram, most)
     run = F.element_at(F.filter("runs", lambda r: (F.col("__rank") >= r["first"]) & (F.col("__rank") < r["past"])), 1)
