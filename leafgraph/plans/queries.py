@@ -627,6 +627,23 @@ def export_index(spark, sf_dir):
     return labelled(counted, state.members).select("graph_id", "listed", "missing", "linked", "lines")
 
 
+def pages_as_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Index pages of all graphs, whole and in blocks, of graphs named by their least member."""
+    state, (files, inventory) = built(spark, sf_dir), fx(spark, sf_dir, "files", "inventory")
+    members, edges = cut(labelled(state.members, state.members)), cut(labelled(state.edges, state.members))
+    nodes, placed = graphs.member_files(members, ingest.with_missing(files, inventory)), cut(layout.graph_layout(members, edges))
+    return export.export_index(nodes, edges, placed), export.page_blocks(export.index_pieces(nodes, edges, placed), 2_000)
+
+
+@register("SELECT DISTINCT component AS graph_id, true AS same, true AS bounded FROM everyone m JOIN fx_files f ON f.id = m.file_id", **ALL_MEMBERS)
+def export_blocks(spark, sf_dir):
+    """Every graph's page put together from its blocks, none much over its size: whether it is the page that export_index gives."""
+    whole, blocks = pages_as_lists(spark, sf_dir)
+    listed = blocks.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("part", "a", "b", "kind", "html"))).alias("p"))
+    together = listed.select("graph_id", F.array_join(F.transform("p", lambda x: x["html"]), "").alias("joined"), F.forall("p", lambda x: F.length(x["html"]) < 4_000).alias("bounded"))
+    return together.join(whole, "graph_id", "full").select("graph_id", F.coalesce(F.col("joined") == F.col("html"), F.lit(False)).alias("same"), "bounded")
+
+
 SLUG = "CASE WHEN s = '' THEN 'doc' ELSE s END"
 SLUGS = "SELECT *, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM fx_files"
 

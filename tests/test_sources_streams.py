@@ -74,6 +74,8 @@ def test_bundles(spark, tmp_path):
     bundles.write_export_bundles(out, str(tmp_path / "b"))
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "b")).select("graph_id", "bundle", "file_name").collect())
     assert got == [(1, "30-06-2026_18-04-UTC.zip", "1-a.md"), (1, "30-06-2026_18-04-UTC.zip", "index.html")]
+    assert sorted(r["file_name"] for r in bundles.read_export_bundle(spark, str(tmp_path / "b"), 1).collect()) == ["1-a.md", "index.html"]
+    assert bundles.read_export_bundle(spark, str(tmp_path / "b"), 2).isEmpty() and not list((tmp_path / "b").glob("graph_id=*"))
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
