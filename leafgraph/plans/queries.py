@@ -16,7 +16,7 @@ from leafgraph.operators.components import connected_components as connected
 from leafgraph.operators.numbering import number_rows
 from leafgraph.session import cut, scratch
 from leafgraph.sources import bundles, catalog, inventory
-from leafgraph.streaming import jobs
+from leafgraph.streaming import jobs, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -804,10 +804,11 @@ def stream_links(spark, sf_dir):
     links, files = fx(spark, sf_dir, "links", "files")
     folder = scratch(spark, "links")
     links.repartition(2).write.parquet(f"{folder}/in")
-    held = {"state": graphs.empty_state(spark)}
     stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    jobs.stream_links(stream, files, lambda: held["state"], lambda s: held.update(state=s), f"{folder}/ck").awaitTermination()
-    return labelled(held["state"].members, held["state"].members).select("graph_id", "file_id")
+    kept = store.GraphStore(spark, f"{folder}/graphs", 8)
+    jobs.stream_links(stream, files, kept, f"{folder}/ck").awaitTermination()
+    members = kept.state().members
+    return labelled(members, members).select("graph_id", "file_id")
 
 
 # --- Sources and sinks, through files that are written from the tables ---

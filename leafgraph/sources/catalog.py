@@ -37,7 +37,8 @@ def update_catalog(spark: SparkSession, root: str, change: Callable[[dict[str, D
     object stores that offer conditional writes.
     """
     for _ in range(ATTEMPTS):
-        number, manifest = _last(spark, root)
+        number, found = last_published(spark, root)
+        manifest = found.get("tables", {})
         old = _read(spark, manifest)
         new, version = change(dict(old)), uuid.uuid4().hex
         paths = {}
@@ -47,12 +48,17 @@ def update_catalog(spark: SparkSession, root: str, change: Callable[[dict[str, D
             else:
                 paths[name] = f"{root}/versions/{version}/{name}"
                 (df.repartition(buckets, "graph_id") if buckets and "graph_id" in df.columns else df).write.parquet(paths[name])
-        if _create(spark, f"{root}/published/{number + 1:012d}.json", json.dumps({"version": version, "tables": paths})):
+        if publish(spark, root, number + 1, {"version": version, "tables": paths}):
             return version
         delete(spark, f"{root}/versions/{version}")
     raise RuntimeError(f"other writers were faster {ATTEMPTS} times")
 
 
+def publish(spark: SparkSession, root: str, number: int, content: dict) -> bool:
+    """Makes `content` version `number` below root, unless there is one of that number; whether it did."""
+    return _create(spark, f"{root}/published/{number:012d}.json", json.dumps(content))
+
+
 def _create(spark: SparkSession, path: str, text: str) -> bool:
     """Makes a file unless it is there; whether it did. It is whole when it comes in sight on a local disk, elsewhere once it is closed."""
     parsed = urlparse(path)
@@ -81,8 +87,8 @@ def _create(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def _last(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
-    """The number of the last version that is published whole, and where its tables are; (0, {}) if there is none."""
+def last_published(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """The number and content of the last version that is published whole; (0, {}) if there is none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/published")
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(folder):
@@ -91,7 +97,7 @@ def _last(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
     for name in names:
         text = "".join(r[0] for r in spark.read.text(f"{root}/published/{name}", wholetext=True).collect())
         if text:  # an empty one is still being written
-            return int(name.split(".")[0]), json.loads(text)["tables"]
+            return int(name.split(".")[0]), json.loads(text)
     return 0, {}
 
 
@@ -101,7 +107,7 @@ def _read(spark: SparkSession, manifest: dict[str, str]) -> dict[str, DataFrame]
 
 def load_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the version published last; none if there is none."""
-    return _read(spark, _last(spark, root)[1])
+    return _read(spark, last_published(spark, root)[1].get("tables", {}))
 
 
 def load_legacy(spark: SparkSession, url: str, table: str, driver: str) -> DataFrame:

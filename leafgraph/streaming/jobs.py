@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leafgraph.operators.graphs import State, merge_links, written
 from leafgraph.operators.ingest import ingest
 from leafgraph.operators.patches import last_touch
 from leafgraph.operators.relations import normalize_relations
 from leafgraph.session import cut
 from leafgraph.sources import listing
+from leafgraph.streaming.store import GraphStore
 
 
 def stream_ingest(spark: SparkSession, root: str, checkpoint: str, load: Callable[[], DataFrame], add: Callable[[DataFrame], None], recursive: bool = False) -> StreamingQuery:
@@ -39,14 +39,14 @@ def stream_last_touch(touches: DataFrame) -> DataFrame:
     return last_touch(touches)
 
 
-def stream_links(links: DataFrame, files: DataFrame, load: Callable[[], State], save: Callable[[State], None], checkpoint: str) -> StreamingQuery:
-    """Merges a stream of link requests (doc_id, other_id, ui_kind) into the graphs; edges that exist change nothing, so a batch may be run again.
+def stream_links(links: DataFrame, files: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
+    """Merges a stream of link requests (doc_id, other_id, ui_kind) into the graphs of a store; a batch costs what it touches.
 
-    The state that is saved after a batch is written, so that plans don't grow from batch to batch.
+    Edges that exist change nothing, and a batch is published whole or not at all, so one that is run again after a loss
+    gives what it would have given.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        accepted = normalize_relations(df, files).where("reason is null and kind <> 'companion'").select("from_id", "to_id", "kind")
-        save(written(merge_links(load(), accepted)))
+        store.merge(normalize_relations(df, files).where("reason is null and kind <> 'companion'").select("from_id", "to_id", "kind"))
 
     return links.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

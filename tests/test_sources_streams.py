@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.operators import export, graphs, patches, relations
 from leafgraph.sources import bundles, catalog, inventory, listing
-from leafgraph.streaming import jobs
+from leafgraph.streaming import jobs, store
 
 
 def test_scan_and_content(spark, tmp_path):
@@ -106,9 +106,30 @@ def test_stream_links_equal_batch(spark, tmp_path):
     links = spark.createDataFrame([(1, 2, "child"), (3, 4, "sibling"), (2, 3, "parent"), (5, 5, "child"), (8, 9, "reference"), (1, 2, "child")], "doc_id long, other_id long, ui_kind string")
     links.repartition(3).write.parquet(str(tmp_path / "l"))
     files = spark.range(1, 10)
-    held = {"state": graphs.empty_state(spark)}
+    kept = store.GraphStore(spark, str(tmp_path / "graphs"), 4)
     stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "l"))
-    jobs.stream_links(stream, files, lambda: held["state"], lambda s: held.update(state=s), str(tmp_path / "ck")).awaitTermination()
+    jobs.stream_links(stream, files, kept, str(tmp_path / "ck")).awaitTermination()
     batch = graphs.merge_links(graphs.empty_state(spark), relations.normalize_relations(links, files).where("reason is null").select("from_id", "to_id", "kind"))
     groups = lambda s: sorted(sorted(r["f"]) for r in s.members.groupBy("graph_id").agg(F.collect_list("file_id").alias("f")).collect())
-    assert groups(held["state"]) == groups(batch) == [[1, 2, 3, 4], [8, 9]]
+    assert groups(kept.state()) == groups(batch) == [[1, 2, 3, 4], [8, 9]]
+    assert kept.merge(batch.edges.select("from_id", "to_id", "kind")) == []  # merged again
+
+
+def test_a_batch_rewrites_only_the_buckets_that_it_touches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FOLDERS", 2)
+    kept = store.GraphStore(spark, str(tmp_path / "graphs"), 16)
+    edge = lambda *pairs: spark.createDataFrame([(a, b, "reference") for a, b in pairs], "from_id long, to_id long, kind string")
+    batches = [[(10 * i, 10 * i + 1) for i in range(20)], [(0, 10), (5, 6)], [(0, 20)], [(11, 40), (6, 190)], [(20, 21)]]
+    state = graphs.empty_state(spark)
+    for n, pairs in enumerate(batches):
+        before = kept._last()[1].get("folders", {}).get("members", {})
+        touched = kept.merge(edge(*pairs))
+        after = kept._last()[1]["folders"]["members"]
+        if n:
+            assert len(touched) <= 2 * len(pairs) and all(after.get(b) == own for b, own in before.items() if int(b) not in touched and n != 1)
+        state = graphs.merge_links(state, edge(*pairs))
+    groups = lambda s: sorted(sorted(r["f"]) for r in s.members.groupBy("graph_id").agg(F.collect_list("file_id").alias("f")).collect())
+    own = kept.state()
+    assert groups(own) == groups(state) and sorted(map(tuple, own.edges.select("from_id", "to_id", "kind").collect())) == sorted(map(tuple, state.edges.select("from_id", "to_id", "kind").collect()))
+    assert own.graphs.count() == own.members.select("graph_id").distinct().count() == 17 and kept._last()[0] == 4
+    assert own.edges.join(own.members.selectExpr("graph_id as g", "file_id as from_id"), "from_id").where("g <> graph_id").isEmpty()
