@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from leafgraph.session import cut, release
 
 #: Edges of one node from which on a join with its minimum must be one that AQE can split.
 HUB = 1_000_000
+#: Edges that a task joins to a forest at a time; so many are also joined by one task at last.
+FOREST = 500_000
 
 
 def _shape(edges: DataFrame) -> tuple[bool, int]:
@@ -20,19 +26,56 @@ def _shape(edges: DataFrame) -> tuple[bool, int]:
     return not tangled, most or 0
 
 
-def connected_components(edges: DataFrame, src: str = "from_id", dst: str = "to_id", max_rounds: int = 100) -> DataFrame:
+def _forests(edges: DataFrame) -> DataFrame:
+    """(u, v) that join what the edges (u, v) of each task join, FOREST edges at a time: each node to the least of its tree."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        seen = 0
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                while (up := root.get(a, a)) != a:
+                    root[a] = a = root.get(up, up)
+                while (up := root.get(b, b)) != b:
+                    root[b] = b = root.get(up, up)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            seen += batch.num_rows
+            if seen >= FOREST:
+                yield trees(root)
+                root, seen = {}, 0
+        yield trees(root)
+
+    def trees(root: dict[int, int]) -> pa.RecordBatch:
+        tops = {}
+        for node in sorted(root):  # what a node hangs from is less than it
+            tops[node] = tops.get(root[node], root[node])
+        return pa.RecordBatch.from_arrays([pa.array(list(tops), kind), pa.array(list(tops.values()), kind)], ["u", "v"])
+
+    name = edges.schema["u"].dataType.simpleString()
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[name]
+    return edges.select("u", "v").mapInArrow(run, f"u {name}, v {name}")
+
+
+def connected_components(edges: DataFrame, src: str = "from_id", dst: str = "to_id", max_rounds: int = 100, contract: bool = False) -> DataFrame:
     """(id, component) of every node on an edge; component is the smallest id that it can reach.
 
     Direction, repeated edges and extra columns don't matter; a self-loop makes a component of one node; an edge with a
     null end is skipped. Ids may be of any type that Spark orders. Alternating large-star and small-star rounds, O(log^2 n)
     of them; each round's edges go to the shared folder, those of the round before are deleted. Where a node has very many
     edges, the minimum of each node is written before it is joined, so that both sides of the join are plain exchanges,
-    which AQE splits where they are skewed.
+    which AQE splits where they are skewed. With `contract` each task first joins the edges that it has to a forest, if ids
+    are integers, and if no more than FOREST edges are left then, one task joins these: rounds are left to larger graphs.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     ends = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = ends.where("u = v").select("u")
     now = first = cut(ends.where("u <> v"))
+    if contract and isinstance(now.schema["u"].dataType, IntegralType):
+        now = cut(_forests(now))
+        if 0 < now.count() <= FOREST:
+            now = cut(_forests(now.repartition(1)))
+        release(first)
+        first = now
     for _ in range(max_rounds):
         settled, busiest = _shape(now)
         if settled:

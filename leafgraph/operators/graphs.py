@@ -97,7 +97,7 @@ def resolve_legacy_attachments(attachments: DataFrame, files: DataFrame, state:
 
 def component_members(files: DataFrame, relations: DataFrame) -> DataFrame:
     """(file_id, component) of the documents on a reference or sibling link whose ends both exist; component: the least id."""
-    return connected_components(valid_endpoints(joining_edges(relations), files)).select(F.col("id").alias("file_id"), "component")
+    return connected_components(valid_endpoints(joining_edges(relations), files), contract=True).select(F.col("id").alias("file_id"), "component")
 
 
 def build_graphs(files: DataFrame, relations: DataFrame, legacy_attachments: DataFrame | None = None) -> tuple[State, DataFrame | None]:
@@ -133,16 +133,16 @@ def merge_links(state: State, new_edges: DataFrame) -> State:
     if fresh.isEmpty():
         return state
     graph = state.members.select(F.col("file_id").alias("__f"), F.col("graph_id").alias("__g"))
-    node = lambda g, f: F.when(g.isNotNull(), F.struct(F.lit(0).alias("loose"), g.alias("id"))).otherwise(F.struct(F.lit(1).alias("loose"), f.alias("id")))
+    node = lambda g, f: F.when(g.isNotNull(), g * 2).otherwise(f * 2 + 1).cast("long")  # noqa: E731  even: a graph, odd: a loose document
     ends = fresh.join(graph.withColumnsRenamed({"__f": "__fa", "__g": "ga"}), F.col("from_id") == F.col("__fa"), "left").join(graph.withColumnsRenamed({"__f": "__fb", "__g": "gb"}), F.col("to_id") == F.col("__fb"), "left")
-    solved = cut(connected_components(ends.select(node(F.col("ga"), F.col("from_id")).alias("a"), node(F.col("gb"), F.col("to_id")).alias("b")), "a", "b"))
-    old = solved.where("id.loose = 0").select("component", F.col("id.id").alias("graph_id"))
+    solved = cut(connected_components(ends.select(node(F.col("ga"), F.col("from_id")).alias("a"), node(F.col("gb"), F.col("to_id")).alias("b")), "a", "b", contract=True))
+    old = solved.where("pmod(id, 2) = 0").select("component", F.shiftright("id", 1).alias("graph_id"))
     survivors = merge_survivor(graph_sizes(state.members), old)
     wholly_new = solved.select("component").distinct().join(old, "component", "left_anti")
     made = cut(number_rows(wholly_new, ["component"], "graph_id", state.top_id + 1))
     final = cut(survivors.unionByName(made.select("component", "graph_id")).withColumnRenamed("graph_id", "new_id"))
     moves = small_side(cut(old.join(final, "component").where("graph_id <> new_id").select("graph_id", "new_id")))
-    joined = solved.where("id.loose = 1").join(final, "component").select(F.col("new_id").alias("graph_id"), F.col("id.id").alias("file_id"))
+    joined = solved.where("pmod(id, 2) = 1").join(final, "component").select(F.col("new_id").alias("graph_id"), F.shiftright("id", 1).alias("file_id"))
 
     def moved(df: DataFrame) -> DataFrame:
         return df.join(moves, "graph_id", "left").withColumn("graph_id", F.coalesce("new_id", "graph_id")).select(df.columns)

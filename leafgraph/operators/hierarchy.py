@@ -146,7 +146,7 @@ def _decide(tree: DataFrame, moves: DataFrame) -> DataFrame:
     # Ways up meet only among folders that were or become linked: each component of these links is decided by itself.
     rows = cut(asked.select(first.columns).unionByName(first))
     links = rows.where("at is not null").select("id", "at").unionByName(moved.select("id", F.col("id").alias("at")))
-    component = cut(connected_components(links, "id", "at").select("id", "component"))
+    component = cut(connected_components(links, "id", "at", contract=True).select("id", "component"))
     rows = rows.join(component, "id").select("component", "n", "id", "at", "steps").repartition("component").sortWithinPartitions("component", "n")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

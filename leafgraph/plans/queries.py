@@ -73,7 +73,7 @@ def connected_components(spark, sf_dir):
 @register("SELECT DISTINCT id, CASE WHEN id >= 20000000 THEN 20000000 WHEN id >= 5000000 THEN 5000000 ELSE 0 END AS component FROM (SELECT from_id AS id FROM fx_shapes UNION ALL SELECT to_id FROM fx_shapes)")
 def components_of_shapes(spark, sf_dir):
     """A chain of all orders, a hub that every line item is linked to, and a tree of all orders."""
-    return connected(fx(spark, sf_dir, "shapes"))
+    return connected(fx(spark, sf_dir, "shapes"), contract=True)
 
 
 @register(VALID)

@@ -342,6 +342,17 @@ def test_components_of_a_chain_a_hub_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "from_id long, to_id long")).isEmpty()
 
 
+@pytest.mark.parametrize("forest", [7, 100, 500_000])
+def test_contracted_components_equal_the_others(spark, monkeypatch, forest):
+    from leafgraph.operators import components
+
+    monkeypatch.setattr(components, "FOREST", forest)
+    edges = spark.range(400).selectExpr("xxhash64(id) % 150 as from_id", "xxhash64(id, 1) % 150 as to_id").union(spark.createDataFrame([(500, 500), (None, 1), (600, 601), (601, 600)], "from_id long, to_id long"))
+    edges = edges.union(spark.range(200).selectExpr("1000 + id * 7 % 201", "1000 + (id + 1) * 7 % 201")).repartition(5)
+    assert rows(connected_components(edges, contract=True), "id", "component") == rows(connected_components(edges), "id", "component")
+    assert connected_components(edges.limit(0), contract=True).isEmpty()
+
+
 def test_numbering(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     assert sorted(r["n"] for r in number_rows(df, ["id"], "n", 5).collect()) == list(range(5, 1005))
