@@ -26,7 +26,8 @@ class SquareCatcher:
     equal is measured to both sides, through hashes of all dyadic windows; if it reaches the last word, it stays open and
     the words that follow advance it. A stretch of p words or more is a square, and all squares of one stretch are one
     run. Blocks and their echoes inside one run of a smaller period are passed over: its own catcher has told of it.
-    Results don't depend on how the words are dealt to appends. Time is O(n log n), twice that of the logarithm at worst.
+    Results don't depend on how the words are dealt to appends. Time is O(n log n), a logarithm more where very many
+    blocks come again.
     """
 
     def __init__(self, seed: int = 0) -> None:
