@@ -15,6 +15,8 @@ from leafgraph.sources.catalog import last_published, publish
 #: Folders of a bucket's homes from which on they are put together to one; times that a batch is merged anew because another writer was faster.
 FOLDERS, ATTEMPTS = 16, 20
 SCHEMAS = {"graphs": GRAPHS, "members": MEMBERS, "edges": EDGES, "companions": COMPANIONS, "color_maps": COLOR_MAPS, "attachments": ATTACHMENTS}
+#: Tables to which a merge adds no rows.
+MOVED = ("companions", "color_maps", "attachments")
 #: The graph that a document came to be in with a version; the last one holds.
 HOMES = "file_id long, graph_id long, version long"
 
@@ -75,7 +77,10 @@ class GraphStore:
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             folders = {table: dict(held) for table, held in version.get("folders", {}).items()}
             for table in SCHEMAS:
-                made, held = self._write(getattr(after, table), table, "graph_id", folder), folders.setdefault(table, {})
+                held = folders.setdefault(table, {})
+                if table in MOVED and not held.keys() & set(map(str, touched)):
+                    continue
+                made = self._write(getattr(after, table), table, "graph_id", folder)
                 for b in map(str, touched):
                     held.pop(b, None)
                 for b, path in made.items():  # a new graph's bucket may be one that wasn't read
