@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgraph.llm.ann import on_sphere, nearest_axes, usable
+from leafgraph.llm.ann import nearest_buckets, on_sphere, padded_size, usable
 from leafgraph.operators.components import connected_components
 from leafgraph.session import cut, release, small_side
 
@@ -70,7 +70,7 @@ def first_lists(classes: DataFrame, tables: range, similarity: float) -> DataFra
                 own = np.flatnonzero(sizes == size)
                 x = on_sphere(np.stack([flat[offsets[i] : offsets[i + 1]] for i in own]).astype(np.float64), None)
                 for t in tables:
-                    axes = np.hstack([nearest_axes(x, 1_000 + t * AXES + i, 1) for i in range(AXES)]).astype(">u2")
+                    axes = np.hstack([nearest_buckets(x, 1_000 + t * AXES + i, [padded_size(x.shape[1])], 1) for i in range(AXES)]).astype(">u2")
                     keys = pa.array([bytes(a) for a in axes], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t), pa.int32()), pa.array(np.full(len(own), size), pa.int32()), keys, ids.take(pa.array(own)), batch.column(1).take(pa.array(own))], ["table", "size", "key", "node", "vector"])
 
