@@ -14,11 +14,8 @@ from leafgraph.session import cut, small_side
 
 #: (verdict, host and path) of the rules; the longest that fits wins.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Words of a host that make it an example where no rule says what it is; the segmenter knows them from the start.
-BAD_WORDS = ["adult", "ads", "bet", "bets", "casino", "escort", "farm", "gambling", "hack", "jackpot", "loan", "pills", "poker", "porn", "replica", "spam", "track", "viagra", "warez", "xxx"]
-GOOD_WORDS = ["blog", "mail", "news", "shop", "www"]
-#: Further words that the segmenter knows.
-PLAIN_WORDS = ["cheap", "example", "free", "win"]
+#: Words that the segmenter knows from the start; they are no labels.
+WORDS = ["ads", "adult", "bet", "bets", "blog", "casino", "cheap", "escort", "example", "farm", "free", "gambling", "hack", "jackpot", "loan", "mail", "news", "pills", "poker", "porn", "replica", "shop", "spam", "track", "viagra", "warez", "win", "www", "xxx"]
 #: Urls that the classifier is fitted on at most (those with the least hashes).
 SAMPLE_ROWS = 50_000
 #: Letters of a label of a host at most, as DNS has it; a longer run of letters is no word of a host (a fixed value).
@@ -70,10 +67,10 @@ def host_words(hosts: DataFrame, corpus: DataFrame, text_col: str) -> DataFrame:
     Only words that are a substring of some host's label are kept after counting, and each host gets just its own: the
     counts are joined to substrings by shuffles, so neither the corpus' words nor the hosts pass through the driver. The
     last label (com, org) is a word as it stands; digits and hyphens part words and go. The corpus' words are its whole
-    runs of Latin letters, of two letters at least.
+    runs of Latin letters, of two letters at least; longer ones than a label holds count for the total only.
     """
-    counts = cut(corpus.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(text_col), "<[^>]*>", " ")), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).where(F.length("word") <= LABEL).groupBy("word").agg(F.count("*").alias("n")))
-    known = corpus.sparkSession.createDataFrame([(w, 50) for w in BAD_WORDS + GOOD_WORDS + PLAIN_WORDS], "word string, n long")
+    counts = cut(corpus.select(F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(text_col), "<[^>]*>", " ")), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    known = corpus.sparkSession.createDataFrame([(w, 50) for w in WORDS], "word string, n long")
     labels = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("label"))
     starts = labels.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("label"))))
     parts = starts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LABEL), F.length("label") - F.col("i") + 1)), lambda n: F.substr("label", F.col("i"), n))).alias("word")).distinct()
@@ -120,33 +117,55 @@ def fit_bayes(tokens: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, float]:
     return odds | {"": math.log(1 / bad) - math.log(1 / good), " ": math.log(sizes[True] / sizes[False])}
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
-    """(page_id, host, path, rule, verdict, odds, words): each url's rule and verdict, or the classifier's where no rule fits.
-
-    The segmenter's word counts come from text_col of all pages. The classifier is fitted on a bounded sample of the pages'
-    own urls: those that a rule fits, with its verdict, and of the others those with a word of BAD_WORDS (block) or else
-    of GOOD_WORDS (allow) in the host. It blocks where the summed log-odds of host and path tokens are above 0. A url that is null or without :// has an empty host and path, fits no rule and is
-    judged by the prior alone. Repeated rows and ties stay: every row is judged by itself. Hosts are split once each; a
-    host that many rows share is joined back to them by a broadcast if the hosts are few, else by a shuffle that AQE
-    can split.
-    """
-    rules = RULES if rules is None else rules
-    url = F.col(url_col)
-    rows = cut(pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")))
+def url_tokens(pages: DataFrame, rules: list[tuple[str, str]], label: Column | None, id_col: str, url_col: str, text_col: str) -> DataFrame:
+    """(page_id, host, path, words, path_words, found, bad): each url's tokens, the rule that fits, and what it is an example of: the rule's verdict, else label."""
+    url, own = F.col(url_col), F.lit(None).cast("boolean") if label is None else label.cast("boolean")
+    rows = cut(pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), own.alias("label")))
     hosts = cut(host_words(rows.select("host").distinct(), pages.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text"))
-    joined = rows.join(small_side(hosts), "host").withColumn("path_words", path_tokens(F.col("path")))
-    has = lambda known: F.exists("words", lambda w: w.isin(known))
-    ruled = best_rule(F.col("host"), F.col("path"), rules)["verdict"]
-    bad = F.when(ruled.isNotNull(), ruled == "block").when(has(BAD_WORDS), True).when(has(GOOD_WORDS), False)
-    odds = fit_bayes(joined.select(F.col("page_id").alias("id"), "words", "path_words", bad.alias("bad")))
+    joined = rows.join(small_side(hosts), "host").withColumn("path_words", path_tokens(F.col("path"))).withColumn("found", best_rule(F.col("host"), F.col("path"), rules))
+    return joined.select("page_id", "host", "path", "words", "path_words", "found", F.coalesce(F.col("found.verdict") == "block", "label").alias("bad"))
 
+
+def with_odds(tokens: DataFrame, odds: dict[str, float]) -> DataFrame:
+    """tokens with the summed log-odds of host and path in place of path_words."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sums = [odds[" "] + sum(odds.get(w, odds[""]) for w in (*a, *b)) for a, b in zip(pdf["words"], pdf["path_words"], strict=True)]
             yield pdf.drop(columns="path_words").assign(odds=sums)
 
-    kind = joined.schema["page_id"].dataType.simpleString()
-    judged = joined.select("page_id", "host", "path", "words", "path_words").mapInPandas(score, f"page_id {kind}, host string, path string, words array<string>, odds double")
-    found = judged.withColumn("found", best_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce("found.verdict", F.when(F.col("odds") > 0, "block").otherwise("allow"))
-    return found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "odds", "words")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "path_words")
+    return tokens.mapInPandas(score, f"{kinds}, odds double")
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, label: Column | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
+    """(page_id, host, path, rule, verdict, odds, words): each url's rule and verdict, or the classifier's where no rule fits.
+
+    The segmenter's word counts come from text_col of all pages. The classifier is fitted on a bounded sample of the pages'
+    own urls: those that a rule fits, with its verdict, and of the others those whose `label` (a condition on pages) is
+    true (block) or false (allow). It blocks where the summed log-odds of host and path tokens are above 0; without
+    examples of both kinds it allows.
+
+    A url that is null or without :// has an empty host and path, fits no rule and is judged by the prior alone. Repeated
+    rows and ties stay: every row is judged by itself; odds of exactly 0 allow. An empty table has no result, other columns
+    of pages are not read, whatever their names. Urls are taken whole, however long: a label of n letters costs 63 n
+    steps of the segmenter. Hosts are split once each; a host that many rows share is joined back to them by a broadcast
+    if the hosts are few, else by a shuffle that AQE can split.
+    """
+    tokens = url_tokens(pages, RULES if rules is None else rules, label, id_col, url_col, text_col)
+    odds = fit_bayes(tokens.select(F.col("page_id").alias("id"), "words", "path_words", "bad"))
+    found = tokens.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("ruled"), "words", "path_words")
+    verdict = F.coalesce("ruled", F.when(F.col("odds") > 0, "block").otherwise("allow"))
+    return with_odds(found, odds).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "odds", "words")
+
+
+def held_out_accuracy(pages: DataFrame, rules: list[tuple[str, str]] | None = None, label: Column | None = None, folds: int = 5, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
+    """One row (n, accuracy, most): labelled urls of one fold, the share of them that a classifier fitted on the other folds judges as labelled, and the share of the commoner label.
+
+    Folds are hashes of host and path, so that no url is both learned from and judged.
+    """
+    tokens = url_tokens(pages, RULES if rules is None else rules, label, id_col, url_col, text_col)
+    tokens = tokens.where("bad is not null").withColumn("held", F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == 0)
+    odds = fit_bayes(tokens.where("not held").select(F.col("page_id").alias("id"), "words", "path_words", "bad"))
+    judged = with_odds(tokens.where("held").select("bad", "words", "path_words"), odds)
+    share = F.avg(F.col("bad").cast("double"))
+    return judged.agg(F.count("*").alias("n"), F.avg(((F.col("odds") > 0) == F.col("bad")).cast("double")).alias("accuracy"), F.greatest(share, 1 - share).alias("most"))
