@@ -124,7 +124,7 @@ def norm(vector: Column) -> Column:
 
 
 def _hashes(vectors: DataFrame, query: bool, tables: int) -> DataFrame:
-    """(class_id, vector, band, part, axes): a row for each vector, table and part of its buckets that the vector's buckets lie in.
+    """(class_id, vector, band, part, axes, nearest): a row for each vector, table and part of its buckets that the vector's buckets lie in; nearest: whether its first bucket lies there.
 
     Buckets are dealt to parts by ranges of their numbers, so that a query's nearest, which share an axis, meet in few parts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,14 +136,15 @@ def _hashes(vectors: DataFrame, query: bool, tables: int) -> DataFrame:
                 buckets = math.prod(2 * dims for dims in kept)
                 parts = min(buckets, -(-rows // BLOCK))
                 for t in range(tables):
-                    codes = np.sort(nearest_buckets(x, t, kept, min(probes, buckets)), axis=1)
+                    codes = nearest_buckets(x, t, kept, min(probes, buckets))
+                    first, codes = codes[:, 0] * parts // buckets, np.sort(codes, axis=1)
                     part = codes * parts // buckets
                     starts = np.hstack([np.ones((len(x), 1), bool), part[:, 1:] != part[:, :-1]])
                     row, column = np.nonzero(starts)
                     runs = np.split(codes.ravel(), (row * codes.shape[1] + column)[1:])
-                    yield pd.DataFrame({"class_id": own["class_id"].to_numpy()[row], "vector": own["vector"].to_numpy()[row], "band": own["band"].to_numpy()[row], "part": ((size * tables + t) << 32) + part[row, column], "axes": runs})
+                    yield pd.DataFrame({"class_id": own["class_id"].to_numpy()[row], "vector": own["vector"].to_numpy()[row], "band": own["band"].to_numpy()[row], "part": ((size * tables + t) << 32) + part[row, column], "axes": runs, "nearest": part[row, column] == first[row]})
 
-    return vectors.select("class_id", "vector", "band", "longest", "size", "rows", "probes").mapInPandas(run, f"class_id long, vector {vectors.schema['vector'].dataType.simpleString()}, band int, part long, axes array<long>")
+    return vectors.select("class_id", "vector", "band", "longest", "size", "rows", "probes").mapInPandas(run, f"class_id long, vector {vectors.schema['vector'].dataType.simpleString()}, band int, part long, axes array<long>, nearest boolean")
 
 
 def fit_probes(sample: DataFrame, near: DataFrame, banded: DataFrame, tables: int, share: float = RECALL) -> DataFrame:
@@ -178,7 +179,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables
     equally far. A table's buckets are dealt to a part for every BLOCK vectors. A part's vectors are split by hashes of class
     ids into blocks of about BLOCK, and the queries that probe some bucket of the part into groups of about as many; each
     block meets each group in a task of its own, so that neither side is gathered whole. A query meets the vectors of the
-    buckets that it probes, and each block gives it its best only. Scores are computed again from the original vectors.
+    buckets that it probes, and each block gives it its best only: at first in the part of its nearest bucket in each table,
+    then in its other parts, where only what scores as much as the worst of the best so far is kept. Scores are computed again from the original vectors.
 
     Ids should be unique: rows that repeat an id are taken as vectors of their own and each is left out of the queries
     with that id. A null id takes no part, an empty table has no result, and other columns are not read, whatever
@@ -215,39 +217,53 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, tables
                     score[asks[low:high], own] = q[asks[low:high]] @ x[own].T
             top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
             best = pd.DataFrame({"query": np.repeat(part["class_id"].to_numpy(), keep), "class_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
-            out.append(best[best["score"] > -np.inf])
+            out.append(best[(best["score"] > -np.inf) & (best["score"] >= np.repeat(part["least"].to_numpy(), keep))])
         return pd.concat(out)
 
-    def search_blocks(queries: DataFrame, index: DataFrame) -> DataFrame:
-        """(query, class_id): the best of each query of all blocks of the parts that it goes to."""
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
+        return found.groupBy("query", "class_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1 + SPARE).drop("r")
+
+    def search_blocks(queries: DataFrame, index: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(query, class_id, score): the best of each query of all blocks of the parts that it goes to, none under its `least` score."""
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
-        sizes = index.groupBy("part", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         asked = queries.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("axes")) / ASKED)).cast("int").alias("groups"))
         shape = small_side(cut(sizes.join(asked, "part")))
         index = index.join(shape, ["part", "band"]).withColumn("block", dealt("blocks")).withColumn("group", every("groups")).drop("blocks", "groups")
         queries = queries.drop("band").join(shape, "part").withColumn("group", dealt("groups")).withColumn("block", every("blocks")).drop("blocks", "groups")
         queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may come from the same frames
         keys = ["part", "band", "block", "group"]
-        found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(search, "query long, class_id long, score double")
-        best = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
-        return found.groupBy("query", "class_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1 + SPARE).select("query", "class_id")
+        return best(queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(search, "query long, class_id long, score double"))
+
+    def blocks_of(index: DataFrame) -> DataFrame:
+        return cut(index.groupBy("part", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+
+    def search_all(queries: DataFrame) -> DataFrame:
+        return search_blocks(whole.join(small_side(queries.select("class_id")), "class_id", "left_semi").withColumn("least", any_score), whole, blocks_of(whole))
 
+    any_score = F.lit(float("-inf"))
     whole = classes.select("class_id", "vector", F.lit(0).alias("band"), F.col("size").cast("long").alias("part"), F.array(F.lit(0).cast("long")).alias("axes"))
     asking = banded.where("query")
     if probes is None:
         picked = Window.partitionBy("size").orderBy(F.xxhash64("class_id"))
         sample = cut(asking.withColumn("r", F.row_number().over(picked)).where(F.col("r") <= SAMPLE).select("class_id", "vector"))
-        near = cut(search_blocks(whole.join(small_side(sample.select("class_id")), "class_id", "left_semi"), whole))
+        near = cut(search_all(sample))
         asking = asking.join(small_side(cut(fit_probes(sample, near, banded, tables))), "size", "left").fillna(1, ["probes"])
     else:
         asking = asking.withColumn("probes", F.lit(probes))
     own = classes.where("query").select(F.col("class_id").alias("query"), "class_id")
-    found = cut(search_blocks(_hashes(asking, True, tables), _hashes(banded.withColumn("probes", F.lit(1)), False, tables)).union(own).distinct())
+    asked, index = cut(_hashes(asking, True, tables)), _hashes(banded.withColumn("probes", F.lit(1)), False, tables).drop("nearest")
+    sizes = blocks_of(index)
+    first = cut(search_blocks(asked.where("nearest").withColumn("least", any_score), index, sizes))
+    least = first.groupBy("query").agg(F.when(F.count("*") > k + SPARE, F.min("score")).alias("least")).withColumnRenamed("query", "class_id")
+    others = asked.where("not nearest").join(least, "class_id", "left").withColumn("least", F.coalesce("least", any_score))
+    found = best(first.union(search_blocks(others, index, sizes))).select("query", "class_id")
+    found = cut(found.union(own).distinct())
     met = found.join(classes.select("class_id", "copies"), "class_id").groupBy("query").agg(F.sum("copies").alias("met")).where(F.col("met") <= k)
     few = cut(met.select(F.col("query").alias("class_id")))
     if not few.isEmpty():
-        found = found.union(search_blocks(whole.join(small_side(few), "class_id", "left_semi"), whole)).distinct()
+        found = found.union(search_all(few).select("query", "class_id")).distinct()
     theirs, mine = classes.select("class_id", F.col("vector").alias("theirs")), classes.select(F.col("class_id").alias("query"), F.col("vector").alias("mine"))
     exact = found.join(theirs, "class_id").join(mine, "query").select("query", "class_id", inner_product(F.col("mine"), F.col("theirs")).alias("score"))
     per_class = exact.join(members, "class_id").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
