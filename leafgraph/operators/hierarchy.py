@@ -15,8 +15,8 @@ from leafgraph.operators.patches import fold_patches
 from leafgraph.operators.tours import intervals, positions
 from leafgraph.session import cut, release
 
-#: Steps up the tree after which a walk answers that there is no cycle; moves that are decided at a time.
-WALK, MOVES = 1_000, 100_000
+#: Steps up the tree after which a walk answers that there is no cycle; moves of one component that are decided at a time.
+WALK, MOVES = 1_000, 2_000_000
 
 
 def tree_order(folders: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,19 +98,23 @@ def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFr
     A patch that would make a cycle in the tree as it then is, is rejected whole; one of an unknown folder does nothing. A
     null field means unchanged, names are trimmed, and a patch that names a parent and the root means the root. seq should
     be unique: patches that share it are taken in order of id. Only moves depend on each other, and only those whose folders
-    meet on some way up. They are taken MOVES at a time: the tree is contracted to the folders that these move, by joins,
-    folders that may meet are one component, and each component's moves are decided in order, in some task; names and sort
-    orders are then folded as those of files are.
+    meet on some way up. The tree is contracted to the folders that are moved, by joins, folders that may meet are one
+    component, and each component's moves are decided in order, in some task, all components side by side. Only those of
+    components of more than MOVES moves are taken MOVES at a time, each time in the tree as it then is. Names and sort orders
+    are then folded as those of files are.
     """
     known = folders.select("id", "parent_id").where("id is not null")
     root = F.coalesce("move_to_root", F.lit(False))
     wanted = patches.where(root | F.col("parent_id").isNotNull()).join(known.select("id"), "id", "left_semi")
     moves = number_rows(wanted.select("seq", "id", F.when(~root, F.col("parent_id")).alias("target")), ["seq", "id"], "n", 0)
     moves = cut(moves)
-    refused = moves.limit(0).select("seq", "id")
-    tree, low, count = known, 0, moves.count()
+    decided, large = _decide(known, moves)
+    refused = cut(decided.where("refused").select("seq", "id"))
+    tree, low, count = known, 0, large.count() if large is not None else 0
+    if count:
+        large = cut(number_rows(large.select("seq", "id", "target", F.col("n").alias("at")), ["at"], "n", 0).drop("at"))
     while low < count:
-        decided = cut(_decide(tree, moves.where((F.col("n") >= low) & (F.col("n") < low + MOVES))))
+        decided = cut(_decide(tree, large.where((F.col("n") >= low) & (F.col("n") < low + MOVES)))[0])
         refused = refused.unionByName(decided.where("refused").select("seq", "id"))
         last = decided.where("not refused").groupBy("id").agg(F.max_by(F.struct("target"), "n").alias("last"))
         low += MOVES
@@ -121,8 +125,11 @@ def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFr
     return _patched(folders, fold_patches(kept)), patches.join(refused, ["seq", "id"], "left_semi").select(patches.columns)
 
 
-def _decide(tree: DataFrame, moves: DataFrame) -> DataFrame:
-    """moves (n, seq, id, target) with `refused`: the walk up from the target meets the folder within WALK steps, as the tree is after the moves before it."""
+def _decide(tree: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """moves (n, seq, id, target) with `refused`: the walk up from the target meets the folder within WALK steps, as the tree is after the moves before it.
+
+    Also the moves that aren't decided, if any: those of components that have more than MOVES of them.
+    """
     moved = moves.select("id").distinct().withColumn("moves", F.lit(True))
     # (id, at, steps, open): the nearest folder at or above id that some move moves, null if there is none; open: still on the way.
     up = tree.join(moved, "id", "left")
@@ -147,31 +154,42 @@ def _decide(tree: DataFrame, moves: DataFrame) -> DataFrame:
     rows = cut(asked.select(first.columns).unionByName(first))
     links = rows.where("at is not null").select("id", "at").unionByName(moved.select("id", F.col("id").alias("at")))
     component = cut(connected_components(links, "id", "at", contract=True).select("id", "component"))
-    rows = rows.join(component, "id").select("component", "n", "id", "at", "steps").repartition("component").sortWithinPartitions("component", "n")
+    rows = rows.join(component, "id").select("component", "n", "id", "at", "steps")
+    left = cut(rows.where("n >= 0").groupBy("component").agg(F.count("*").alias("count")).where(F.col("count") > MOVES).select("component"))
+    large = None
+    if not left.isEmpty():  # few: each has more than MOVES moves
+        large = cut(moves.join(rows.where("n >= 0").join(F.broadcast(left), "component", "left_semi").select("n"), "n", "left_semi"))
+        rows = rows.join(F.broadcast(left), "component", "left_anti")
+    rows = rows.repartition("component").sortWithinPartitions("component", "n")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
-        parent: dict[int, tuple[int | None, int]] = {}  # the next moved folder above each, and how many steps up from its parent
+        parent: dict[int, int | None] = {}  # the next moved folder above each
+        more: dict[int, int] = {}  # and how many steps up from its parent, if any
         for batch in batches:
             numbers, refused = [], []
             for own_component, n, own, to, steps in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if own_component != now:
-                    now, parent = own_component, {}
+                    now, parent, more = own_component, {}, {}
                 walk, done, bad = to, steps or 0, False
                 while n >= 0 and walk is not None and done < WALK:
                     if walk == own:
                         bad = True
                         break
-                    walk, more = parent.get(walk, (None, 0))
-                    done += 1 + more
+                    done += 1 + more.get(walk, 0)
+                    walk = parent.get(walk)
                 if not bad:
-                    parent[own] = to, steps or 0
+                    parent[own] = to
+                    if steps:
+                        more[own] = steps
+                    else:
+                        more.pop(own, None)
                 if n >= 0:
                     numbers.append(n)
                     refused.append(bad)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(refused, pa.bool_())], ["n", "refused"])
 
-    return moves.join(rows.mapInArrow(solve, "n long, refused boolean"), "n")
+    return moves.join(rows.mapInArrow(solve, "n long, refused boolean"), "n"), large
 
 
 def _patched(folders: DataFrame, patches: DataFrame) -> DataFrame:

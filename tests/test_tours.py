@@ -107,3 +107,15 @@ def test_many_interleaved_moves_equal_single_requests(spark):
     patches = spark.createDataFrame([(s, own, None, to, to is None, None) for s, own, to in moves], "seq long, id long, name string, parent_id long, move_to_root boolean, sort_order int")
     after, bad = hierarchy.apply_folder_patches(spark.createDataFrame(rows, FOLDERS), patches)
     assert {r["id"]: r["parent_id"] for r in after.collect()} == parent and {r["seq"] for r in bad.collect()} == refused
+
+
+def test_moves_of_small_components_are_decided_together(spark, monkeypatch):
+    calls, decide = [], hierarchy._decide
+    monkeypatch.setattr(hierarchy, "MOVES", 5)
+    monkeypatch.setattr(hierarchy, "_decide", lambda *args: calls.append(1) or decide(*args))
+    folders = spark.createDataFrame([(i, "f", None, 1) for i in range(40)], FOLDERS)
+    moves = [(s, i, (i ^ 1), False) for s, i in enumerate([*range(40), *range(39, -1, -1)])]  # each pair under one another: the second is refused
+    patches = spark.createDataFrame(moves, "seq long, id long, parent_id long, move_to_root boolean").selectExpr("seq", "id", "string(null) as name", "parent_id", "move_to_root", "int(null) as sort_order")
+    after, bad = hierarchy.apply_folder_patches(folders, patches)
+    assert {r["id"]: r["parent_id"] for r in after.collect()} == {i: i + 1 if i % 2 == 0 else None for i in range(40)} and bad.count() == 40
+    assert len(calls) == 1
