@@ -119,3 +119,15 @@ def test_moves_of_small_components_are_decided_together(spark, monkeypatch):
     after, bad = hierarchy.apply_folder_patches(folders, patches)
     assert {r["id"]: r["parent_id"] for r in after.collect()} == {i: i + 1 if i % 2 == 0 else None for i in range(40)} and bad.count() == 40
     assert len(calls) == 1
+
+
+def test_a_long_chain_in_any_order_takes_few_rounds(spark, monkeypatch):
+    from leafgraph.operators import components
+
+    calls, shape = [], components._shape
+    monkeypatch.setattr(components, "FOREST", 500)
+    monkeypatch.setattr(components, "_shape", lambda df: calls.append(1) or shape(df))
+    edges = spark.range(3_000).selectExpr("id as from_id", "id + 1 as to_id").orderBy("from_id").selectExpr("from_id", "to_id").repartition(7)
+    found = components.connected_components(edges, contract=True)
+    assert found.count() == found.where("component = 0").count() == 3_001
+    assert len(calls) == 1
