@@ -360,3 +360,18 @@ def test_numbering(spark):
     for k in range(3):
         assert sorted(r["n"] for r in found if r["k"] == k) == list(range(len([r for r in found if r["k"] == k])))
     assert number_rows(df.limit(0), ["id"], "n").isEmpty() and number_within(df.limit(0), ["k"], ["id"], "n").isEmpty()
+
+
+def test_a_title_asked_often_is_met_in_pieces(spark, monkeypatch):
+    from leafgraph.operators import ingest
+
+    monkeypatch.setattr(ingest, "PIECE", 7)
+    titles = [f"{a} {b}" for a in ("Red", "rod", "Blue") for b in range(30)]
+    files = spark.createDataFrame([(i, t, i % 4) for i, t in enumerate(titles)], "id long, title string, sort_order int")
+    asked = [(100 + i, ["", "R", "d 1", "blue", "zzz", None][i % 6], i if i % 2 else None) for i in range(60)]
+    queries = spark.createDataFrame(asked, "query_id long, q string, exclude_id long")
+    wanted = sorted((n, i, t) for n, q, own in asked if q is not None for i, t in enumerate(titles) if q.lower() in t.lower() and i != own)
+    found = ingest.search_titles(files, queries, ordered=False)
+    assert sorted(tuple(r) for r in found.collect()) == wanted
+    place = {i: (i % 4, t, i) for i, t in enumerate(titles)}
+    assert [tuple(r) for r in ingest.search_titles(files, queries).collect()] == sorted(wanted, key=lambda r: (r[0], place[r[1]]))
