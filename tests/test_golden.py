@@ -375,3 +375,21 @@ def test_a_title_asked_often_is_met_in_pieces(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == wanted
     place = {i: (i % 4, t, i) for i, t in enumerate(titles)}
     assert [tuple(r) for r in ingest.search_titles(files, queries).collect()] == sorted(wanted, key=lambda r: (r[0], place[r[1]]))
+
+
+def test_a_chain_hangs_from_its_top_in_few_rounds(spark, monkeypatch):
+    n = 5_000
+    chain = spark.range(1, n).selectExpr("id % 2 as graph_id", "id", "case when id > 3 then id - 2 when id = 3 then null else id - 2 end as up", "id as w")
+    steps, further = [], layout.cut
+    monkeypatch.setattr(layout, "cut", lambda df: steps.append(1) or further(df))
+    for held, most in ((1_000_000, 8), (700, 12)):
+        monkeypatch.setattr(layout, "HELD", held, raising=False)
+        steps.clear()
+        found = {r["id"]: (r["top"], r["w"]) for r in layout._tops(chain).collect()}
+        assert len(steps) <= most
+        wanted = {1: (-1, 1), 2: (0, 2), 3: (None, 3)}
+        for i in range(4, n):
+            wanted[i] = wanted[i - 2][0], wanted[i - 2][1] + i
+        assert found == wanted
+    with pytest.raises(RuntimeError):
+        layout._tops(spark.range(10).selectExpr("1L as graph_id", "id", "(id + 1) % 10 as up", "1L as w"))
