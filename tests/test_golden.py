@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgraph.functions import paths, texts
-from leafgraph.operators import attachments, colormaps, export, graphs, hierarchy, ingest, layout, patches, relations, text_inventory
+from leafgraph.operators import attachments, circles, colormaps, export, graphs, hierarchy, ingest, layout, patches, relations, text_inventory
 from leafgraph.operators.components import connected_components
 from leafgraph.operators.numbering import number_rows, number_within
 
@@ -158,6 +158,31 @@ def test_levels_by_joins_equal_those_in_tasks(spark):
     assert max(r[2] for r in want) == 300
 
 
+@pytest.mark.parametrize("held", [3, 40, 1_000_000])
+def test_levels_around_circles_by_joins(spark, monkeypatch, held):
+    """Trees and circles with trees below them, in any order, through ranges of any size; what has siblings or two references to a node is left to a task."""
+    monkeypatch.setattr(circles, "HELD", held)
+    rng = np.random.default_rng(held)
+    nodes, edges, want = [], [], []
+    for g in range(12):
+        n = int(rng.integers(1, 70))
+        up = (np.arange(n) - 1) % n if g % 4 == 0 else rng.permutation(n) if g % 4 == 1 else rng.integers(0, n, n)  # a ring, circles, circles with trees
+        refs = [(int(a), b) for b, a in enumerate(up) if g % 4 < 3 or rng.integers(4)]
+        refs += [(0, n - 1)] if g == 10 else []
+        siblings = [(0, n - 1)] if g == 11 else []
+        seq = rng.permutation(len(refs))
+        stored = sorted(zip(seq.tolist(), refs, strict=True)) if g % 3 else sorted(zip([0] * len(refs), refs, strict=True))
+        level = layout.bounded_levels(np.arange(n), np.array([r for _, r in stored], np.int64).reshape(-1, 2), np.array(siblings, np.int64).reshape(-1, 2))
+        nodes += [(g, i) for i in range(n)]
+        edges += [(g, a, b, "reference", s) for s, (a, b) in stored] + [(g, a, b, "sibling", 0) for a, b in siblings]
+        want += [(g, i, int(x)) for i, x in enumerate(level)]
+    edges += [(3, 9_999, 0, "reference", 0), (None, 1, 2, "reference", 0)]
+    nodes = spark.createDataFrame(nodes, "graph_id long, file_id long")
+    edges = spark.createDataFrame(edges, "graph_id long, from_id long, to_id long, kind string, seq long")
+    for large in (0, 1_000_000):
+        assert sorted(map(tuple, layout.graph_levels(nodes, edges, large=large).collect())) == sorted(want)
+
+
 def state_of(spark, members, edges=(), companions=(), attached=(), top=None):
     m = spark.createDataFrame(list(members), graphs.MEMBERS)
     return graphs.State(m.select("graph_id").distinct(), m, spark.createDataFrame(list(edges), graphs.EDGES), spark.createDataFrame(list(companions), graphs.COMPANIONS), spark.createDataFrame([], graphs.COLOR_MAPS), spark.createDataFrame(list(attached), graphs.ATTACHMENTS), top or max(g for g, _ in members))
