@@ -28,10 +28,11 @@ def list_sums(events: DataFrame, count: int, weights: list[str]) -> DataFrame:
     columns = ", ".join(f"{c} long" for c in ("e", "next", *weights))
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([batch.column(i).to_numpy() for i in range(2 + len(weights))]) for batch in batches]
+        held = [np.stack([batch.column(i).to_numpy() for i in range(2 + len(weights))]) for batch in batches if batch.num_rows]
         if not held:
             return
         own = np.concatenate(held, axis=1)
+        held.clear()
         own = own[:, np.argsort(own[0], kind="stable")]
         e, to, sums = own[0], own[1], own[2:]
         at = np.minimum(np.searchsorted(e, to), max(0, len(e) - 1))
@@ -46,7 +47,7 @@ def list_sums(events: DataFrame, count: int, weights: list[str]) -> DataFrame:
         for low in range(0, len(e), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in own], ["e", "next", *weights])
 
-    near = cut(events.select("e", "next", *weights).repartition(parts, F.floor(F.col("e") / PART)).mapInArrow(contract, columns))
+    near = cut(events.select("e", "next", *weights).repartitionById(parts, F.floor(F.col("e") / PART).cast("int")).mapInArrow(contract, columns))
     ended = near.where(F.col("next") == END).select("e", *weights)
     if parts == 1:
         return ended

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafgraph.operators import hierarchy, tours
 
@@ -121,6 +122,15 @@ def test_moves_of_small_components_are_decided_together(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_a_task_ranks_one_part_of_a_list(spark, monkeypatch):
+    most, cut = [], tours.cut
+    monkeypatch.setattr(tours, "PART", 50)
+    monkeypatch.setattr(tours, "cut", lambda df: most.append(df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]) or cut(df))
+    events = spark.range(2_000).selectExpr("id as e", "if(id < 1999, id + 1, -1) as next", "1L as w")
+    assert tours.list_sums(events, 2_000, ["w"]).where("w = 2000 - e").count() == 2_000
+    assert most[0] == 50
+
+
 def test_a_long_chain_in_any_order_takes_few_rounds(spark, monkeypatch):
     from leafgraph.operators import components
 
