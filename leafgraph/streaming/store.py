@@ -47,8 +47,8 @@ class GraphStore:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame, table: str, key: str, folder: str) -> dict[str, str]:
-        """Where each bucket of df was written."""
-        df.withColumn("bucket", self._bucket(key)).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/{table}")
+        """Where each bucket of df was written, large ones by several tasks."""
+        df.withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{table}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
         return {s.getPath().getName().partition("=")[2]: f"{folder}/{table}/{s.getPath().getName()}" for s in found if s.getPath().getName().startswith("bucket=")}

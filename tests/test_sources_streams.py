@@ -23,6 +23,16 @@ def test_scan_and_content(spark, tmp_path):
     assert got == {1: ("# A", False), 2: (None, True), 3: ("c", False), 4: ("", False)}
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    kept = store.GraphStore(spark, str(tmp_path / "graphs"), 1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4kb")
+    try:
+        found = kept._write(spark.range(0, 20_000, 1, 4).select(F.col("id").alias("file_id"), F.col("id").alias("graph_id")), "members", "graph_id", str(tmp_path / "data"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(Path(found["0"]).glob("*.parquet"))) > 1 and spark.read.parquet(found["0"]).count() == 20_000
+
+
 def test_listings_of_wide_and_deep_trees(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(listing, "BUDGET", 5)
     wanted = set()
