@@ -23,6 +23,21 @@ def test_scan_and_content(spark, tmp_path):
     assert got == {1: ("# A", False), 2: (None, True), 3: ("c", False), 4: ("", False)}
 
 
+def test_content_is_opened_by_path(spark, tmp_path, monkeypatch):
+    """Nothing is listed to read documents, and those are read that a listing gives."""
+    (tmp_path / "lib" / ".x").mkdir(parents=True)
+    names = ["lib/a.md", "lib/_u.MD", "lib/.x/h.md", "lib/d.txt", "o.md"]
+    for name in names:
+        (tmp_path / name).write_text(name)
+    rows = [*enumerate(f"{tmp_path}/{name}" for name in names), (5, f"{tmp_path}/lib/../o.md"), (6, f"{tmp_path}/lib"), (7, None), (8, f"{tmp_path}/lib//a.md")]
+    listing_of = {r["path"] for r in inventory.scan_inventory(spark, str(tmp_path / "lib"), recursive=True).collect()}
+    monkeypatch.setattr(inventory, "scan", None)
+    monkeypatch.setattr(inventory, "HELD", 3)
+    for root in (f"{tmp_path}/lib", f"file://{tmp_path}/lib/"):
+        found = inventory.read_content(spark, spark.createDataFrame(rows, "id long, full_path string"), root)
+        assert {r["file_id"]: (r["text"], r["missing"]) for r in found.collect()} == {i: ("/".join(path.split("/")[-2:]), False) if path in listing_of else (None, True) for i, path in rows}
+
+
 def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     kept = store.GraphStore(spark, str(tmp_path / "graphs"), 1)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4kb")
