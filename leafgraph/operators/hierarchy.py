@@ -13,7 +13,7 @@ from leafgraph.operators.components import connected_components
 from leafgraph.operators.numbering import number_rows
 from leafgraph.operators.patches import fold_patches
 from leafgraph.operators.tours import intervals, positions
-from leafgraph.session import cut, release
+from leafgraph.session import cut, release, shuffled
 
 #: Steps up the tree after which a walk answers that there is no cycle; moves of one component that are decided at a time.
 WALK, MOVES = 1_000, 2_000_000
@@ -105,7 +105,7 @@ def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFr
     """
     known = folders.select("id", "parent_id").where("id is not null")
     root = F.coalesce("move_to_root", F.lit(False))
-    wanted = patches.where(root | F.col("parent_id").isNotNull()).join(known.select("id"), "id", "left_semi")
+    wanted = patches.where(root | F.col("parent_id").isNotNull()).join(shuffled(known.select("id")), "id", "left_semi")
     moves = number_rows(wanted.select("seq", "id", F.when(~root, F.col("parent_id")).alias("target")), ["seq", "id"], "n", 0)
     moves = cut(moves)
     decided, large = _decide(known, moves)
@@ -119,8 +119,8 @@ def apply_folder_patches(folders: DataFrame, patches: DataFrame) -> tuple[DataFr
         last = decided.where("not refused").groupBy("id").agg(F.max_by(F.struct("target"), "n").alias("last"))
         low += MOVES
         if low < count:
-            tree = cut(tree.join(last, "id", "left").select("id", F.when(F.col("last").isNotNull(), F.col("last.target")).otherwise(F.col("parent_id")).alias("parent_id")))
-    refused = cut(refused)
+            tree = cut(tree.join(shuffled(last), "id", "left").select("id", F.when(F.col("last").isNotNull(), F.col("last.target")).otherwise(F.col("parent_id")).alias("parent_id")))
+    refused = shuffled(cut(refused))
     kept = patches.join(refused, ["seq", "id"], "left_anti").select("seq", "id", F.col("name").alias("title"), F.col("parent_id").alias("folder_id"), "move_to_root", "sort_order")
     return _patched(folders, fold_patches(kept)), patches.join(refused, ["seq", "id"], "left_semi").select(patches.columns)
 
@@ -132,10 +132,10 @@ def _decide(tree: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame | N
     """
     moved = moves.select("id").distinct().withColumn("moves", F.lit(True))
     # (id, at, steps, open): the nearest folder at or above id that some move moves, null if there is none; open: still on the way.
-    up = tree.join(moved, "id", "left")
+    up = tree.join(shuffled(moved), "id", "left")
     above = moved.select(F.col("id").alias("parent_id"), F.lit(True).alias("above_moves"))
     known = tree.select(F.col("id").alias("parent_id"), F.lit(True).alias("there"))
-    up = up.join(known, "parent_id", "left").join(above, "parent_id", "left")
+    up = up.join(shuffled(known), "parent_id", "left").join(shuffled(above), "parent_id", "left")
     on_way = F.col("moves").isNull() & F.col("there") & F.col("above_moves").isNull()
     up = up.select("id", F.when(F.col("moves"), F.col("id")).when(F.col("there"), F.col("parent_id")).alias("at"), F.when(F.col("moves"), 0).otherwise(1).alias("steps"), F.coalesce(on_way, F.lit(False)).alias("open"), "parent_id")
     up = cut(up)
@@ -143,22 +143,22 @@ def _decide(tree: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame | N
         if up.where("open").isEmpty():
             break
         on = up.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("open").alias("further"))
-        before, up = up, cut(up.where("open").join(on, "at").select("id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("further").alias("open"), "parent_id").unionByName(up.where("not open")))
+        before, up = up, cut(up.where("open").join(shuffled(on), "at").select("id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("further").alias("open"), "parent_id").unionByName(up.where("not open")))
         release(before)
-    near = up.select(F.col("id").alias("from"), F.when(~F.col("open"), F.col("at")).alias("at"), "steps")
+    near = shuffled(up.select(F.col("id").alias("from"), F.when(~F.col("open"), F.col("at")).alias("at"), "steps"))
     asked = moves.select("n", "seq", "id", "target", F.col("target").alias("from")).join(near, "from", "left").drop("from")
-    first = up.join(moved.select("id"), "id", "left_semi").select("id", F.col("parent_id").alias("from")).join(near, "from", "left")
+    first = up.join(shuffled(moved.select("id")), "id", "left_semi").select("id", F.col("parent_id").alias("from")).join(near, "from", "left")
     first = first.select(F.lit(-1).cast("long").alias("n"), F.lit(None).cast(moves.schema["seq"].dataType).alias("seq"), "id", F.lit(None).cast("long").alias("target"), "at", "steps")
 
     # Ways up meet only among folders that were or become linked: each component of these links is decided by itself.
     rows = cut(asked.select(first.columns).unionByName(first))
     links = rows.where("at is not null").select("id", "at").unionByName(moved.select("id", F.col("id").alias("at")))
     component = cut(connected_components(links, "id", "at", contract=True).select("id", "component"))
-    rows = rows.join(component, "id").select("component", "n", "id", "at", "steps")
+    rows = rows.join(shuffled(component), "id").select("component", "n", "id", "at", "steps")
     left = cut(rows.where("n >= 0").groupBy("component").agg(F.count("*").alias("count")).where(F.col("count") > MOVES).select("component"))
     large = None
     if not left.isEmpty():  # few: each has more than MOVES moves
-        large = cut(moves.join(rows.where("n >= 0").join(F.broadcast(left), "component", "left_semi").select("n"), "n", "left_semi"))
+        large = cut(moves.join(shuffled(rows.where("n >= 0").join(F.broadcast(left), "component", "left_semi").select("n")), "n", "left_semi"))
         rows = rows.join(F.broadcast(left), "component", "left_anti")
     rows = rows.repartition("component").sortWithinPartitions("component", "n")
 
@@ -189,12 +189,12 @@ def _decide(tree: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame | N
                     refused.append(bad)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(refused, pa.bool_())], ["n", "refused"])
 
-    return moves.join(rows.mapInArrow(solve, "n long, refused boolean"), "n"), large
+    return moves.join(shuffled(rows.mapInArrow(solve, "n long, refused boolean")), "n"), large
 
 
 def _patched(folders: DataFrame, patches: DataFrame) -> DataFrame:
     p = patches.withColumnsRenamed({"id": "__id", "title": "__name", "place": "__place", "sort_order": "__sort"})
-    j = folders.join(p, F.col("id") == F.col("__id"), "left")
+    j = folders.join(shuffled(p), F.col("id") == F.col("__id"), "left")
     parent = F.when(F.col("__place").isNotNull(), F.col("__place.folder_id")).otherwise(F.col("parent_id"))
     new = {"name": F.coalesce("__name", "name"), "parent_id": parent, "sort_order": F.coalesce("__sort", "sort_order")}
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in folders.columns])
