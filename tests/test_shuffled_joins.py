@@ -61,3 +61,16 @@ def test_building_graphs_of_repeated_links(spark):
     assert all(tables)
     plain = graphs.build_graphs(files, once)[0]
     assert tables == [sorted(map(tuple, t.collect())) for t in (plain.members, plain.edges, plain.companions)]
+
+
+def test_links_are_joined_once(spark):
+    """The ends of an edge are in one graph and a companion's graphs differ, so an edge takes one join with the members and a companion two."""
+    files = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    links = [(1, 2, "reference"), (2, 3, "sibling"), (5, 5, "reference")]  # graphs of 1 to 3 and of 5
+    links += [(1, 3, "companion"), (3, 1, "companion"), (1, 5, "companion"), (3, 5, "companion"), (9, 2, "companion"), (8, 7, "companion"), (6, 6, "companion"), (4, 99, "companion")]
+    state = graphs.build_graphs(files, spark.createDataFrame(links, "from_id long, to_id long, kind string"))[0]
+    assert sorted(map(tuple, state.members.collect())) == [(1, 1), (1, 2), (1, 3), (2, 5), (3, 7), (4, 8), (5, 9)]
+    assert sorted(map(tuple, state.edges.collect())) == [(1, 1, 2, "reference"), (1, 2, 3, "sibling"), (2, 5, 5, "reference")]
+    assert sorted(map(tuple, state.companions.collect())) == [(1, 5), (1, 9), (2, 1), (2, 3), (3, 8), (4, 7), (5, 2)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan(df).count("Join ") for df in (state.edges, state.companions)] == [1, 2]
