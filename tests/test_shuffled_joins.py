@@ -74,3 +74,20 @@ def test_links_are_joined_once(spark):
     assert sorted(map(tuple, state.companions.collect())) == [(1, 5), (1, 9), (2, 1), (2, 3), (3, 8), (4, 7), (5, 2)]
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert [plan(df).count("Join ") for df in (state.edges, state.companions)] == [1, 2]
+
+
+def test_new_edges_are_grouped(spark):
+    """New edges are told from known ones by one grouping: no join sorts both by three keys."""
+    files = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    schema = "from_id long, to_id long, kind string"
+    state = graphs.written(graphs.build_graphs(files, spark.createDataFrame([(1, 2, "reference"), (3, 4, "sibling")], schema))[0])
+    new = spark.createDataFrame([(1, 2, "reference"), (1, 2, "sibling"), (2, 3, "reference"), (2, 3, "reference"), (6, 7, "sibling"), (8, 9, "companion")], schema)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    after = graphs.merge_links(state, new)
+    bus.waitUntilEmpty()
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsList().size())]
+    assert not any(re.search(r"Left keys \[3\]", p) for p in plans)
+    assert sorted(map(tuple, after.members.collect())) == [(1, 1), (1, 2), (1, 3), (1, 4), (3, 6), (3, 7)]
+    assert sorted(map(tuple, after.edges.collect())) == [(1, 1, 2, "reference"), (1, 1, 2, "sibling"), (1, 2, 3, "reference"), (1, 3, 4, "sibling"), (3, 6, 7, "sibling")]
